@@ -16,23 +16,24 @@ each shuffle and joined with skew handling; no group of lines meets in one task.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import new_path, small_batches, stored
 
 BATCHES = 4
 FANIN = 3
 MIN_CHARS = 10
 LAST = (1 << 63) - 1
-SPACE = "[\\x20\\x09-\\x0D]+"
+SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, f"^{SPACE}|{SPACE}$", ""), _UPPER, _LOWER)
+    return F.translate(F.trim(line, F.lit(SPACE)), _UPPER, _LOWER)
 
 
 def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -106,13 +107,15 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanin: int = FANIN, min
     cuts = base.select(F.percentile_approx("_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     store = RunStore(spark, fanin)
+    seen = []
     for low, high in zip(edges, edges[1:]):
         part = base
         part = part.where(F.col("_id") > low) if low is not None else part
         part = part.where(F.col("_id") <= high) if high is not None else part
-        store.add(long_lines(part, min_chars).groupBy("hash").agg(F.min("_id").alias("owner")))
-    owned = store.read()
-    gone = long_lines(base, min_chars).join(owned, "hash").where(F.col("owner") != F.col("_id"))
+        lines = stored(long_lines(part, min_chars), "lines")
+        store.add(lines.groupBy("hash").agg(F.min("_id").alias("owner")))
+        seen.append(lines)
+    gone = reduce(DataFrame.unionAll, seen).join(store.read(), "hash").where(F.col("owner") != F.col("_id"))
     gone = gone.groupBy("_id", "_text_hash").agg(F.collect_set("pos").alias("gone"))
     joined = base.join(gone, ["_id", "_text_hash"], "left").select("_id", "_text", "gone")
     schema = "doc_id long, n_lines long, n_dropped long, " + ("kept string, " if keep_text else "") + "kept_sha256 string"
