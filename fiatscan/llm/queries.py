@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, sharding, token_records
+from . import decontaminate, language, line_dedup, near_dedup, quality, sharding, token_records
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op5_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +39,6 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_circulant_minhash, op4_line_dedup, op6_token_records, op8_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_compression_quality, op3_circulant_minhash, op4_line_dedup, op5_language_gru, op6_token_records, op8_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
