@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, near_dedup, quality, sharding, token_records
+from . import decontaminate, html_text, language, line_dedup, near_dedup, quality, sharding, token_records
 from .common import table
 
 
@@ -39,6 +39,22 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_compression_quality, op3_circulant_minhash, op4_line_dedup, op5_language_gru, op6_token_records, op8_decontaminate)}
+def op9_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hilbert_shards,
+        op2_compression_quality,
+        op3_circulant_minhash,
+        op4_line_dedup,
+        op5_language_gru,
+        op6_token_records,
+        op8_decontaminate,
+        op9_host_paths,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
