@@ -6,7 +6,8 @@ circle of 2**32 places, the second, shifted round the circle by k places, ranks
 which keeps the least rank. Bands of coordinates send documents to buckets.
 
 Documents with equal sets are one class, whose smallest doc_id stands for it, so copies cost one row. A
-bucket links its members to its smallest one, and the components of these links are families. Inside
+bucket links its members to its smallest one (a member of several buckets links their smallest ones to
+the least of these), and the components of these links are families. Inside
 a family, every two sets are compared in full, and linked with 100 * intersection >= threshold * union.
 A family is cut into blocks and a task gets two blocks; it returns no more links than join its members
 into components, so neither copies nor links are expanded into pairs. A task's share of a family is bounded: `block`
@@ -180,7 +181,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     classes = stored(named.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("node"), "bands")).alias("r")).select("digest", "r.node", "r.bands"), "classes")
     spread = classes.select("node", F.explode("bands").alias("key"))
     buckets = stored(spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key", "head"), "buckets")
-    star = spread.join(buckets, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    heads = spread.join(buckets, "key").groupBy("node").agg(F.collect_set("head").alias("heads"))
+    star = heads.select(F.array_min("heads").alias("a"), F.explode(F.array_union("heads", F.array("node"))).alias("b")).where("a <> b").distinct()
     families = components(star)
     sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size"))
     limit = F.least(F.greatest(F.lit(block), F.ceil(F.col("size") / 40)), F.lit(block_limit))
