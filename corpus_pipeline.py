@@ -1,12 +1,71 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as
+Parquet and read again before the next. All but the last return the columns of documents, extra ones
+included. Tests compare the stages with brute force: SQL can express neither the classifier nor the
+hashing stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fiatscan.llm import decontaminate, mixing, near_dedup, quality, sharding
+from fiatscan.llm.common import free_name, stored, table
 
-STAGES: list = []
+BUDGET_PERCENT = 90
 ORACLE_SQL = None
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the compression classifier accepts."""
+    name = free_name(docs, "score")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of the smallest doc_id of each near-duplicate group; rows without doc_id stay."""
+    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any benchmark window."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    id_name, digest_name = free_name(docs, "id"), free_name(docs, "digest")
+    hit = found.select(F.col("_id").alias(id_name), F.col("_digest").alias(digest_name)).distinct()
+    keyed = docs.withColumns({id_name: decontaminate.row_id(), digest_name: decontaminate.text_digest()})
+    return keyed.join(hit, [id_name, digest_name], "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the hierarchical budget takes, whole or in part, each once."""
+    taken = mixing.mix(docs, budget_percent=BUDGET_PERCENT, max_epochs=1).where("taken > 0")
+    id_name, hash_name = free_name(docs, "id"), free_name(docs, "hash")
+    chosen = taken.select(F.coalesce("doc_id", F.lit(-1)).alias(id_name), F.col("text_hash").alias(hash_name)).distinct()
+    keyed = docs.withColumns({id_name: F.coalesce("doc_id", F.lit(-1)), hash_name: F.xxhash64("text")})
+    return keyed.join(chosen, [id_name, hash_name], "left_semi").select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

@@ -46,3 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_of_id(column: str = "doc_id"):
     """crc32 of a row's id as text, the rule by which rows are held out of training."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name = f"{name}_"
+    return f"_{name}"

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
@@ -149,6 +149,14 @@ def _bounded_set(shingles: DataFrame, limit: int):
     return spark.sparkContext.broadcast(np.sort(found.iloc[:, 0].to_numpy(np.int64).view(np.uint64)))
 
 
+def row_id() -> Column:
+    return F.coalesce("doc_id", F.lit(-1))
+
+
+def text_digest() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: int = SHINGLE, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """documents, benchmark -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, and _id, _digest that name the row's text."""
     spark: SparkSession = docs.sparkSession
@@ -156,9 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle:
     windows = stored(item_windows(items, size, shingle).withColumn("window", F.md5(F.concat_ws(" ", F.transform("words", F.hex)))), "item-windows")
     distinct = windows.dropDuplicates(["window"]).select("window", "words", "length", "shingles", "width")
     widths = sorted(r[0] for r in windows.select("width").distinct().collect()) or [shingle]
-    base = docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("_digest"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
-    )
+    base = docs.select("doc_id", row_id().alias("_id"), text_digest().alias("_digest"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     offsets = distinct.select("window", F.posexplode("shingles").alias("offset", "shingle"))
     vocabulary = _bounded_set(offsets.select("shingle"), broadcast_limit)
     counts = base.select("text").mapInPandas(_count(widths, vocabulary), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))

@@ -123,12 +123,12 @@ def _score(model):
     return F.pandas_udf(made, "double")
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `_score`, the probability that a row is good. A batch prepares the dictionaries once."""
+def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """docs with a column `name`, the probability that a row is good. A batch prepares the dictionaries once."""
     spark = docs.sparkSession
     small_batches(spark, 2000)
     udf = _score(spark.sparkContext.broadcast(model))
-    return docs.withColumn("_score", udf(F.col("text").cast("binary")))
+    return docs.withColumn(name, udf(F.col("text").cast("binary")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, line_dedup, near_dedup, quality, sharding, token_records
+from . import ann, decontaminate, html_text, language, line_dedup, mixing, near_dedup, quality, sharding, token_records
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -43,6 +47,10 @@ def op9_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -52,9 +60,11 @@ QUERIES = {
         op4_line_dedup,
         op5_language_gru,
         op6_token_records,
+        op7_hierarchical_mix,
         op8_decontaminate,
         op9_host_paths,
+        op10_multi_index_hashing,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_hierarchical_mix": mixing.oracle_sql()}
