@@ -4,7 +4,8 @@ A record frames one document:
 
     length   u64 little-endian, bytes of the payload
     check    u32 masked CRC-32 of the eight length bytes
-    payload  doc_id i64, flags u32 (1: the id is null), n u32, then n token ids as u32, all little-endian
+    payload  doc_id i64, flags u32 (1: the id is null, 2: wide ids), n u32, then n token ids, as u16 or,
+             if wide, u32, all little-endian
     check    u32 masked CRC-32 of the payload
     end      one byte 0x0A
 
@@ -131,14 +132,25 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     return [np.array(head.ids, "<u4").tobytes() + (tail or b"") for head, tail in zip(heads, chained)]
 
 
-def frame_texts(ids: list, texts: list, path: str, end_id: int) -> list[bytes]:
+def frame_texts(doc_ids: list, texts: list, path: str, end_id: int) -> list[bytes]:
     end, out = struct.pack("<I", end_id), []
-    for doc_id, tokens in zip(ids, encode_texts([t or "" for t in texts], path)):
-        head = ENTRY.pack(doc_id or 0, doc_id is None, len(tokens) // 4 + 1)
-        out.append(frame(head + tokens + end))
+    for doc_id, tokens in zip(doc_ids, encode_texts([t or "" for t in texts], path)):
+        ids = np.frombuffer(tokens + end, "<u4")
+        wide = bool(ids.max() >> 16)
+        head = ENTRY.pack(doc_id or 0, (doc_id is None) + 2 * wide, len(ids))
+        out.append(frame(head + (ids.tobytes() if wide else ids.astype("<u2").tobytes())))
     return out
 
 
+def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id and token ids of a payload; ValueError if the lengths disagree."""
+    doc_id, flags, n = ENTRY.unpack_from(payload)
+    ids = np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=ENTRY.size)
+    if len(ids) != n:
+        raise ValueError(f"{n} ids announced, {len(ids)} found")
+    return None if flags & 1 else doc_id, ids
+
+
 def _frames(path: str, end_id: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,11 +175,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at, rows, data = 0, [], memoryview(content)
             while at < len(data):
                 payload, after = unframe(data, at)
-                doc_id, flags, n = ENTRY.unpack_from(payload)
-                ids = payload[ENTRY.size :]
-                if len(ids) != 4 * n:
-                    raise ValueError(f"{name}, byte {at}: {n} ids announced, {len(ids)} bytes")
-                rows.append((None if flags & 1 else doc_id, len(rows), at, after - at, n, zlib.crc32(ids)))
+                doc_id, ids = parse(payload)
+                rows.append((doc_id, len(rows), at, after - at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 at = after
             out = pd.DataFrame(rows, columns=["doc_id", "record", "offset", "length", "n_tokens", "ids_crc32"])
             out["doc_id"] = out["doc_id"].astype("Int64")
