@@ -20,6 +20,8 @@ A null or empty text has only the end id. Long texts are encoded whole.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,15 +33,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, small_batches, stored
+from .hashing import chunks, spans_hash
 
 END_ID = 0
 MASK_DELTA = 0xA282EAD8
 LAST = (1 << 63) - 1
 HEAD = struct.Struct("<QI")
 ENTRY = struct.Struct("<qII")
-CACHE_PIECES = 1_200_000
+STORE_PIECES = 2_000_000
 CHAIN = 2000
-
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_LEADS = np.zeros(256, bool)  # first bytes of white space outside ASCII
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_FAR_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def masked(crc: int) -> int:
@@ -68,12 +75,56 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, end + 5
 
 
+class Pieces:
+    """Ids of pieces, by the piece's hash: a large sorted run and a small one that is merged into it now and then."""
+
+    def __init__(self):
+        empty = np.zeros(0, np.uint64)
+        self.runs = [(empty, np.zeros(1, np.int64), np.zeros(0, "<u4"))] * 2
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Run (-1: unknown) and place of each hash."""
+        run, place = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for k, (keys, _, _) in enumerate(self.runs):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                run[hit], place[hit] = k, at[hit]
+        return run, place
+
+    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        if sum(len(r[0]) for r in self.runs) + len(keys) > STORE_PIECES:
+            self.runs = [self.runs[1], (keys[:0], np.zeros(1, np.int64), ids[:0])]
+        self.runs[1] = _merged(self.runs[1], _run(keys, lengths, ids))
+        if 4 * len(self.runs[1][0]) > len(self.runs[0][0]):
+            self.runs = [_merged(*self.runs), (keys[:0], np.zeros(1, np.int64), ids[:0])]
+
+
+def _run(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple:
+    order = np.argsort(keys, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    return keys[order], np.concatenate([[0], np.cumsum(lengths[order])]), ids[ragged(starts[order], lengths[order])]
+
+
+def _merged(left: tuple, right: tuple) -> tuple:
+    if not len(left[0]) or not len(right[0]):
+        return left if len(left[0]) else right
+    return _run(*(np.concatenate(x) for x in zip(*((k, np.diff(o), i) for k, o, i in (left, right)))))
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices starts[0], starts[0] + 1, ... for lengths[0] places, then from starts[1], and so on."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 _ENCODERS: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """The tokenizer, the byte length of each id, and the ids of the pieces met so far in this worker."""
+    """The tokenizer, the byte length of each id, and the pieces met so far in this worker."""
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores already
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -82,29 +133,23 @@ def _encoder(path: str):
         width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             width[i] = len(token)  # one character stands for one byte
-        _ENCODERS[path] = (tokenizer, width, {})
+        _ENCODERS[path] = (tokenizer, width, Pieces())
     return _ENCODERS[path]
 
 
-def _whole(piece: str) -> bool:
-    """Whether the text that holds this piece must be encoded whole, as white space may run on past it."""
-    return not piece or piece[-1].isspace() or piece[-1] in "\u180e\u200b\ufeff"
-
-
-def _encode_pieces(pieces: list[str], tokenizer, width: np.ndarray, known: dict[str, bytes | None]) -> None:
-    """Encodes pieces, each with a space before it, into `known`. They are joined into long texts, whose
+def _encode_pieces(pieces: list[str], tokenizer, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each piece, with a space before it, and all ids. Pieces are joined into long texts, whose
     ids are cut again at the pieces' byte lengths."""
-    sound = [p for p in pieces if not _whole(p)]
-    if len(sound) < len(pieces):
-        known.update((p, None) for p in pieces if _whole(p))
-    chunks = [sound[i : i + CHAIN] for i in range(0, len(sound), CHAIN)]
+    chunks = [pieces[i : i + CHAIN] for i in range(0, len(pieces), CHAIN)]
     joined = [" " + " ".join(c) for c in chunks]
-    for chunk, text, got in zip(chunks, joined, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-        ids = np.array(got.ids, "<u4")
-        ends = np.cumsum(np.fromiter(map(len, text.encode().split(b" ")[1:]), np.int64, len(chunk)) + 1)
-        cuts = (4 * (np.searchsorted(np.cumsum(width[ids]), ends) + 1)).tolist()
-        data = ids.tobytes()
-        known.update(zip(chunk, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+    counts, ids = [], []
+    for text, got in zip(joined, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        found = np.array(got.ids, "<u4")
+        spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 0x20)
+        reached = np.cumsum(width[found])
+        counts.append(np.diff(np.searchsorted(reached, np.append(spaces[1:], reached[-1])) + 1, prepend=0))
+        ids.append(found)
+    return np.concatenate(counts), np.concatenate(ids)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
@@ -112,24 +157,67 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
 
     The tokenizer's pattern never joins a character that is not white space with white space after it,
     so a text whose spaces all stand alone is the chain of its pieces, cut before each space. Pieces
-    repeat: each is encoded once by the library and kept. Other texts, and first pieces, go to it as
-    they are.
+    repeat: each is encoded once by the library and kept by its 64-bit hash. Other texts, and first
+    pieces, go to the library as they are, and so does a text whose ids do not add up to its bytes.
     """
     tokenizer, width, known = _encoder(path)
-    split = [text.split(" ") for text in texts]
-    wanted = set().union(*(p[1:] for p in split))
-    fresh = [p for p in wanted if p not in known]
-    if len(known) + len(fresh) > CACHE_PIECES:
-        known.clear()
-        fresh = list(wanted)
-    _encode_pieces(fresh, tokenizer, width, known)
-    chained = []
-    for pieces in split:
-        rest = list(map(known.__getitem__, pieces[1:]))
-        chained.append(None if None in rest or pieces[1:] and _whole(pieces[0]) else b"".join(rest))
-    direct = [text if tail is None else pieces[0] for text, pieces, tail in zip(texts, split, chained)]
-    heads = tokenizer.encode_batch_fast(direct, add_special_tokens=False)
-    return [np.array(head.ids, "<u4").tobytes() + (tail or b"") for head, tail in zip(heads, chained)]
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    out: list[bytes | None] = [None] * len(texts)
+    for part in chunks([len(b) for b in raw]):
+        _encode_chunk(texts, raw, out, part, tokenizer, width, known)
+    left = [i for i, ids in enumerate(out) if ids is None]
+    for i, got in zip(left, tokenizer.encode_batch_fast([texts[i] for i in left], add_special_tokens=False)):
+        out[i] = np.array(got.ids, "<u4").tobytes()
+    return out
+
+
+def _encode_chunk(texts: list[str], raw: list[bytes], out: list, part: slice, tokenizer, width: np.ndarray, known: Pieces) -> None:
+    data = np.frombuffer(b"\n".join([*raw[part], b""]), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(b) + 1 for b in raw[part]])])
+    blank = _SPACES[data]
+    single = data == 0x20
+    odd = single[:-1] & blank[1:] | blank[:-1] & single[1:]
+    odd_at = np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1
+    led = np.unique(np.searchsorted(bounds, np.flatnonzero(_LEADS[data]), "right") - 1)
+    whole = np.zeros(len(bounds) - 1, bool)
+    whole[odd_at] = True
+    for i in led:
+        whole[i] |= bool(_FAR_SPACE.search(texts[part.start + i]))
+    spaces = np.flatnonzero(single)
+    owner = np.searchsorted(bounds, spaces, "right") - 1
+    use = ~whole[owner]
+    spaces, owner = spaces[use], owner[use]
+    starts = spaces + 1
+    ends = np.append(spaces[1:], 0)
+    last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+    ends[last] = bounds[owner[last] + 1] - 1
+    hashes = spans_hash(data, starts, ends)
+    unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    run, place = known.find(unique)
+    fresh = np.flatnonzero(run < 0)
+    if len(fresh):
+        buffer = data.tobytes()
+        pieces = [buffer[i:j].decode("utf-8", "surrogatepass") for i, j in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())]
+        known.add(unique[fresh], *_encode_pieces(pieces, tokenizer, width))
+        run, place = known.find(unique)
+        if (run < 0).any():  # the store was emptied meanwhile
+            return
+    begin, length = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+    for k, (_, offsets, _) in enumerate(known.runs):
+        mine = run == k
+        begin[mine], length[mine] = offsets[place[mine]], offsets[place[mine] + 1] - offsets[place[mine]]
+    counts = length[inverse]
+    at, small = ragged(begin[inverse], counts), np.repeat(run[inverse] == 1, counts)
+    ids = np.empty(len(at), "<u4")
+    ids[small], ids[~small] = known.runs[1][2][at[small]], known.runs[0][2][at[~small]]
+    reach = np.concatenate([[0], np.cumsum(counts)])
+    cut = np.searchsorted(owner, np.arange(len(bounds)))
+    plain = [i for i in range(len(bounds) - 1) if not whole[i]]
+    heads = tokenizer.encode_batch_fast([texts[part.start + i].split(" ", 1)[0] for i in plain], add_special_tokens=False)
+    for i, head in zip(plain, heads):
+        found = np.concatenate([np.array(head.ids, "<u4"), ids[reach[cut[i]] : reach[cut[i + 1]]]])
+        if int(width[found].sum()) == len(raw[part.start + i]):
+            out[part.start + i] = found.tobytes()
 
 
 def frame_texts(doc_ids: list, texts: list, path: str, end_id: int) -> list[bytes]:
