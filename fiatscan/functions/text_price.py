@@ -102,9 +102,10 @@ def detect(df: DataFrame, text: str, currency: Column | None = None, amount_name
     clash = F.col("_explicit").isNotNull() & F.col("_want").isNotNull() & (F.col("_explicit") != F.col("_want"))
     out = out.withColumn("_raw", F.when(clash, None).otherwise(F.coalesce("_explicit_raw", "_bare", code_raw)))
     found = F.coalesce("_explicit", F.when(F.col("_bare").isNotNull(), F.col("_want")), F.upper(F.coalesce("_after", "_before")))
-    out = out.withColumns({amount_name: parse_amount(F.col("_raw"))})
-    out = out.withColumn(currency_name, F.when(F.col(amount_name).isNotNull(), found))
-    return out.drop("_t", "_want", "_symbol", "_symbol_raw", "_franc_raw", "_explicit", "_explicit_raw", "_bare", "_after", "_before", "_raw")
+    out = out.withColumns({"_amount": parse_amount(F.col("_raw")), "_found": found})
+    price = F.struct(F.col("_amount").alias(amount_name), F.when(F.col("_amount").isNotNull(), F.col("_found")).alias(currency_name))
+    # A generator keeps later filters on the price above it; pushed below, they would repeat every pattern.
+    return out.select(*df.columns, F.inline(F.array(price)))
 
 
 def fragment_class(text: Column) -> dict[str, Column]:

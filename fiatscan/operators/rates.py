@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fiatscan.functions.times import micros
 from fiatscan.schemas import RATES_STALE_S, RATES_TTL_S
 
 
@@ -40,7 +41,7 @@ def as_of(events: DataFrame, ticks: DataFrame, keys: list[str], bucket_s: int =
     tick of earlier buckets is carried in by a window over bucket ends, one row for each key and bucket. Of
     ticks at one time the one with the greatest event_id counts.
     """
-    bucket = F.floor(F.unix_micros("ts") / (bucket_s * 1_000_000)).alias("_bucket")
+    bucket = F.floor(micros(F.col("ts")) / (bucket_s * 1_000_000)).alias("_bucket")
     latest = F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("event_id"), F.col("rate").alias("rate"))
     marks = ticks.select(*keys, bucket, latest.alias("_tick"), "ts", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_row"))
     asked = events.select(*keys, bucket, F.lit(None).cast(marks.schema["_tick"].dataType).alias("_tick"), "ts", F.lit(1).alias("_side"), F.col("event_id").alias("_row"))
@@ -57,7 +58,7 @@ def as_of(events: DataFrame, ticks: DataFrame, keys: list[str], bucket_s: int =
 def latest(ticks: DataFrame, now: Column, stale_s: int = RATES_STALE_S) -> DataFrame:
     """The last tick of each asset and fiat, its age at `now`, whether it is stale and still usable."""
     last = ticks.groupBy("asset", "fiat").agg(F.max(F.struct("ts", "event_id", "rate")).alias("t"))
-    age = (F.unix_micros(now) - F.unix_micros("t.ts")) / 1e6
+    age = (micros(now) - micros(F.col("t.ts"))) / 1e6
     return last.select("asset", "fiat", F.col("t.ts").alias("ts"), F.col("t.rate").alias("rate"), age.alias("age_s"), (age > stale_s).alias("stale"), (age <= stale_s).alias("usable"))
 
 
@@ -81,7 +82,7 @@ def replay(requests: DataFrame, ttl_s: int = RATES_TTL_S) -> DataFrame:
     request. Good fetches form a chain: the next good request at least a TTL after the last link. The chain is
     found by jumps over the good requests of an instance, one jump for each link; every request then takes the link before it.
     """
-    us = F.unix_micros("ts").alias("ts_us")
+    us = micros(F.col("ts")).alias("ts_us")
     good = requests.where("fetch_ok").select("instance_id", "seq", us)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
