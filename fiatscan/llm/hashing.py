@@ -62,6 +62,13 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    running = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(len(data), False), out=running[1:])
+    return mix((running[ends] - running[starts]) * _powers(len(data) + 1, True)[starts])
+
+
 def words_of(texts: list[bytes], kind: np.ndarray) -> Words:
     data = LOWER[np.frombuffer(bytes([SEPARATOR]).join([*texts, b""]), np.uint8)]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -69,9 +76,7 @@ def words_of(texts: list[bytes], kind: np.ndarray) -> Words:
     inside[1:] = kind[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(len(data), False), out=running[1:])
-    hashes = mix((running[ends] - running[starts]) * _powers(len(data), True)[starts])
+    hashes = spans_hash(data, starts, ends)
     text_ends = np.cumsum(sizes)
     bounds = np.concatenate([[0], np.searchsorted(starts, text_ends)])
     return Words(data, starts, ends, hashes, bounds)

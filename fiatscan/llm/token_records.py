@@ -40,7 +40,7 @@ MASK_DELTA = 0xA282EAD8
 LAST = (1 << 63) - 1
 HEAD = struct.Struct("<QI")
 ENTRY = struct.Struct("<qII")
-STORE_PIECES = 2_000_000
+STORE_PIECES = 1_200_000
 CHAIN = 2000
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
