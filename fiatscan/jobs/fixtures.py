@@ -113,10 +113,11 @@ _FRAMES_DUCK = """select vec_id as frame_id, label as session_id, vec_id as seq,
 SOURCES["frames"] = (("embeddings",), _FRAMES_SPARK)
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived table `name` of a data folder."""
+def load(spark: SparkSession, sf_dir: str, name: str, streamed: DataFrame | None = None) -> DataFrame:
+    """The derived table `name` of a data folder; `streamed` stands in for the stored table that it reads."""
     needs, sql = SOURCES[name]
-    given = {t: load(spark, sf_dir, t) if t in SOURCES else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in needs}
+    stored = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet") if streamed is None else streamed
+    given = {t: load(spark, sf_dir, t) if t in SOURCES else stored(t) for t in needs}
     for t in needs:
         sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 fixture_{t}", sql)
     for t in needs:
