@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fragment_jobs, frame_jobs, price_jobs, rate_jobs, wallet_jobs  # noqa: F401
+from . import fragment_jobs, frame_jobs, price_jobs, rate_jobs, stream_jobs, wallet_jobs  # noqa: F401
 from .core import JOBS, ORACLES, Job
 
 
