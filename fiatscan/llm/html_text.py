@@ -138,6 +138,7 @@ def read(source: str) -> Page:
             above = page.elements[stack[-1]] if stack[-1] >= 0 else None
             classes, noise = _marks(found[3]) if found[3] else ("", False)
             own = noise and tag not in HOLDS
+            classes = "" if tag in ("html", "body") else classes  # those speak of the page, not of the host
             page.elements.append(Element(tag, f"{above.path if above else ''}/{tag}{classes}", stack[-1], tag in DROPPED or bool(above and above.dropped), own or bool(above and above.noise)))
             stack.append(len(page.elements) - 1)
     flush()
