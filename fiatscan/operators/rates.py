@@ -42,17 +42,19 @@ def as_of(events: DataFrame, ticks: DataFrame, keys: list[str], bucket_s: int =
     ticks at one time the one with the greatest event_id counts.
     """
     bucket = F.floor(micros(F.col("ts")) / (bucket_s * 1_000_000)).alias("_bucket")
-    latest = F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("event_id"), F.col("rate").alias("rate"))
-    marks = ticks.select(*keys, bucket, latest.alias("_tick"), "ts", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_row"))
-    asked = events.select(*keys, bucket, F.lit(None).cast(marks.schema["_tick"].dataType).alias("_tick"), "ts", F.lit(1).alias("_side"), F.col("event_id").alias("_row"))
-    both = marks.unionByName(asked)
-    ends = both.groupBy(*keys, "_bucket").agg(F.max("_tick").alias("_last"))
+    tick = F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("event_id"), F.col("rate").alias("rate"))
+    asked = events.select(*keys, bucket, "ts", F.lit(1).alias("_side"), F.struct(*events.columns).alias("_row"))
+    marks = ticks.select(*keys, bucket, "ts", F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), tick.alias("_tick"))
+    both = marks.unionByName(asked, allowMissingColumns=True)
+    ends = ticks.select(*keys, bucket, tick.alias("_tick")).groupBy(*keys, "_bucket").agg(F.max("_tick").alias("_last"))
+    wanted = asked.select(*keys, "_bucket").distinct().withColumn("_last", F.lit(None).cast(ends.schema["_last"].dataType))
+    all_buckets = ends.unionByName(wanted).groupBy(*keys, "_bucket").agg(F.max("_last").alias("_last"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_bucket", F.max("_last").over(earlier).alias("_carried"))
+    carried = all_buckets.select(*keys, "_bucket", F.max("_last").over(earlier).alias("_carried"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_seen", F.max("_tick").over(inside)).where("_side = 1")
-    found = seen.join(carried, [*keys, "_bucket"]).select(F.col("_row").alias("event_id"), F.coalesce("_seen", "_carried").alias("_t"))
-    return events.join(found.select("event_id", F.col("_t.rate").alias("rate"), F.col("_t.ts").alias("tick_ts")), "event_id")
+    found = seen.join(carried, [*keys, "_bucket"], "left").withColumn("_t", F.coalesce("_seen", "_carried"))
+    return found.select("_row.*", F.col("_t.rate").alias("rate"), F.col("_t.ts").alias("tick_ts"))
 
 
 def latest(ticks: DataFrame, now: Column, stale_s: int = RATES_STALE_S) -> DataFrame:
@@ -62,14 +64,23 @@ def latest(ticks: DataFrame, now: Column, stale_s: int = RATES_STALE_S) -> DataF
     return last.select("asset", "fiat", F.col("t.ts").alias("ts"), F.col("t.rate").alias("rate"), age.alias("age_s"), (age > stale_s).alias("stale"), (age <= stale_s).alias("usable"))
 
 
-def _refreshes(ttl_us: int):
+def _links(ttl_us: int):
+    """Good fetches, sorted by instance and time -> those that the cache made; the last link of an instance is carried over batches."""
+
     def jump(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        instance, due = None, 0
         for pdf in batches:
-            times, out, at = pdf["ts_us"].to_numpy(), [], 0
-            while at < len(times):
-                out.append(at)
-                at = max(at + 1, int(np.searchsorted(times, times[at] + ttl_us)))
-            yield pdf.iloc[out]
+            names, times, taken = pdf["instance_id"].to_numpy(), pdf["ts_us"].to_numpy(), []
+            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(pdf) else []
+            for low, high in zip(starts, np.append(starts[1:], len(pdf)).astype(int)):
+                if names[low] != instance:
+                    instance, due = names[low], times[low]
+                at = low + int(np.searchsorted(times[low:high], due))
+                while at < high:
+                    taken.append(at)
+                    due = times[at] + ttl_us
+                    at = max(at + 1, low + int(np.searchsorted(times[low:high], due)))
+            yield pdf.iloc[taken]
 
     return jump
 
@@ -80,15 +91,14 @@ def replay(requests: DataFrame, ttl_s: int = RATES_TTL_S) -> DataFrame:
     A request within the TTL of the last good fetch is `cached`. Later, it fetches: `fetched` if that works, else
     `stale` with the last good snapshot, or `error` without one; failed fetches are tried again by every
     request. Good fetches form a chain: the next good request at least a TTL after the last link. The chain is
-    found by jumps over the good requests of an instance, one jump for each link; every request then takes the link before it.
+    found by jumps over the sorted good requests, one jump for each link, in batches of bounded size; every request then
+    takes the link before it.
     """
     us = micros(F.col("ts")).alias("ts_us")
     good = requests.where("fetch_ok").select("instance_id", "seq", us)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(_refreshes(ttl_s * 1_000_000)(iter([pdf.sort_values(["ts_us", "seq"], ignore_index=True)])))
-
-    links = good.groupBy("instance_id").applyInPandas(chain, "instance_id long, seq long, ts_us long").select("instance_id", "seq", F.lit(True).alias("is_link"))
+    good = good.repartition("instance_id").sortWithinPartitions("instance_id", "ts_us", "seq")
+    links = good.mapInPandas(_links(ttl_s * 1_000_000), "instance_id long, seq long, ts_us long").select("instance_id", "seq", F.lit(True).alias("is_link"))
     timeline = Window.partitionBy("instance_id").orderBy("ts_us", "seq")
     marked = requests.select("instance_id", "seq", "fetch_ok", us).join(links, ["instance_id", "seq"], "left")
     link = F.when(F.col("is_link"), F.struct("ts_us", "seq"))
