@@ -50,3 +50,21 @@ def test_stages_keep_what_they_should(spark):
     before, after = (d.count() for d in seen["mixing"])
     assert 0.5 * before < after <= before
     assert docs.count() == after and {r.shard for r in docs.select("shard").collect()} == set(range(8))
+
+
+def test_stages_on_awkward_rows(spark):
+    from pyspark.sql import functions as F
+
+    some = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table(spark, SF, "documents").limit(40).collect()]
+    odd = [(900001, None, None, None, None), (900002, "", "en", "src1", 0), (None, some[0][1], None, "src0", 1), (None, None, None, None, None), (some[3][0], some[3][1], "en", "src0", 2), (900003, some[4][1] * 60, "en", "src0", 3)]
+    docs = spark.createDataFrame(some + odd, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("_id", "_digest", "_hash", "_score", "shard", "key", "node", "component", "taken")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "sharding":
+            assert out.count() == len(some) + len(odd)
+        else:
+            assert out.columns == docs.columns and 0 < out.count() <= len(some) + len(odd)
+        if name == "near_duplicates":
+            kept = [r.doc_id for r in out.collect()]
+            assert kept.count(None) == 2 and kept.count(some[3][0]) == 2
+        assert stage(spark, docs.limit(0), SF).count() == 0
