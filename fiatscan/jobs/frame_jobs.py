@@ -29,12 +29,9 @@ def first_stable_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PX = """, px as (select frame_id, session_id, seq, unnest(gray) as v, unnest(range(64)) as i from frames)"""
-QUALITY_SQL = with_tables("frames") + _PX + """, prev as (select frame_id, lag(frame_id) over (partition by session_id order by seq) as p from frames),
-sharp as (select a.frame_id, avg(power(l.v + r.v + u.v + d.v - 4 * a.v, 2)) as sharpness from px a join px l on l.frame_id = a.frame_id and l.i = a.i - 1 join px r on r.frame_id = a.frame_id and r.i = a.i + 1
-  join px u on u.frame_id = a.frame_id and u.i = a.i - 8 join px d on d.frame_id = a.frame_id and d.i = a.i + 8 where a.i % 8 between 1 and 6 group by a.frame_id),
-con as (select frame_id, stddev_pop(v) as contrast from px group by frame_id),
-mo as (select a.frame_id, avg(abs(a.v - b.v)) as motion from px a join prev on prev.frame_id = a.frame_id join px b on b.frame_id = prev.p and b.i = a.i group by a.frame_id),
-q as (select frame_id, sharpness, contrast, coalesce(motion, 0) as motion from sharp join con using (frame_id) left join mo using (frame_id))
+QUALITY_SQL = with_tables("frames") + """, prev as (select frame_id, gray, lag(gray) over (partition by session_id order by seq) as p from frames), place as (select unnest(range(64)) as i),
+q as (select frame_id, avg(case when i % 8 between 1 and 6 and i // 8 between 1 and 6 then power(gray[i] + gray[i + 2] + gray[i - 7] + gray[i + 9] - 4 * gray[i + 1], 2) end) as sharpness,
+  stddev_pop(gray[i + 1]) as contrast, coalesce(avg(abs(gray[i + 1] - p[i + 1])), 0) as motion from prev, place group by frame_id)
 select frame_id, round(sharpness, 6) as sharpness, round(contrast, 6) as contrast, round(motion, 6) as motion, case when sharpness < 50 then 'blur' when contrast < 20 then 'low-contrast' when motion > 15 then 'motion' end as reason from q"""
 
 
