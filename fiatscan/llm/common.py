@@ -21,8 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this session's operators have put in the shared folder. Call it when their results are written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

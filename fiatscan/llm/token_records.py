@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, stored
+from .common import ARROW_ROWS, new_path, small_batches, stored
 from .hashing import chunks, spans_hash
 
 END_ID = 0
@@ -275,13 +275,15 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def build_index(spark, path: str) -> DataFrame:
     """Reads the record files back, checks every checksum, and gives a row for each record."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return files.mapInPandas(_scan, "path string, doc_id long, record long, offset long, length long, n_tokens long, ids_crc32 long")
 
 
 def write_index(spark, path: str) -> DataFrame:
     """The index as a table beside the record files, with `start`: ids in all records before."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, "1")  # a whole file is one row
     index = stored(build_index(spark, path), "record-index")
+    spark.conf.set(ARROW_ROWS, before)
     files = index.groupBy("path").agg(F.sum("n_tokens").alias("_n"))
     files = files.select("path", F.coalesce(F.sum("_n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("path").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)

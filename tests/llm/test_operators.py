@@ -384,3 +384,14 @@ def test_probing_finds_every_code_in_the_radius():
     for radius in (0, 3, 12, 30):
         found = ann.probe(queries, codes, radius)
         assert not ((apart <= radius) & ~found).any()
+
+
+def test_tables_between_steps_can_be_cleared(spark, docs):
+    from fiatscan.llm import common
+
+    kept = common.stored(docs.select("doc_id"), "kept")
+    assert kept.count() == docs.count() and common._PATHS
+    common.clear(spark)
+    assert not common._PATHS
+    with pytest.raises(Exception, match="exist"):
+        spark.read.parquet(kept.inputFiles()[0] if kept.inputFiles() else "/nowhere").count()
