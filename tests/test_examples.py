@@ -217,3 +217,16 @@ def test_recogniser_hook(spark):
 
     got = stateful.recognised(spark.createDataFrame([("a",)], "text string"), upper, "text string").first()
     assert got.text == "A"
+
+
+def test_image_files(spark, tmp_path):
+    import struct
+
+    from fiatscan.sources import images
+
+    rows = b"".join(b"\x00\x00\xff" * 2 + b"\x00\x00" for _ in range(2))  # red, rows padded to four bytes
+    head = b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, len(rows), 2835, 2835, 0, 0)
+    (tmp_path / "red.bmp").write_bytes(head + rows)
+    (tmp_path / "junk.bmp").write_bytes(b"no image")
+    (frame,) = images.read_frames(spark, f"file://{tmp_path}").collect()
+    assert (frame.width, frame.height, frame.gray) == (2, 2, [76, 76, 76, 76])
