@@ -41,12 +41,14 @@ BLOCKS = frozenset("html head body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blo
 CONTAINERS = frozenset("body div section article main td blockquote center fieldset".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head", "p"}}
 INLINE_SAFE = BLOCKS - frozenset("li dt dd tr td th tbody thead tfoot caption summary figcaption html head body".split())
-NOISE = frozenset("ad ads adbox adsense nav navbar menu header footer masthead notice alert popup modal overlay consent gdpr share sharing social related recommended recommendations respond reply replies login signup search pagination pager widget widgets toolbar sponsor disclaimer banner".split())
+NOISE = frozenset("ad ads adbox adsense nav navbar menu header footer masthead notice alert popup modal overlay consent gdpr share sharing social related recommended recommendations respond reply replies login signup search pagination pager widget widgets toolbar sponsor disclaimer banner contentinfo complementary".split())
 NOISE_PREFIXES = ("advert", "comment", "cookie", "sidebar", "breadcrumb", "newsletter", "subscri", "promo", "sponsor", "navigation", "disqus")
-HOLDS = frozenset("html body article main".split())
+HOLDS = frozenset("html body main".split())
+BESIDE_ARTICLE = frozenset("ad ads related recommended reply replies respond".split())
+BESIDE_PREFIXES = ("comment", "advert", "promo", "sponsor")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)|[^<]+|<", re.S)
-_CLASS = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_CLASS = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
@@ -71,17 +73,22 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """Generalised classes, and whether class, id or role speak of something beside the article."""
+def _marks(attributes: str, tag: str) -> tuple[str, bool]:
+    """Generalised classes, and whether the attributes speak of something hidden or beside the article.
+
+    An article is beside another one only by the narrower list of words, as layouts name their articles freely.
+    """
+    words_of_noise, prefixes = (BESIDE_ARTICLE, BESIDE_PREFIXES) if tag == "article" else (NOISE, NOISE_PREFIXES)
     classes, noise = [], False
     for name, *values in _CLASS.findall(attributes):
         value, name = "".join(values), name.lower()
-        if name == "hidden":
-            noise = True
-            continue
-        words = [w.lower() for w in _WORD.findall(value)]
-        if name != "itemprop" and any(w in NOISE or w.startswith(NOISE_PREFIXES) for w in words):
-            noise = True
+        if name == "style":
+            noise |= "display:none" in value.lower().replace(" ", "")
+        elif name in ("hidden", "aria-hidden"):
+            noise |= name == "hidden" or value.lower() == "true"
+        else:
+            words = [w.lower() for w in _WORD.findall(value)]
+            noise |= any(w in words_of_noise or w.startswith(prefixes) for w in words)
         if name == "class":
             classes = sorted({re.sub(r"\d+", "", c) for c in value.lower().split()})
     return "".join("." + c for c in classes if c), noise
@@ -136,7 +143,7 @@ def read(source: str) -> Page:
             while stack[-1] >= 0 and page.elements[stack[-1]].tag in CLOSED_BY.get(tag, ()):
                 stack.pop()
             above = page.elements[stack[-1]] if stack[-1] >= 0 else None
-            classes, noise = _marks(found[3]) if found[3] else ("", False)
+            classes, noise = _marks(found[3], tag) if found[3] else ("", False)
             own = noise and tag not in HOLDS
             classes = "" if tag in ("html", "body") else classes  # those speak of the page, not of the host
             page.elements.append(Element(tag, f"{above.path if above else ''}/{tag}{classes}", stack[-1], tag in DROPPED or bool(above and above.dropped), own or bool(above and above.noise)))
