@@ -37,7 +37,7 @@ THRESHOLD = 85
 BANDS = 25
 ROWS = 5
 BLOCK = 64
-BLOCK_LIMIT = 4096
+BLOCK_LIMIT = 1024
 _SCATTER = np.uint64(0xA0761D6478BD642F)
 
 
