@@ -67,4 +67,25 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_hierarchical_mix": mixing.oracle_sql()}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_LINES_SQL = f"""
+with numbered as (select doc_id, coalesce(doc_id, 9223372036854775807) as id, string_split(coalesce(text, ''), chr(10)) as lines, row_number() over () as rid from documents),
+cut as (select rid, doc_id, id, unnest(lines) as line, unnest(range(len(lines))) as pos from numbered),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) as key from cut),
+owners as (select key, min(id) as owner from keyed where length(key) >= {line_dedup.MIN_CHARS} group by key),
+marked as (select k.*, coalesce(owner <> id, false) as gone from keyed k left join owners using (key))
+select doc_id, count(*) as n_lines, cast(count_if(gone) as bigint) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256 from marked group by rid, doc_id"""
+
+_WINDOWS_SQL = f"""
+with iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+wins as (select distinct item_id, list_slice(w, i, i + least({decontaminate.SIZE}, len(w)) - 1) as win from (select *, unnest(range(1, len(w) - least({decontaminate.SIZE}, len(w)) + 2)) as i from iw where len(w) > 0) x),
+dw as (select doc_id, row_number() over () as rid, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+places as (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, (select distinct len(win) as n from wins) l where len(w) >= n),
+met as (select rid, i, n, item_id from (select rid, i, n, list_slice(w, i, i + n - 1) as win from places) p join wins using (win)),
+hit as (select rid, count(distinct place) as n_hit from (select rid, unnest(range(i, i + n)) as place from (select distinct rid, i, n from met) m) x group by rid),
+named as (select rid, count(*) as n_items, string_agg(name, ',' order by name) as names from (select distinct rid, cast(item_id as varchar) as name from met where item_id is not null) x group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join hit using (rid) left join named using (rid)"""
+
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _LINES_SQL, "op7_hierarchical_mix": mixing.oracle_sql(), "op8_decontaminate": _WINDOWS_SQL}
