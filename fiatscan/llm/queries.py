@@ -88,4 +88,15 @@ named as (select rid, count(*) as n_items, string_agg(name, ',' order by name) a
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join hit using (rid) left join named using (rid)"""
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _LINES_SQL, "op7_hierarchical_mix": mixing.oracle_sql(), "op8_decontaminate": _WINDOWS_SQL}
+_NEAR_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sh as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b using (s) where a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {near_dedup.THRESHOLD} * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as node, doc_id as root from documents union select b, root from reach join both_ways on node = a),
+named as (select node as doc_id, min(root) as component_id from reach group by node)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, component_id = doc_id as kept from named left join n using (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_circulant_minhash": _NEAR_SQL, "op4_line_dedup": _LINES_SQL, "op7_hierarchical_mix": mixing.oracle_sql(), "op8_decontaminate": _WINDOWS_SQL}
