@@ -61,10 +61,6 @@ def codes_of(lifted: np.ndarray, coder: Coder) -> np.ndarray:
     return np.packbits((lifted - coder.mean) @ coder.planes > 0, axis=1).view(np.uint16)
 
 
-def _bits(n: int) -> int:
-    return -(-n // SUBSTRING) * SUBSTRING
-
-
 def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: int = 0) -> Coder:
     """total: vectors in all, by which the sample's nearest stand for the nearest of all."""
     rng = np.random.default_rng(seed)
