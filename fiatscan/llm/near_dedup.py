@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
     links = dealt.mapInPandas(_verify(threshold), "a long, b long")
     repeated = sketched.where("doc_id is not null and n_shingles > 0").join(classes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    held = components(stored(links.union(repeated).distinct(), "links"))
+    held = components(stored(links, "links").union(stored(repeated, "copies")))
     out = sketched.select("doc_id", "n_shingles").join(held.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
