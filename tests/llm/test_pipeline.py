@@ -1,6 +1,7 @@
 """The pipeline on the small tables: each stage judged on its own input."""
 
 import os
+import random
 import re
 
 import pytest
@@ -68,3 +69,28 @@ def test_stages_on_awkward_rows(spark):
             kept = [r.doc_id for r in out.collect()]
             assert kept.count(None) == 2 and kept.count(some[3][0]) == 2
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_duplicate_stage_equals_all_pairs_at_080(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(40):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(100)]
+        texts.append(base)
+        for spots in ((50,), (30, 60), (30, 50, 70))[: 1 + k % 3]:
+            texts.append([f"x{rng.randint(0, 9999)}" if at in spots else w for at, w in enumerate(base)])
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    rows = list(enumerate(map(" ".join, texts)))
+    rng.shuffle(rows)
+    held = list(range(len(sets)))
+    between = 0
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets[:a]):
+            same = len(s & t) / len(s | t)
+            between += 0.80 <= same < 0.85
+            if same >= 0.80:
+                low, high = sorted((held[a], held[b]))
+                held = [low if h == high else h for h in held]
+    assert between > 20
+    got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(held))
