@@ -15,7 +15,8 @@ file system, write frames as rows; readers skip it by length. Files are in ascen
 rows that repeat an id by a hash of their text, null ids last. The index has, per record, the file,
 byte offset and byte length, so a shuffled reader seeks straight to any record.
 
-A null or empty text has only the end id. Long texts are encoded whole.
+A null or empty text has only the end id. Long texts are encoded whole. The ids are those of the library's
+encode(text, add_special_tokens=False): an added token's content in a text, special or not, is that token.
 """
 
 from __future__ import annotations
@@ -118,23 +119,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-_ENCODERS: dict[str, tuple] = {}
+_ENCODERS: dict[tuple[str, bool], tuple] = {}
 
 
-def _encoder(path: str):
-    """The tokenizer, the byte length of each id, and the pieces met so far in this worker."""
-    if path not in _ENCODERS:
+def _encoder(path: str, special: bool):
+    """The tokenizer, the byte length of each id, the contents of the added tokens that it finds in texts, and the pieces met so far in this worker."""
+    if (path, special) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores already
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        tokenizer.encode_special_tokens = not special
+        vocabulary, added = tokenizer.get_vocab(with_added_tokens=False), tokenizer.get_added_tokens_decoder()
+        width = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
         for token, i in vocabulary.items():
             width[i] = len(token)  # one character stands for one byte
-        _ENCODERS[path] = (tokenizer, width, Pieces())
-    return _ENCODERS[path]
+        for i, token in added.items():
+            width[i] = len(token.content.encode())
+        _ENCODERS[path, special] = (tokenizer, width, [t.content for t in added.values() if special or not t.special], Pieces())
+    return _ENCODERS[path, special]
 
 
 def _encode_pieces(pieces: list[str], tokenizer, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,26 +155,26 @@ def _encode_pieces(pieces: list[str], tokenizer, width: np.ndarray) -> tuple[np.
     return np.concatenate(counts), np.concatenate(ids)
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian u32.
+def encode_texts(texts: list[str], path: str, special: bool = False) -> list[bytes]:
+    """Ids of each text as little-endian u32. special: a special token's content in a text is that token, as in the records; else it is text.
 
     The tokenizer's pattern never joins a character that is not white space with white space after it,
     so a text whose spaces all stand alone is the chain of its pieces, cut before each space. Pieces
     repeat: each is encoded once by the library and kept by its 64-bit hash. Other texts, and first
-    pieces, go to the library as they are, and so does a text whose ids do not add up to its bytes.
+    pieces, go to the library as they are, and so does a text that holds an added token, or whose ids do not add up to its bytes.
     """
-    tokenizer, width, known = _encoder(path)
+    tokenizer, width, added, known = _encoder(path, special)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     out: list[bytes | None] = [None] * len(texts)
     for part in chunks([len(b) for b in raw]):
-        _encode_chunk(texts, raw, out, part, tokenizer, width, known)
+        _encode_chunk(texts, raw, out, part, tokenizer, width, added, known)
     left = [i for i, ids in enumerate(out) if ids is None]
     for i, got in zip(left, tokenizer.encode_batch_fast([texts[i] for i in left], add_special_tokens=False)):
         out[i] = np.array(got.ids, "<u4").tobytes()
     return out
 
 
-def _encode_chunk(texts: list[str], raw: list[bytes], out: list, part: slice, tokenizer, width: np.ndarray, known: Pieces) -> None:
+def _encode_chunk(texts: list[str], raw: list[bytes], out: list, part: slice, tokenizer, width: np.ndarray, added: list[str], known: Pieces) -> None:
     data = np.frombuffer(b"\n".join([*raw[part], b""]), np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(b) + 1 for b in raw[part]])])
     blank = _SPACES[data]
@@ -181,6 +184,9 @@ def _encode_chunk(texts: list[str], raw: list[bytes], out: list, part: slice, to
     led = np.unique(np.searchsorted(bounds, np.flatnonzero(_LEADS[data]), "right") - 1)
     whole = np.zeros(len(bounds) - 1, bool)
     whole[odd_at] = True
+    if added:
+        whole |= [any(a in t for a in added) for t in texts[part]]
+    whole |= any(" " in a for a in added)  # joined pieces could spell it
     for i in led:
         whole[i] |= bool(_FAR_SPACE.search(texts[part.start + i]))
     spaces = np.flatnonzero(single)
@@ -222,7 +228,7 @@ def _encode_chunk(texts: list[str], raw: list[bytes], out: list, part: slice, to
 
 def frame_texts(doc_ids: list, texts: list, path: str, end_id: int) -> list[bytes]:
     end, out = struct.pack("<I", end_id), []
-    for doc_id, tokens in zip(doc_ids, encode_texts([t or "" for t in texts], path)):
+    for doc_id, tokens in zip(doc_ids, encode_texts([t or "" for t in texts], path, special=True)):
         ids = np.frombuffer(tokens + end, "<u4")
         wide = bool(ids.max() >> 16)
         head = ENTRY.pack(doc_id or 0, (doc_id is None) + 2 * wide, len(ids))

@@ -211,6 +211,21 @@ def test_pieces_equal_the_library(tokenizer_path):
         assert token_records.encode_texts(texts, tokenizer_path) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_records_hold_added_tokens_as_the_library_does(spark, tokenizer_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path)
+    rng = random.Random(4)
+    parts = ["a", "end", " ", " ", "  ", "\n", "é", "<|endoftext|>", "<|endof", "text|>", "."]
+    texts = ["end <|endoftext|> next", "<|endoftext|>", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000))]
+    ids = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [437, 220, 50256, 1306]
+    assert token_records.encode_texts(texts, tokenizer_path, special=True) == [np.array(i, "<u4").tobytes() for i in ids]
+    table = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    got = sorted(token_records.encode_documents(table, tokenizer_path).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(i) + 1, zlib.crc32(np.array([*i, 0], "<u4").tobytes())) for i in ids[:40]]
+
+
 def test_records_round_trip(spark, docs, rows, tokenizer_path, tmp_path):
     from tokenizers import Tokenizer
 
