@@ -8,8 +8,9 @@ elements on the host's strongest path that the page has; a page with none uses i
 host's odd page is not lost.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are dropped by
-element and by the words of class and id. A page where that leaves nothing keeps what only the elements
-drop. Character references are decoded once, white space in a block becomes one space, blocks are joined
+element and by the words of class and id. Such a word, unless it is negated (has-, no-), drops no element that
+holds the page's largest article, or else most of its text outside links; words of comments and adverts need a
+h1 in the latter case too. A page where nothing is left keeps what only the elements drop. Character references are decoded once, white space in a block becomes one space, blocks are joined
 by line ends in page order; nothing is cut off.
 
 A null or empty page gives an empty text. A url without a host votes with all others like it. Rows that
@@ -35,7 +36,8 @@ VOTES = 1_000_000
 BROADCAST_HOSTS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea title select object canvas math".split())
+RAW = frozenset("script style noscript template svg iframe textarea title select canvas".split())
+UNTIL_CLOSED = frozenset("script style textarea".split())
 DROPPED = frozenset("head nav header footer aside form button menu dialog".split())
 BLOCKS = frozenset("html head body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot caption tr td th section article main figure figcaption address details summary nav header footer aside form fieldset menu dialog center hgroup button".split())
 CONTAINERS = frozenset("body div section article main td blockquote center fieldset".split())
@@ -45,11 +47,14 @@ NOISE = frozenset("ad ads adbox adsense nav navbar menu header footer masthead n
 NOISE_PREFIXES = ("advert", "comment", "cookie", "sidebar", "breadcrumb", "newsletter", "subscri", "promo", "sponsor", "navigation", "disqus")
 HOLDS = frozenset("html body main".split())
 BESIDE_ARTICLE = frozenset("ad ads related recommended reply replies respond".split())
+NEGATED = frozenset("has no not non with without".split())
+LEAST_ARTICLE = 0.25
 BESIDE_PREFIXES = ("comment", "advert", "promo", "sponsor")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)|[^<]+|<", re.S)
 _CLASS = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SAME = {tag: re.compile(rf"<(/?){tag}(?![a-z0-9:-])", re.I) for tag in RAW}
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -59,7 +64,9 @@ class Element:
     path: str
     parent: int
     dropped: bool
-    noise: bool
+    noise: bool  # hidden, or within what is; once the page is read, also by words
+    word: bool  # a word of noise of its own
+    beside: bool  # and one of comments, adverts and the like
 
 
 @dataclass
@@ -73,13 +80,18 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _marks(attributes: str, tag: str) -> tuple[str, bool]:
-    """Generalised classes, and whether the attributes speak of something hidden or beside the article.
+def _noisy(words: list[str], of_noise: frozenset, prefixes: tuple) -> bool:
+    """Whether a class has a word of noise that is not negated, as in has-sidebar and ad-free."""
+    return any((w in of_noise or w.startswith(prefixes)) and not NEGATED.intersection(words[:k]) and words[k + 1 : k + 2] != ["free"] for k, w in enumerate(words))
+
+
+def _marks(attributes: str, tag: str) -> tuple[str, bool, bool, bool]:
+    """Generalised classes, and whether the attributes speak of something hidden, beside the article, and of comments or adverts.
 
     An article is beside another one only by the narrower list of words, as layouts name their articles freely.
     """
     words_of_noise, prefixes = (BESIDE_ARTICLE, BESIDE_PREFIXES) if tag == "article" else (NOISE, NOISE_PREFIXES)
-    classes, noise = [], False
+    classes, noise, word, beside = [], False, False, False
     for name, *values in _CLASS.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "style":
@@ -87,17 +99,20 @@ def _marks(attributes: str, tag: str) -> tuple[str, bool]:
         elif name in ("hidden", "aria-hidden"):
             noise |= name == "hidden" or value.lower() == "true"
         else:
-            words = [w.lower() for w in _WORD.findall(value)]
-            noise |= any(w in words_of_noise or w.startswith(prefixes) for w in words)
+            for one in value.split():
+                words = [w.lower() for w in _WORD.findall(one)]
+                word |= _noisy(words, words_of_noise, prefixes)
+                beside |= _noisy(words, BESIDE_ARTICLE, BESIDE_PREFIXES)
         if name == "class":
             classes = sorted({re.sub(r"\d+", "", c) for c in value.lower().split()})
-    return "".join("." + c for c in classes if c), noise
+    return "".join("." + c for c in classes if c), noise, word, beside
 
 
 def read(source: str) -> Page:
     """Block elements and text blocks of a page, cut-off and badly nested ones included."""
     page, stack, text, linked, link = Page(), [-1], [], 0, False
     skip: str | None = None
+    closed = True  # whether what is skipped has an end tag
 
     def flush() -> None:
         nonlocal linked
@@ -120,10 +135,15 @@ def read(source: str) -> Page:
             continue
         tag, closing = tag.lower(), bool(found[1])
         if skip:
-            skip = None if closing and tag == skip else skip
-            continue
+            if closed or tag not in BLOCKS:
+                skip = None if closing and tag == skip else skip
+                continue
+            skip = None
         if tag in RAW:
             skip = None if closing or found[3].rstrip().endswith("/") else tag
+            if skip:
+                same = None if tag in UNTIL_CLOSED else _SAME[tag].search(source, found.end())
+                closed = tag in UNTIL_CLOSED or bool(same and same[1])
         elif tag == "a":
             link = not closing
         elif tag == "br":
@@ -143,15 +163,45 @@ def read(source: str) -> Page:
             while stack[-1] >= 0 and page.elements[stack[-1]].tag in CLOSED_BY.get(tag, ()):
                 stack.pop()
             above = page.elements[stack[-1]] if stack[-1] >= 0 else None
-            classes, noise = _marks(found[3], tag) if found[3] else ("", False)
-            own = noise and tag not in HOLDS
+            classes, noise, word, beside = _marks(found[3], tag) if found[3] else ("", False, False, False)
+            free = tag in HOLDS
             classes = "" if tag in ("html", "body") else classes  # those speak of the page, not of the host
-            page.elements.append(Element(tag, f"{above.path if above else ''}/{tag}{classes}", stack[-1], tag in DROPPED or bool(above and above.dropped), own or bool(above and above.noise)))
+            page.elements.append(Element(tag, f"{above.path if above else ''}/{tag}{classes}", stack[-1], tag in DROPPED or bool(above and above.dropped), not free and noise or bool(above and above.noise), word and not free, beside))
             stack.append(len(page.elements) - 1)
     flush()
+    _drop_by_words(page)
     return page
 
 
+def _drop_by_words(page: Page) -> None:
+    """Marks what words of noise drop, and all within. Not dropped is what holds the article, or most of the text."""
+    elements = page.elements
+    if not any(e.word for e in elements):
+        return
+    worth, titled = [0.0] * len(elements), [e.tag == "h1" for e in elements]
+    total = 0.0
+    for text, linked, at in page.blocks:
+        if at < 0 or not (elements[at].dropped or elements[at].noise):
+            total += len(text) - linked
+            if at >= 0:
+                worth[at] += len(text) - linked
+    for i in range(len(elements) - 1, -1, -1):
+        if (above := elements[i].parent) >= 0:
+            worth[above] += worth[i]
+            titled[above] |= titled[i]
+    articles = [i for i, e in enumerate(elements) if e.tag in ("article", "main") and not e.word and worth[i] and worth[i] >= LEAST_ARTICLE * total]
+    article = max(articles, key=lambda i: (worth[i], -i), default=-1)
+    above, at = set(), article
+    while at >= 0:
+        above.add(at)
+        at = elements[at].parent
+    inside = [False] * len(elements)
+    for i, e in enumerate(elements):
+        inside[i] = i == article or e.parent >= 0 and inside[e.parent]
+        most = 2 * worth[i] > total and (article < 0 or inside[i]) and (titled[i] or not e.beside)
+        e.noise |= e.word and i not in above and not most or e.parent >= 0 and elements[e.parent].noise
+
+
 def _kept(page: Page) -> tuple[list[tuple[str, int, int]], bool]:
     """Blocks outside what is dropped, and whether classes count: they do unless they leave nothing."""
     plain = [b for b in page.blocks if b[2] < 0 or not page.elements[b[2]].dropped]

@@ -365,6 +365,23 @@ def test_classes_that_hide_everything_are_overruled():
     assert html_text.extract(source, []) == "T\nThe text.\nshown inline"
 
 
+@pytest.mark.parametrize("name", ["wrap has-sidebar", "no-sidebar", "ad-free", "market-share", "header-fixed", "sidebar-layout", "withSidebar"])
+def test_wrappers_with_noise_words_keep_the_article(name):
+    skip, body = "<div class=skip>Skip to content</div>", "<h1>T</h1><p>The text of the article, all of it.</p><div class=share>Share</div>"
+    for inner in (f"<div class=post>{body}</div>", f"<article>{body}</article>"):
+        source = f"<body>{skip}<div class='{name}'>{inner}</div></body>"
+        assert html_text.extract(source, []) == "T\nThe text of the article, all of it."
+        assert max(html_text.votes(source).items(), key=lambda x: x[1])[0].endswith(("/div.post", "/article"))
+    long = "<div id=comments><p>" + "A long comment. " * 40 + "</p></div>"
+    assert html_text.extract(f"<body><article>{body}{long}</article></body>", []) == "T\nThe text of the article, all of it."
+
+
+def test_fallbacks_are_text_and_unclosed_skips_end():
+    assert html_text.extract("<p>Let <math><mi>x</mi></math> be <object data=q>a plot</object>.</p>", []) == "Let x be a plot."
+    assert html_text.extract("<div><svg><path d=q><p>One.</p><p>Two.</p></div>", []) == "One.\nTwo."
+    assert html_text.extract("<div><noscript><p>Enable it</p></noscript><p>One.</p></div>", []) == "One."
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 24))
