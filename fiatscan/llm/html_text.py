@@ -5,7 +5,9 @@ out), and blocks of text. Every container of a page gets a score: the characters
 outside links, and a share of what its inner containers hold. A page casts its scores, as shares of
 their sum, as votes for paths; votes are summed per host in Spark. A page's text is then taken from all its
 elements on the host's strongest path that the page has; a page with none uses its own best path, so a
-host's odd page is not lost.
+host's odd page is not lost. From there it climbs to the parent while that adds headings, paragraphs or
+sections of its own beside the container, mostly outside links and no more text than the container has; of the
+body, only its own blocks and sections are added, not those of its other containers.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are dropped by
 element and by the words of class and id. Such a word, unless it is negated (has-, no-), drops no element that
@@ -230,6 +232,31 @@ def votes(source: str | None) -> dict[str, int]:
     return {path: int(VOTES * s / total) for path, s in scores.items()} if total else {}
 
 
+def _climb(page: Page, blocks: list[tuple[str, int, int]], taken: set[int]) -> set[int]:
+    """The elements, and those of the parents that hold further parts of the same article."""
+    elements = page.elements
+    while True:
+        tops = {elements[i].parent for i in taken} - taken
+        if len(tops) != 1 or (top := tops.pop()) < 0:
+            return taken
+        under, direct = {top: True}, {top}  # direct: no container but sections lies between
+        for i in range(top + 1, len(elements)):
+            e = elements[i]
+            if e.parent in under:
+                under[i] = True
+                if e.parent in direct and (e.tag not in CONTAINERS or e.tag in ("section", "blockquote")):
+                    direct.add(i)
+        within = elements[top].tag == "body"
+        more = [b for b in blocks if b[2] not in taken and b[2] in (direct if within else under)]
+        own = any(b[2] in direct or elements[b[2]].tag == "h1" for b in more)
+        length, linked = sum(len(b[0]) for b in more), sum(b[1] for b in more)
+        if more and (not own or 2 * linked > length or length - linked > sum(len(b[0]) - b[1] for b in blocks if b[2] in taken)):
+            return taken
+        if within or elements[top].tag == "html":
+            return taken | {b[2] for b in more}
+        taken = taken | set(under)
+
+
 def extract(source: str | None, paths: list[str]) -> str:
     """Text on the first of the paths that the page has, or else on its own best one; all that is kept if it has none."""
     if not source:
@@ -243,7 +270,8 @@ def extract(source: str | None, paths: list[str]) -> str:
     inside: dict[int, bool] = {-1: False}
     for i, element in enumerate(page.elements):
         inside[i] = inside[element.parent] or element.path == best
-    return "\n".join(text for text, _, at in blocks if inside[at])
+    taken = _climb(page, blocks, {i for i, held in inside.items() if held})
+    return "\n".join(text for text, _, at in blocks if at in taken)
 
 
 def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -376,6 +376,22 @@ def test_wrappers_with_noise_words_keep_the_article(name):
     assert html_text.extract(f"<body><article>{body}{long}</article></body>", []) == "T\nThe text of the article, all of it."
 
 
+def test_parts_outside_the_largest_container_are_kept():
+    long = "".join(f"<p>Paragraph {k} of the article, with some text.</p>" for k in range(12))
+    want = [f"Paragraph {k} of the article, with some text." for k in range(12)]
+    beside = "<div class=extra><p>Other things in a box beside the article.</p></div><div class=links><a href=x>One</a> <a href=y>Two</a></div>"
+    for post in ("<div class=post>%s</div>", "<table><tr><td class=post>%s</td></tr></table>", "<section>%s</section>"):
+        inner = f"<h1>Title</h1><p>Lead</p><div class=post-body>{long}</div><section class=end><p>The end.</p></section>"
+        page = f"<body><div class=row>{post % inner}{beside}</div></body>"
+        path = max(html_text.votes(page).items(), key=lambda x: x[1])[0]
+        assert path.endswith("/div.post-body")
+        assert html_text.extract(page, [path]).split("\n") == ["Title", "Lead", *want, "The end."]
+    only_end = f"<body><div class=post><div class=post-body>{long}</div><section><p>The end.</p></section></div>{beside}</body>"
+    assert html_text.extract(only_end, []).split("\n") == [*want, "The end."]
+    headed = f"<body><div class=post><div class=top><h1>Title</h1></div><div class=post-body>{long}</div></div>{beside}</body>"
+    assert html_text.extract(headed, []).split("\n") == ["Title", *want]
+
+
 def test_fallbacks_are_text_and_unclosed_skips_end():
     assert html_text.extract("<p>Let <math><mi>x</mi></math> be <object data=q>a plot</object>.</p>", []) == "Let x be a plot."
     assert html_text.extract("<div><svg><path d=q><p>One.</p><p>Two.</p></div>", []) == "One.\nTwo."
