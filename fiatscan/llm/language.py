@@ -4,7 +4,8 @@ Texts are cut into windows of `WINDOW` bytes, every byte is read, and both direc
 The network labels every position; a document's probabilities are the mean of those of its positions.
 It is trained in numpy by backpropagation through time, on the driver, on a bounded sample: at most
 `sample_rows` learning rows of each language, the first by a hash of doc_id, and at most
-`windows_each` windows of each row. Prediction reads whole texts.
+`windows_each` windows of each row, drawn from the whole text inside Spark. Every language of a learning row
+with a text is learned. Prediction reads whole texts.
 
 A gate is a clipped line, and input weights are one table row a byte, so a step is two small products
 and a few sums over thousands of windows at once.
@@ -28,9 +29,7 @@ from .common import crc_of_id, small_batches
 WINDOW = 64
 HIDDEN = 8
 SAMPLE_ROWS = 400
-SAMPLE_BYTES = 1 << 14
 WINDOWS_EACH = 6
-MAX_LANGUAGES = 512
 STEPS = 240
 BATCH = 256
 RATE = 0.02
@@ -146,6 +145,7 @@ def probabilities(texts: list[bytes], model: Model, at_once: int = 4096) -> np.n
     w, n = model.weights, len(model.languages)
     hidden = len(w["uf"])
     codes, owner = window_codes(texts)
+    at_once = max(64, min(at_once, at_once * 32 // max(n, 1)))  # many languages take as much memory as few
     total, length = np.zeros((len(texts), n)), np.zeros(len(texts))
     for start in range(0, len(codes), at_once):
         part = np.ascontiguousarray(codes[start : start + at_once].T)
@@ -183,27 +183,42 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
     return [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered)], np.where(lettered, p[np.arange(len(p)), best], 0.0).clip(0, 1)
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, windows_each: int = WINDOWS_EACH, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
+def _draw(windows_each: int):
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc_id, lang, copy, text in zip(pdf["doc_id"], pdf["lang"], pdf["copy"], pdf["text"]):
+                n = -(-len(text) // WINDOW)
+                drawn = range(n) if n <= windows_each else np.random.default_rng([int(doc_id) % 2**64, n]).choice(n, windows_each, False).tolist()
+                for at in drawn:
+                    piece = bytes(text[at * WINDOW : (at + 1) * WINDOW])
+                    out.append((doc_id, lang, copy, at, piece))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "copy", "at", "piece"])
+
+    return made
+
+
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, windows_each: int = WINDOWS_EACH, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
     learning = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % folds != held_out))
-    languages = sorted(r[0] for r in learning.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    if not languages:
-        return Model([], {})
-    salted = learning.where((F.octet_length(F.col("text").cast("binary")) <= sample_bytes) & F.col("lang").isin(languages)).select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
+    learning = learning.where(F.octet_length(F.col("text").cast("binary")) > 0)
+    salted = learning.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
     within = Window.partitionBy("lang", F.pmod("_h", F.lit(64))).orderBy("_h", "doc_id")
     least = salted.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= sample_rows)
     chosen = least.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_n") <= sample_rows).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.octet_length("text") <= sample_bytes).toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    rng = np.random.default_rng(0)
-    codes, owner = window_codes([bytes(t) for t in rows["text"]])
-    shuffled = rng.permutation(len(codes))
-    place = pd.Series(owner[shuffled]).groupby(owner[shuffled]).cumcount().to_numpy()
-    picked = np.sort(shuffled[place < windows_each])
-    labels = np.searchsorted(languages, rows["lang"].to_numpy()[owner[picked]])
-    if not len(picked):
+    texts = learning.select("doc_id", "lang", F.xxhash64("text").alias("copy"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    drawn = texts.mapInPandas(_draw(windows_each), "doc_id long, lang string, copy long, at long, piece binary")
+    rows = drawn.dropDuplicates(["doc_id", "lang", "copy", "at"]).toPandas()
+    if not len(rows):
         return Model([], {})
-    even = np.concatenate([rng.choice(np.flatnonzero(labels == k), max(1, len(labels) // len(languages))) for k in range(len(languages)) if (labels == k).any()])
-    return fit(codes[picked][even], labels[even], languages)
+    rows = rows.sort_values(["lang", "doc_id", "copy", "at"], ignore_index=True)
+    first = rows.groupby(["lang", "doc_id"])["copy"].transform("first")
+    rows = rows[rows["copy"] == first]
+    languages = sorted(set(rows["lang"]))
+    codes, _ = window_codes([bytes(x) for x in rows["piece"]])
+    labels = np.searchsorted(languages, rows["lang"].to_numpy())
+    rng = np.random.default_rng(0)
+    even = np.concatenate([rng.choice(np.flatnonzero(labels == k), max(1, len(labels) // len(languages))) for k in range(len(languages))])
+    return fit(codes[even], labels[even], languages)
 
 
 def _predict(model):

@@ -194,6 +194,17 @@ def test_language_of_held_out_texts(spark):
     assert {r.lang_pred for r in language.identify(table.withColumn("lang", table["lang"].substr(9, 1).cast("string")).where("doc_id = 1000")).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    long = "der schön und über nicht haus " * 800
+    few = [(i, long, "de", "s") for i in range(12)] + [(100 + i, "the thing and with over house " * 5, "en", "s") for i in range(12)]
+    many = [(1000 + i, f"text {i}", f"l{i // 8}", "s") for i in range(8 * 600)]
+    table = spark.createDataFrame(few + many, "doc_id long, text string, lang string, source string")
+    learned = {lang for i, _, lang, _ in few + many if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(language.train(table).languages) == learned and len(learned) > 590
+    got = language.identify(table.where("lang in ('de', 'en')")).collect()
+    assert all(r.lang_pred == ("de" if r.doc_id < 100 else "en") for r in got)
+
+
 @pytest.fixture(scope="module")
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
