@@ -2,42 +2,50 @@
 
 Vectors get binary codes: signs after rotations learned on a bounded sample, each by alternating between
 codes and the rotation nearest to them. An extra coordinate makes all norms equal, so that a near code means a large
-inner product. A code is split into substrings of 16 bits, each of which is an index. Two codes
-within Hamming radius R differ by at most R // m bits in one of m substrings, so probing every index
-within that many bits finds every code in the radius; found codes are checked in full, and what is in
-the radius is ranked by the inner product in double precision.
-
-The radius is learned on the sample. Where it holds fewer codes of a block than neighbours are wanted, it grows to the
-nearest ones, so no query is left short. Probing goes over the values that a block has, so it never
-costs more than its codes.
-
-Equal vectors are one class with its smallest ids, as many as an answer can need; their ids are
-gathered over salted groups. Classes and distinct query vectors are dealt into blocks of bounded size, and a task gets a block of
-each. All vectors are in the index.
+inner product. A code is split into substrings, each of which has an index: a table from the substring's
+value to the vectors that have it. A substring has so many bits that a value has about sixteen vectors.
+
+A query probes every index within one bit of its own value. Two codes within Hamming radius
+`2 * substrings - 1` differ by at most one bit in some substring, so by the pigeonhole principle these probes find every code in that
+radius. Where neighbours lie farther, as in data without clusters, each index is probed on, at the values that flip the
+bits of least margin. How many substrings and values are used is learned on the sample: those of least work that find a share `COVERAGE` of its neighbours. Index and probes are
+joined on (substring, value) and by nothing else; pairs beyond a Hamming radius of the whole codes, learned likewise, are dropped in that
+join, and what is left is ranked by the inner product in double precision.
+
+A query whose probes find fewer vectors than are wanted (an odd one, or a small table) is compared with all vectors, so none is
+left short. Equal vectors are one class with its smallest ids, as many as an answer can need; their ids are
+taken over salted groups. All vectors are in the indices, and no value's list is cut; a value that many vectors share is split
+by the skew handling of Spark's joins. For the ranking, candidates are dealt to the blocks of vectors that hold them; a task
+holds one block and streams the queries past it.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows
-without vec_id. Rows that repeat are one. With fewer candidates than asked for, all are returned.
+without vec_id. Rows that repeat are one. Of equal scores the smaller vec_id comes first. With fewer candidates than asked for, all
+are returned. An empty table, or one without a query, gives no rows. Other columns, whatever their names, are ignored; vectors of any
+length and tables of any size are handled alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 BITS = 256
-SUBSTRING = 16
+VALUE_BITS = 4  # a value of a substring has about 2 ** VALUE_BITS vectors
+LEAST_WIDTH, MOST_WIDTH = 4, 24
+PATTERNS = 4096
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
 ROUNDS = 25
-COVERAGE = 0.985
+COVERAGE = 0.99
 BLOCK = 8192
-QUERY_BLOCK = 1024
 SALTS = 64
 TOP = 20
 EVERY = 20
@@ -48,23 +56,72 @@ class Coder:
     mean: np.ndarray
     planes: np.ndarray  # (dims + 1, bits)
     norm: float
-    radius: int
+    width: int  # bits of a substring
+    substrings: int  # as many have an index
+    probes: int  # values probed in each index
+    radius: int  # Hamming radius of the whole codes
+
+
+def projected(x: np.ndarray, coder: Coder) -> np.ndarray:
+    """Distances to the planes of vectors, brought to the common norm by an extra coordinate."""
+    extra = np.sqrt(np.maximum(0.0, coder.norm**2 - (x * x).sum(1)))
+    return (np.c_[x, extra] - coder.mean) @ coder.planes
+
+
+def projected_queries(x: np.ndarray, coder: Coder) -> np.ndarray:
+    """The same of queries, whose length does not change the order of inner products."""
+    scaled = x * (coder.norm / np.sqrt((x * x).sum(1)))[:, None]
+    return (np.c_[scaled, np.zeros(len(x))] - coder.mean) @ coder.planes
+
+
+def words(sides: np.ndarray) -> np.ndarray:
+    """Whole codes as 64-bit words."""
+    return np.packbits(sides > 0, axis=1).view(np.uint64)
 
 
-def _lifted(x: np.ndarray, norm: float) -> np.ndarray:
-    """Vectors with the coordinate that brings them to the common norm."""
-    return np.c_[x, np.sqrt(np.maximum(0.0, norm * norm - (x * x).sum(1)))]
+def values(sides: np.ndarray, coder: Coder) -> np.ndarray:
+    """Value of each substring."""
+    bits = (sides > 0)[:, : coder.substrings * coder.width].reshape(len(sides), coder.substrings, coder.width)
+    return bits @ (1 << np.arange(coder.width))
 
 
-def codes_of(lifted: np.ndarray, coder: Coder) -> np.ndarray:
-    """Packed codes, `bits // 16` words of 16 bits."""
-    return np.packbits((lifted - coder.mean) @ coder.planes > 0, axis=1).view(np.uint16)
+def flips(width: int) -> np.ndarray:
+    """Sets of bits of a substring, fewest first: none, each one, then more of them together, while they are at most PATTERNS."""
+    out = [()]
+    for n in range(1, width + 1):
+        more = list(combinations(range(width), n))
+        if n > 1 and len(out) + len(more) > PATTERNS:
+            break
+        out += more
+    return np.array([[k in p for k in range(width)] for p in out])
 
 
-def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: int = 0) -> Coder:
+def flip_order(sides: np.ndarray, coder: Coder, patterns: np.ndarray) -> np.ndarray:
+    """Per query and substring, places of patterns: none and single bits, then those of least margin, as many as are probed."""
+    margins = sides[:, : coder.substrings * coder.width].reshape(-1, coder.width) ** 2
+    out = np.empty((len(margins), min(coder.probes, len(patterns))), np.int32)
+    ball = coder.width + 1
+    out[:, :ball] = np.arange(ball)[: out.shape[1]]
+    if (extra := out.shape[1] - ball) > 0:
+        for start in range(0, len(margins), 4096):
+            cost = margins[start : start + 4096] @ patterns[ball:].T.astype(float)
+            least = np.argpartition(cost, extra - 1, axis=1)[:, :extra]
+            out[start : start + 4096, ball:] = ball + np.take_along_axis(least, np.argsort(np.take_along_axis(cost, least, 1), axis=1, kind="stable"), 1)
+    return out.reshape(len(sides), coder.substrings, -1)
+
+
+def probe_values(sides: np.ndarray, coder: Coder) -> np.ndarray:
+    """(query, substring, probe): the values to look up in each index."""
+    patterns = flips(coder.width)
+    masks = patterns @ (1 << np.arange(coder.width))
+    return values(sides, coder)[:, :, None] ^ masks[flip_order(sides, coder, patterns)]
+
+
+def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: int = 0, coverage: float = COVERAGE) -> Coder:
     """total: vectors in all, by which the sample's nearest stand for the nearest of all."""
     rng = np.random.default_rng(seed)
-    lifted = _lifted(sample, norm)
+    coder = Coder(np.zeros(sample.shape[1] + 1), np.eye(sample.shape[1] + 1), norm, 1, 1, 1, bits)
+    lifted = projected(sample, coder)
     mean = lifted.mean(0)
     x = lifted - mean
     width = min(sample.shape[1], bits)
@@ -78,66 +135,29 @@ def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: i
             u, _, v = np.linalg.svd(low.T @ np.sign(low @ turn))
             turn = u @ v
         planes.append(axes @ turn)
-    coder = Coder(mean, np.concatenate(planes, 1)[:, :bits], norm, bits)
+    width = int(np.clip(round(np.log2(max(total, 2))) - VALUE_BITS, LEAST_WIDTH, MOST_WIDTH))
+    coder = Coder(mean, np.concatenate(planes, 1)[:, :bits], norm, width, bits // width, PATTERNS, bits)
     at = rng.permutation(len(sample))[:SAMPLE_QUERIES]
-    queries = np.c_[sample[at], np.zeros(len(at))]
-    scores = queries @ lifted.T
+    scores = sample[at] @ sample.T
     scores[np.arange(len(at)), at] = -np.inf
     near = max(1, min(len(sample) - 1, round(TOP * len(sample) / max(total, 1))))
     best = np.argpartition(-scores, near - 1, axis=1)[:, :near] if len(sample) > 1 else np.zeros((len(at), 1), int)
-    apart = distances(codes_of(queries, coder), codes_of(lifted, coder))
-    coder.radius = int(np.quantile(np.take_along_axis(apart, best, 1), COVERAGE))
+    asking, held = projected_queries(sample[at], coder), projected(sample, coder)
+    apart = np.bitwise_count(words(asking)[:, None, :] ^ words(held)[best]).sum(2)
+    coder.radius = int(np.quantile(apart, coverage, method="higher"))
+    probes = probe_values(asking, coder)
+    first, ways = np.full(best.shape, probes.shape[2]), []
+    for k in range(coder.substrings):
+        hit = probes[:, k, None, :] == values(held, coder)[best, k][:, :, None]
+        first = np.minimum(first, np.where(hit.any(2), hit.argmax(2), probes.shape[2]))
+        need = int(np.quantile(first, coverage, method="higher"))
+        if need < probes.shape[2] or k == coder.substrings - 1:
+            need = min(max(width, need) + 1, probes.shape[2])
+            ways.append(((k + 1) * (need + 1), k + 1, need))
+    _, coder.substrings, coder.probes = min(ways)
     return coder
 
 
-def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Hamming distances between all codes of two blocks."""
-    a, b = (_words(x) for x in (left, right))
-    out = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(a.shape[1]):
-        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return out
-
-
-def _words(codes: np.ndarray) -> np.ndarray:
-    short = -codes.shape[1] % 4
-    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, short)))).view(np.uint64)
-
-
-def probe(queries: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs (query, code) that some substring index holds within the pigeonhole bound: every pair within the radius."""
-    bound = radius // codes.shape[1]
-    found = np.zeros((len(queries), len(codes)), bool)
-    for k in range(codes.shape[1]):
-        values, where = np.unique(codes[:, k], return_inverse=True)
-        near = np.bitwise_count(queries[:, k, None] ^ values[None, :]) <= bound
-        found |= near[:, where]
-    return found
-
-
-def search_block(q: np.ndarray, x: np.ndarray, coder: Coder, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query rows, vector rows and inner products of the `top` best in each query's radius."""
-    x_codes = codes_of(_lifted(x, coder.norm), coder)
-    out: tuple[list, list, list] = ([], [], [])
-    for start in range(0, len(q), 256):
-        part = q[start : start + 256]
-        q_codes = codes_of(np.c_[part, np.zeros(len(part))], coder)
-        apart = distances(q_codes, x_codes)
-        inside = probe(q_codes, x_codes, coder.radius) & (apart <= coder.radius)
-        few = inside.sum(1) < top
-        if few.any():
-            n = min(top, len(x)) - 1
-            inside[few] |= apart[few] <= np.partition(apart[few], n, axis=1)[:, n, None]
-        for i in range(len(part)):
-            rows = np.flatnonzero(inside[i])
-            scores = (x[rows] * part[i]).sum(1)
-            best = np.argsort(-scores, kind="stable")[:top] if len(rows) <= top else np.flatnonzero(scores >= np.partition(scores, -top)[-top])
-            out[0].append(np.full(len(best), start + i))
-            out[1].append(rows[best])
-            out[2].append(scores[best])
-    return tuple(np.concatenate(o) for o in out)
-
-
 def valid(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (array<double>) of the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
@@ -145,52 +165,139 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.where(good)
 
 
-def _search(coder, top: int):
-    def made(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "key": [], "first_id": [], "score": []})
-        x, q = (np.stack(side["embedding"].to_numpy()).astype(np.float64) for side in (left, right))
-        i, j, scores = search_block(q, x, coder.value, top)
-        return pd.DataFrame({"q": right["key"].to_numpy()[i], "key": left["key"].to_numpy()[j], "first_id": left["first_id"].to_numpy()[j], "score": scores})
+def _grid(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1), dtype=np.float64)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def _coded(coder, asking: bool):
+    """(c, embedding) -> c, code (64-bit words), buckets: (substring, value) as one number."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = coder.value
+        base = np.arange(how.substrings, dtype=np.int64) << how.width
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                x = _grid(part.column("embedding"))
+                sides = projected_queries(x, how) if asking else projected(x, how)
+                buckets = (probe_values(sides, how) + base[:, None]).reshape(len(x), -1) if asking else values(sides, how) + base
+                yield pa.RecordBatch.from_arrays([part.column("c"), _lists(words(sides).view(np.int64)), _lists(buckets.astype(np.int64))], ["c", "code", "buckets"])
+
+    return made
+
+
+def index_table(classes: DataFrame, coder, asking: bool, name: str, prefix: str) -> DataFrame:
+    """A row for each (substring, value) of a class, or for each probe of a query: bucket, `name`, words of the code."""
+    coded = classes.select("c", "embedding").mapInArrow(_coded(coder, asking), "c long, code array<long>, buckets array<long>")
+    n_words = coder.value.planes.shape[1] // 64
+    return coded.select(F.explode("buckets").alias("bucket"), F.col("c").alias(name), *(F.col("code")[k].alias(f"{prefix}{k}") for k in range(n_words)))
+
+
+def met(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """Every (query, class) that a probe finds in an index, with the codes' Hamming distance; once for each index that has it."""
+    n_words = sum(c.startswith("code") for c in index.columns)
+    apart: Column = sum((F.bit_count(F.col(f"code{k}").bitwiseXOR(F.col(f"asked{k}"))) for k in range(n_words)), F.lit(0))
+    return probes.join(index, "bucket").select("q", "c", apart.alias("apart"))
+
+
+def _rank(top: int):
+    """Rows in order of block, vectors (tag 0) before queries (tag 1): a query's best among its candidates in the block, all of it where they are null."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, rows, x, order = None, [], [], None, None
+        for batch in batches:
+            blocks, tags = (batch.column(c).to_numpy() for c in ("block", "tag"))
+            cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (tags[1:] != tags[:-1])) + 1).tolist(), len(blocks)]
+            out: list[tuple] = []
+            for low, high in zip(cuts, cuts[1:]):
+                part = batch.slice(low, high - low)
+                if not len(part):
+                    continue
+                if blocks[low] != block:
+                    block, ids, rows, x = blocks[low], [], [], None
+                if tags[low] == 0:
+                    ids.append(part.column("id").to_numpy())
+                    rows.append(_grid(part.column("embedding")))
+                    continue
+                if x is None:
+                    x, held = np.concatenate(rows), np.concatenate(ids)
+                    order = np.argsort(held)
+                    held, rows = held[order], []
+                asked = _grid(part.column("embedding"))
+                for q, vector, found in zip(part.column("id").to_pylist(), asked, part.column("found")):
+                    at = order if found.as_py() is None else order[np.searchsorted(held, found.values.to_numpy())]
+                    scores = (x[at] * vector).sum(1)
+                    best = np.arange(len(at)) if len(at) <= top else np.flatnonzero(scores >= np.partition(scores, -top)[-top])
+                    out.append((np.full(len(best), q), held[np.searchsorted(held, found.values.to_numpy()[best])] if found.as_py() is not None else held[best], scores[best]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["q", "c", "score"])
 
     return made
 
 
-def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, bits: int = BITS, sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """embeddings -> query_id, rank, vec_id, score: the `top` nearest found of each row whose vec_id divides by `every`."""
+def ranked(classes: DataFrame, asked: DataFrame, n_blocks: int, top: int) -> DataFrame:
+    """classes (c, embedding), asked (block, q, embedding, found) -> q, c, score: the best `top` of each query and block, ties included."""
+    vectors = classes.select(block_of("c", n_blocks).alias("block"), F.lit(0).alias("tag"), F.col("c").alias("id"), "embedding", F.lit(None).cast("array<long>").alias("found"))
+    dealt = vectors.unionAll(asked.select("block", F.lit(1), "q", "embedding", "found")).repartition("block").sortWithinPartitions("block", "tag")
+    return dealt.mapInArrow(_rank(top), "q long, c long, score double")
+
+
+def block_of(column: str, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n_blocks)).cast("int")
+
+
+def classes_of(rows: DataFrame, every: int, top: int) -> DataFrame:
+    """vec_id, embedding -> c, h1, h2 (they name the vector), embedding, ids (the least top + 1), first_id, asked."""
+    keyed = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
+    within = Window.partitionBy("h1", "h2", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).orderBy("vec_id")
+    least = keyed.select("h1", "h2", "vec_id").distinct().withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= top + 1)
+    ids = least.groupBy("h1", "h2").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, top + 1).alias("ids"))
+    one = keyed.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.max(F.pmod("vec_id", F.lit(every)) == 0).alias("asked"))
+    return one.join(ids, ["h1", "h2"]).select(F.monotonically_increasing_id().alias("c"), "h1", "h2", "embedding", "ids", F.element_at("ids", 1).alias("first_id"), "asked")
+
+
+def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, bits: int = BITS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """embeddings -> query_id, rank, vec_id, score: the `top` nearest found of each row whose vec_id divides by `every`. bits: a multiple of 64."""
     spark = vectors.sparkSession
+    small_batches(spark, 2000)
     rows = valid(vectors)
     common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if common is None:
         return empty
     rows = rows.where(F.size("embedding") == common["n"]).withColumn("embedding", F.transform("embedding", lambda c: c + F.lit(0.0)))
-    keyed = stored(rows.withColumn("key", F.md5(F.concat_ws(",", F.col("embedding").cast("array<string>")))).distinct(), "vectors")
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))
-    within = Window.partitionBy("key", "_salt").orderBy("vec_id")
-    least = keyed.withColumn("_salt", salt).withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= top + 1)
-    classes = least.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, top + 1).alias("ids"), F.first("embedding").alias("embedding"))
-    classes = stored(classes.withColumn("first_id", F.element_at("ids", 1)), "classes")
-    asked = keyed.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = stored(asked.groupBy("key").agg(F.first("embedding").alias("embedding")), "queries")
-    n, n_queries = classes.count(), queries.count()
-    if not n_queries:
-        return empty
+    classes = stored(classes_of(rows, every, top), "classes")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, c: s + c * c))
-    largest = classes.agg(F.max(norm)).first()[0]
-    picked = classes.orderBy(F.xxhash64("key"), "key").limit(sample).select("embedding").toPandas()
+    n, n_asked, largest, n_ids = classes.agg(F.count("*"), F.count_if("asked"), F.max(norm), F.sum(F.size("ids"))).first()
+    if not n_asked:
+        return empty
+    picked = classes.orderBy(F.xxhash64("h1"), "h2").limit(sample).select("embedding").toPandas()
     coder = spark.sparkContext.broadcast(learn(np.stack(picked["embedding"].to_numpy()), float(largest), n, bits))
-    n_left, n_right = -(-n // block), -(-n_queries // query_block)
-    spread = lambda k, m: F.pmod(F.xxhash64(k), F.lit(m)).cast("int")
-    span = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = classes.select("key", "first_id", "embedding", spread("key", n_left).alias("i"), span(n_right).alias("j"))
-    right = queries.select("key", "embedding", spread("key", n_right).alias("j"), span(n_left).alias("i"))
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_search(coder, top + 1), "q string, key string, first_id long, score double")
+    n_blocks = -(-n // block)
+    queries = classes.where("asked").select(F.col("c").alias("q"), "embedding")
+    pairs = met(index_table(classes, coder, False, "c", "code"), index_table(classes.where("asked"), coder, True, "q", "asked"))
+    found = pairs.where(F.col("apart") <= coder.value.radius).groupBy("q", block_of("c", n_blocks).alias("block")).agg(F.collect_set("c").alias("found"))
     by_class = Window.partitionBy("q").orderBy(F.desc("score"), "first_id")
-    best = found.withColumn("_n", F.row_number().over(by_class)).where(F.col("_n") <= top + 1)
-    named = best.join(classes.select("key", "ids"), "key").select(F.col("q").alias("key"), "score", F.explode("ids").alias("vec_id"))
-    by_row = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    answers = stored(named.withColumn("_n", F.row_number().over(by_row)).where(F.col("_n") <= top + 1).drop("_n"), "answers")
-    own = asked.select(F.col("vec_id").alias("query_id"), "key").join(answers, "key").where("vec_id <> query_id")
+    firsts = classes.select("c", "first_id", "ids")
+
+    def best_of(asked: DataFrame, name: str) -> DataFrame:
+        best = ranked(classes, asked, n_blocks, top + 1).join(firsts, "c")
+        return stored(best.withColumn("_n", F.row_number().over(by_class)).where(F.col("_n") <= top + 1).select("q", "score", "ids"), name)
+
+    best = best_of(found.join(queries, "q").select("block", "q", "embedding", "found"), "best")
+    enough = best.groupBy("q").agg(F.sum(F.size("ids")).alias("_n")).where(F.col("_n") >= min(top + 1, n_ids))
+    short = stored(queries.join(enough, "q", "left_anti"), "short")
+    if short.limit(1).count():
+        whole = short.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "q", "embedding", F.lit(None).cast("array<long>").alias("found"))
+        best = best.join(short.select("q"), "q", "left_anti").unionAll(best_of(whole, "best-short"))
+    named = best.select("q", "score", F.explode("ids").alias("vec_id"))
+    by_row = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    answers = named.withColumn("_n", F.row_number().over(by_row)).where(F.col("_n") <= top + 1).drop("_n")
+    own = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")).distinct()
+    own = own.join(classes.where("asked").select("h1", "h2", F.col("c").alias("q")), ["h1", "h2"]).join(answers, "q").where("vec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return own.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -409,42 +409,79 @@ def test_fallbacks_are_text_and_unclosed_skips_end():
     assert html_text.extract("<div><noscript><p>Enable it</p></noscript><p>One.</p></div>", []) == "One."
 
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize("n,spread", [(3000, 0.7), (9000, 0.3)])
+def test_nearest_neighbours(spark, n, spread):
     rng = np.random.default_rng(4)
-    centres = rng.normal(size=(20, 24))
-    x = (centres[rng.integers(0, 20, 3000)] + 0.7 * rng.normal(size=(3000, 24))).astype(np.float32) * rng.uniform(0.5, 2, (3000, 1)).astype(np.float32)
+    centres = rng.normal(size=(n // 150, 24))
+    x = (centres[rng.integers(0, len(centres), n)] + spread * rng.normal(size=(n, 24))).astype(np.float32) * rng.uniform(0.5, 2, (n, 1)).astype(np.float32)
     x[100:900] = x[100]
     data = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(4000, None), (4001, [0.0] * 24), (4020, [float("nan")] * 24), (4040, [1.0] * 5), (4060, [None] * 24), (4080, [float("inf")] * 24), (None, x[0].tolist()), (0, x[0].tolist())]
+    odd = [(n + 1000, None), (n + 1001, [0.0] * 24), (n + 1020, [float("nan")] * 24), (n + 1040, [1.0] * 5), (n + 1060, [None] * 24), (n + 1080, [float("inf")] * 24), (None, x[0].tolist()), (0, x[0].tolist())]
     table = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in ann.nearest(clashing(table), block=700, query_block=40).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(clashing(table), block=700).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r)
     y = x.astype(np.float64)
-    queries = range(0, 3000, 20)
+    queries = range(0, n, 20)
     assert set(got) == set(queries)
     hits = 0
     for q in queries:
         s = y @ y[q]
         s[q] = -np.inf
-        want = set(np.lexsort((np.arange(3000), -np.round(s, 9)))[:20].tolist())
+        want = set(np.lexsort((np.arange(n), -np.round(s, 9)))[:20].tolist())
         assert [r.rank for r in got[q]] == list(range(1, 21)) and q not in {r.vec_id for r in got[q]}
         assert all(abs(r.score - s[r.vec_id]) < 1e-9 for r in got[q])
         assert all((a.score, -a.vec_id) >= (b.score, -b.vec_id) for a, b in zip(got[q], got[q][1:]))
         hits += len(want & {r.vec_id for r in got[q]})
-    assert hits / (20 * len(queries)) > 0.93
-    assert len(ann.nearest(table.where("vec_id in (20, 21, 22)")).collect()) == 2
-    assert ann.nearest(table.limit(0)).count() == 0 and ann.nearest(table.where("vec_id = 4001")).count() == 0
-
-
-def test_probing_finds_every_code_in_the_radius():
-    rng = np.random.default_rng(0)
-    codes = rng.integers(0, 2**16, (500, 4)).astype(np.uint16)
-    queries = codes[:50] ^ np.where(rng.random((50, 4)) < 0.5, 1, 0).astype(np.uint16)
-    apart = ann.distances(queries, codes)
-    for radius in (0, 3, 12, 30):
-        found = ann.probe(queries, codes, radius)
-        assert not ((apart <= radius) & ~found).any()
+    assert hits / (20 * len(queries)) > 0.95
+    if n == 3000:
+        assert len(ann.nearest(table.where("vec_id in (20, 21, 22)")).collect()) == 2
+        assert ann.nearest(table.limit(0)).count() == 0 and ann.nearest(table.where(f"vec_id = {n + 1001}")).count() == 0
+
+
+def clusters(n=6000, dims=24, of=60, spread=0.15):
+    """Unit vectors in close clusters."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n // of, dims))[rng.integers(0, n // of, n)] + spread * rng.normal(size=(n, dims))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_candidates_come_from_the_indices_alone(spark):
+    x = clusters(spread=0.25)
+    coder = ann.learn(x[:2000], 1.0, len(x))
+    assert coder.substrings > 1
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "c long, embedding array<double>")
+    shared = spark.sparkContext.broadcast(coder)
+    index = ann.index_table(classes, shared, False, "c", "code").cache()
+    probes = ann.index_table(classes.where("c % 20 = 0"), shared, True, "q", "asked").cache()
+    found = {(r.q, r.c): r.apart for r in ann.met(index, probes).distinct().collect()}
+    sides, asked = ann.projected(x, coder), ann.projected_queries(x[::20], coder)
+    held, looked = ann.values(sides, coder), ann.probe_values(asked, coder)
+    want = {(20 * q, c) for q in range(len(asked)) for k in range(coder.substrings) for c in np.flatnonzero(np.isin(held[:, k], looked[q, k])).tolist()}
+    assert set(found) == want and len(want) < 0.1 * len(asked) * len(x)
+    apart = np.bitwise_count(ann.words(asked)[:, None, :] ^ ann.words(sides)[None]).sum(2)
+    assert all(apart[q // 20, c] == n for (q, c), n in found.items())
+    pigeonhole = {(20 * int(q), int(c)) for q, c in np.argwhere(apart <= 2 * coder.substrings - 1)}
+    assert pigeonhole and pigeonhole <= want
+    first = index.where(f"bucket < {1 << coder.width}")
+    assert 0 < ann.met(first, probes).select("q", "c").distinct().count() < len(want)
+    assert ann.met(index.limit(0), probes).count() == 0
+
+
+def test_probes_are_the_near_values_and_those_of_least_margin():
+    x = clusters(600)
+    coder = ann.learn(x, 1.0, len(x))
+    coder.probes = coder.width + 1 + 5
+    asked = ann.projected_queries(x[:50], coder)
+    own, looked = ann.values(asked, coder), ann.probe_values(asked, coder)
+    assert looked.shape == (50, coder.substrings, coder.probes)
+    near = np.bitwise_count(looked ^ own[:, :, None])
+    assert (np.sort(near[:, :, : coder.width + 1], axis=2) == [0] + [1] * coder.width).all() and (near[:, :, coder.width + 1 :] > 1).all()
+    for q in range(50):
+        margins = asked[q, : coder.width] ** 2
+        cost = [sum(margins[b] for b in range(coder.width) if v >> b & 1) for v in range(1 << coder.width)]
+        several = sorted((c, v) for v, c in enumerate(cost) if bin(v).count("1") > 1)
+        assert [int(v) for v in looked[q, 0, coder.width + 1 :] ^ own[q, 0]] == [v for _, v in several[:5]]
 
 
 def test_tables_between_steps_can_be_cleared(spark, docs):
