@@ -41,10 +41,11 @@ BITS = 256
 VALUE_BITS = 4  # a value of a substring has about 2 ** VALUE_BITS vectors
 LEAST_WIDTH, MOST_WIDTH = 4, 24
 PATTERNS = 4096
+FLIP_ROWS = 1024
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
 ROUNDS = 25
-COVERAGE = 0.99
+COVERAGE = 0.98
 BLOCK = 8192
 SALTS = 64
 TOP = 20
@@ -96,25 +97,44 @@ def flips(width: int) -> np.ndarray:
     return np.array([[k in p for k in range(width)] for p in out])
 
 
-def flip_order(sides: np.ndarray, coder: Coder, patterns: np.ndarray) -> np.ndarray:
-    """Per query and substring, places of patterns: none and single bits, then those of least margin, as many as are probed."""
-    margins = sides[:, : coder.substrings * coder.width].reshape(-1, coder.width) ** 2
-    out = np.empty((len(margins), min(coder.probes, len(patterns))), np.int32)
-    ball = coder.width + 1
+def flip_order(sides: np.ndarray, probes: int, patterns: np.ndarray) -> np.ndarray:
+    """Per row of plane distances of one substring, places of patterns: none and single bits, then those of least margin, `probes` in all."""
+    margins = (sides * sides).astype(np.float32)
+    out = np.empty((len(margins), min(probes, len(patterns))), np.int32)
+    ball = sides.shape[1] + 1
     out[:, :ball] = np.arange(ball)[: out.shape[1]]
     if (extra := out.shape[1] - ball) > 0:
-        for start in range(0, len(margins), 4096):
-            cost = margins[start : start + 4096] @ patterns[ball:].T.astype(float)
+        weights = patterns[ball:].T.astype(np.float32)
+        for start in range(0, len(margins), FLIP_ROWS):
+            cost = margins[start : start + FLIP_ROWS] @ weights
             least = np.argpartition(cost, extra - 1, axis=1)[:, :extra]
-            out[start : start + 4096, ball:] = ball + np.take_along_axis(least, np.argsort(np.take_along_axis(cost, least, 1), axis=1, kind="stable"), 1)
-    return out.reshape(len(sides), coder.substrings, -1)
+            out[start : start + FLIP_ROWS, ball:] = ball + np.take_along_axis(least, np.argsort(np.take_along_axis(cost, least, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 def probe_values(sides: np.ndarray, coder: Coder) -> np.ndarray:
     """(query, substring, probe): the values to look up in each index."""
     patterns = flips(coder.width)
     masks = patterns @ (1 << np.arange(coder.width))
-    return values(sides, coder)[:, :, None] ^ masks[flip_order(sides, coder, patterns)]
+    order = flip_order(sides[:, : coder.substrings * coder.width].reshape(-1, coder.width), coder.probes, patterns)
+    return values(sides, coder)[:, :, None] ^ masks[order].reshape(len(sides), coder.substrings, -1)
+
+
+def first_probes(asking: np.ndarray, held: np.ndarray, best: np.ndarray, coder: Coder) -> Iterator[np.ndarray]:
+    """For one, two, ... substrings, per query and row of `best` the number of probes of each index that find it; the number of patterns where none does."""
+    patterns = flips(coder.width)
+    masks = patterns @ (1 << np.arange(coder.width))
+    known = np.argsort(masks)
+    own, theirs = values(asking, coder), values(held, coder)
+    first = np.full(best.shape, len(patterns), np.int32)
+    for k in range(coder.substrings):
+        order = flip_order(asking[:, k * coder.width : (k + 1) * coder.width], len(patterns), patterns)
+        turn = np.empty_like(order)
+        np.put_along_axis(turn, order, np.broadcast_to(np.arange(len(patterns), dtype=np.int32), order.shape), 1)
+        changed = own[:, k, None] ^ theirs[best, k]
+        at = known[np.minimum(np.searchsorted(masks, changed, sorter=known), len(masks) - 1)]
+        first = np.minimum(first, np.where(masks[at] == changed, np.take_along_axis(turn, at, 1), len(patterns)))
+        yield first
 
 
 def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: int = 0, coverage: float = COVERAGE) -> Coder:
@@ -145,14 +165,11 @@ def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: i
     asking, held = projected_queries(sample[at], coder), projected(sample, coder)
     apart = np.bitwise_count(words(asking)[:, None, :] ^ words(held)[best]).sum(2)
     coder.radius = int(np.quantile(apart, coverage, method="higher"))
-    probes = probe_values(asking, coder)
-    first, ways = np.full(best.shape, probes.shape[2]), []
-    for k in range(coder.substrings):
-        hit = probes[:, k, None, :] == values(held, coder)[best, k][:, :, None]
-        first = np.minimum(first, np.where(hit.any(2), hit.argmax(2), probes.shape[2]))
+    most, ways = len(flips(width)), []
+    for k, first in enumerate(first_probes(asking, held, best, coder)):
         need = int(np.quantile(first, coverage, method="higher"))
-        if need < probes.shape[2] or k == coder.substrings - 1:
-            need = min(max(width, need) + 1, probes.shape[2])
+        if need < most or k == coder.substrings - 1:
+            need = min(max(width, need) + 1, most)
             ways.append(((k + 1) * (need + 1), k + 1, need))
     _, coder.substrings, coder.probes = min(ways)
     return coder
