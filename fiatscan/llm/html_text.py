@@ -6,17 +6,23 @@ outside links, and a share of what its inner containers hold. A page casts its s
 their sum, as votes for paths; votes are summed per host in Spark. A page's text is then taken from all its
 elements on the host's strongest path that the page has; a page with none uses its own best path, so a
 host's odd page is not lost. From there it climbs to the parent while that adds headings, paragraphs or
-sections of its own beside the container, mostly outside links and no more text than the container has; of the
+sections of its own beside the container, or boxes before it, mostly outside links and no more text than the container has; of the
 body, only its own blocks and sections are added, not those of its other containers.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are dropped by
-element and by the words of class and id. Such a word, unless it is negated (has-, no-), drops no element that
+A host's `LISTED` strongest paths travel with its pages; a page that has none of them gets its strongest path by a join of its own
+paths with all votes of the host, so no path of a host is left out.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are dropped. Elements that mean these are
+(a header within an article, with its title, is not). A word of class, id or role that may mean them, unless it is negated (has-, no-), lowers the
+score of what it marks and keeps it from being climbed to. Inside the winning container it drops only what is named by such words alone, or, of boxes,
+by such words and those of boxes (`share-buttons`, not `related-work`). Words never drop an element that
 holds the page's largest article, or else most of its text outside links; words of comments and adverts need a
 h1 in the latter case too. A page where nothing is left keeps what only the elements drop. Character references are decoded once, white space in a block becomes one space, blocks are joined
 by line ends in page order; nothing is cut off.
 
-A null or empty page gives an empty text. A url without a host votes with all others like it. Rows that
-repeat give the same text each. Votes are integers, so sums do not depend on order.
+A null or empty page gives an empty text, an empty table no rows. A url without a host votes with all others like it. Rows that
+repeat give the same text each. Other columns, whatever their names, are ignored. Very long pages are read whole, in batches of bounded bytes. Votes are
+integers and ties go to the first path by name, so results do not depend on order.
 """
 
 from __future__ import annotations
@@ -27,15 +33,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
 HELD_UP = 0.8
-LEAST_SHARE = 0.05
+FAINT = 0.25
+LISTED = 16
 VOTES = 1_000_000
-BROADCAST_HOSTS = 100_000
+BROADCAST_ROWS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe textarea title select canvas".split())
@@ -47,6 +54,9 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 INLINE_SAFE = BLOCKS - frozenset("li dt dd tr td th tbody thead tfoot caption summary figcaption html head body".split())
 NOISE = frozenset("ad ads adbox adsense nav navbar menu header footer masthead notice alert popup modal overlay consent gdpr share sharing social related recommended recommendations respond reply replies login signup search pagination pager widget widgets toolbar sponsor disclaimer banner contentinfo complementary".split())
 NOISE_PREFIXES = ("advert", "comment", "cookie", "sidebar", "breadcrumb", "newsletter", "subscri", "promo", "sponsor", "navigation", "disqus")
+BOXES = frozenset("area bar block body box btn button buttons container content form inner item items link links list main meta outer panel posts row section site text title top bottom wrap wrapper".split())
+OF_PAGE = frozenset("article blog entry global page post site story".split())
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
 HOLDS = frozenset("html body main".split())
 BESIDE_ARTICLE = frozenset("ad ads related recommended reply replies respond".split())
 NEGATED = frozenset("has no not non with without".split())
@@ -57,7 +67,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-
 _CLASS = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SAME = {tag: re.compile(rf"<(/?){tag}(?![a-z0-9:-])", re.I) for tag in RAW}
-_HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
+HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 @dataclass
@@ -68,7 +78,9 @@ class Element:
     dropped: bool
     noise: bool  # hidden, or within what is; once the page is read, also by words
     word: bool  # a word of noise of its own
+    only: bool  # and no word beside it that may mean something else
     beside: bool  # and one of comments, adverts and the like
+    sure: bool = False  # noise that is dropped from the winning container too
 
 
 @dataclass
@@ -77,23 +89,31 @@ class Page:
     blocks: list[tuple[str, int, int]] = field(default_factory=list)  # text, characters in links, element
 
 
-def host_of(url: str | None) -> str:
-    found = _HOST.match(url or "")
-    return found[1].lower() if found else ""
+def host_of(url: Column) -> Column:
+    """Host of a url in lower case, empty if it has none."""
+    return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), HOST, 1))
+
+
+def _noisy(words: list[str], of_noise: frozenset, prefixes: tuple) -> list[bool]:
+    """Which words of a class are of noise and not negated, as in has-sidebar and ad-free."""
+    return [(w in of_noise or w.startswith(prefixes)) and not NEGATED.intersection(words[:k]) and words[k + 1 : k + 2] != ["free"] for k, w in enumerate(words)]
 
 
-def _noisy(words: list[str], of_noise: frozenset, prefixes: tuple) -> bool:
-    """Whether a class has a word of noise that is not negated, as in has-sidebar and ad-free."""
-    return any((w in of_noise or w.startswith(prefixes)) and not NEGATED.intersection(words[:k]) and words[k + 1 : k + 2] != ["free"] for k, w in enumerate(words))
+def _named_only(words: list[str], noisy: list[bool], tag: str) -> bool:
+    """Whether a class with noise means nothing else: text by words of noise alone, a box also by those of boxes, and before them those of the page."""
+    if tag in TEXTS:
+        return all(noisy)
+    first = noisy.index(True)
+    return all(n or w in BOXES or (k < first and w in OF_PAGE) for k, (w, n) in enumerate(zip(words, noisy)))
 
 
-def _marks(attributes: str, tag: str) -> tuple[str, bool, bool, bool]:
-    """Generalised classes, and whether the attributes speak of something hidden, beside the article, and of comments or adverts.
+def _marks(attributes: str, tag: str) -> tuple[str, bool, bool, bool, bool]:
+    """Generalised classes, and whether the attributes speak of something hidden, beside the article, of nothing else, and of comments or adverts.
 
     An article is beside another one only by the narrower list of words, as layouts name their articles freely.
     """
     words_of_noise, prefixes = (BESIDE_ARTICLE, BESIDE_PREFIXES) if tag == "article" else (NOISE, NOISE_PREFIXES)
-    classes, noise, word, beside = [], False, False, False
+    classes, noise, word, only, beside = [], False, False, False, False
     for name, *values in _CLASS.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "style":
@@ -103,11 +123,13 @@ def _marks(attributes: str, tag: str) -> tuple[str, bool, bool, bool]:
         else:
             for one in value.split():
                 words = [w.lower() for w in _WORD.findall(one)]
-                word |= _noisy(words, words_of_noise, prefixes)
-                beside |= _noisy(words, BESIDE_ARTICLE, BESIDE_PREFIXES)
+                noisy = _noisy(words, words_of_noise, prefixes)
+                if any(noisy):
+                    word, only = True, only or _named_only(words, noisy, tag)
+                beside |= any(_noisy(words, BESIDE_ARTICLE, BESIDE_PREFIXES))
         if name == "class":
             classes = sorted({re.sub(r"\d+", "", c) for c in value.lower().split()})
-    return "".join("." + c for c in classes if c), noise, word, beside
+    return "".join("." + c for c in classes if c), noise, word, only, beside
 
 
 def read(source: str) -> Page:
@@ -165,10 +187,12 @@ def read(source: str) -> Page:
             while stack[-1] >= 0 and page.elements[stack[-1]].tag in CLOSED_BY.get(tag, ()):
                 stack.pop()
             above = page.elements[stack[-1]] if stack[-1] >= 0 else None
-            classes, noise, word, beside = _marks(found[3], tag) if found[3] else ("", False, False, False)
+            classes, noise, word, only, beside = _marks(found[3], tag) if found[3] else ("", False, False, False, False)
             free = tag in HOLDS
             classes = "" if tag in ("html", "body") else classes  # those speak of the page, not of the host
-            page.elements.append(Element(tag, f"{above.path if above else ''}/{tag}{classes}", stack[-1], tag in DROPPED or bool(above and above.dropped), not free and noise or bool(above and above.noise), word and not free, beside))
+            dropped = tag in DROPPED and not (tag == "header" and any(page.elements[i].tag == "article" for i in stack[1:]))
+            hidden = not free and noise or bool(above and above.noise)
+            page.elements.append(Element(tag, f"{above.path if above else ''}/{tag}{classes}", stack[-1], dropped or bool(above and above.dropped), hidden, word and not free, only, beside, hidden))
             stack.append(len(page.elements) - 1)
     flush()
     _drop_by_words(page)
@@ -201,21 +225,24 @@ def _drop_by_words(page: Page) -> None:
     for i, e in enumerate(elements):
         inside[i] = i == article or e.parent >= 0 and inside[e.parent]
         most = 2 * worth[i] > total and (article < 0 or inside[i]) and (titled[i] or not e.beside)
-        e.noise |= e.word and i not in above and not most or e.parent >= 0 and elements[e.parent].noise
+        marked = e.word and i not in above and not most
+        e.noise |= marked or e.parent >= 0 and elements[e.parent].noise
+        e.sure |= marked and e.only or e.parent >= 0 and elements[e.parent].sure
 
 
-def _kept(page: Page) -> tuple[list[tuple[str, int, int]], bool]:
-    """Blocks outside what is dropped, and whether classes count: they do unless they leave nothing."""
+def _kept(page: Page) -> list[tuple[str, int, int]]:
+    """Blocks outside what is dropped. Classes count unless they leave nothing."""
     plain = [b for b in page.blocks if b[2] < 0 or not page.elements[b[2]].dropped]
-    strict = [b for b in plain if b[2] < 0 or not page.elements[b[2]].noise]
-    return (strict, True) if strict or not plain else (plain, False)
+    return [b for b in plain if b[2] < 0 or not page.elements[b[2]].sure] or plain
 
 
 def container_scores(page: Page) -> dict[str, float]:
     """Score of each path that holds text in the page."""
     scores: dict[str, float] = {}
-    for text, linked, at in _kept(page)[0]:
+    for text, linked, at in _kept(page):
         worth, passed = max(0.0, len(text) - 2.0 * linked), 1.0
+        if at >= 0 and page.elements[at].noise:
+            worth *= FAINT
         while at >= 0 and worth:
             element = page.elements[at]
             if element.tag in CONTAINERS:
@@ -235,26 +262,35 @@ def votes(source: str | None) -> dict[str, int]:
 def _climb(page: Page, blocks: list[tuple[str, int, int]], taken: set[int]) -> set[int]:
     """The elements, and those of the parents that hold further parts of the same article."""
     elements = page.elements
+    blocks = [b for b in blocks if b[2] in taken or not elements[b[2]].noise]
     while True:
+        first = min(taken)
         tops = {elements[i].parent for i in taken} - taken
         if len(tops) != 1 or (top := tops.pop()) < 0:
             return taken
-        under, direct = {top: True}, {top}  # direct: no container but sections lies between
+        within = elements[top].tag == "body"
+        under, direct, before = {top}, {top}, {top}  # direct: no container lies between but sections; before: nor boxes before what is taken
         for i in range(top + 1, len(elements)):
             e = elements[i]
-            if e.parent in under:
-                under[i] = True
+            if e.parent in under and not e.noise:
+                under.add(i)
                 if e.parent in direct and (e.tag not in CONTAINERS or e.tag in ("section", "blockquote")):
                     direct.add(i)
-        within = elements[top].tag == "body"
-        more = [b for b in blocks if b[2] not in taken and b[2] in (direct if within else under)]
-        own = any(b[2] in direct or elements[b[2]].tag == "h1" for b in more)
+                if e.parent in before and i < first:
+                    before.add(i)
+        parts = direct if within else under
+        more = [b for b in blocks if b[2] not in taken and b[2] in parts]
+        if not within and not any(b[2] in direct or elements[b[2]].tag == "h1" for b in more):
+            parts = before
+            more = [b for b in more if b[2] in before]
         length, linked = sum(len(b[0]) for b in more), sum(b[1] for b in more)
-        if more and (not own or 2 * linked > length or length - linked > sum(len(b[0]) - b[1] for b in blocks if b[2] in taken)):
+        if not more and len({b[2] for b in blocks} & (under - taken)):
             return taken
+        if 2 * linked > length or length - linked > sum(len(b[0]) - b[1] for b in blocks if b[2] in taken):
+            return taken
+        taken = taken | parts
         if within or elements[top].tag == "html":
-            return taken | {b[2] for b in more}
-        taken = taken | set(under)
+            return taken
 
 
 def extract(source: str | None, paths: list[str]) -> str:
@@ -262,7 +298,7 @@ def extract(source: str | None, paths: list[str]) -> str:
     if not source:
         return ""
     page = read(source)
-    blocks, _ = _kept(page)
+    blocks = _kept(page)
     own = container_scores(page)
     best = next((p for p in paths if own.get(p)), None) or min(own, key=lambda p: (-own[p], p), default=None)
     if best is None:
@@ -276,17 +312,8 @@ def extract(source: str | None, paths: list[str]) -> str:
 
 def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sums: dict[tuple[str, str], int] = {}
-        for url, source in zip(pdf["url"], pdf["html"]):
-            host = host_of(url)
-            for path, n in votes(source).items():
-                sums[host, path] = sums.get((host, path), 0) + n
-        yield pd.DataFrame([(h, p, n) for (h, p), n in sums.items()], columns=["host", "path", "votes"])
-
-
-def _hosts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for urls in batches:
-        yield urls.map(host_of).astype(str)
+        rows = [(host, key, path, n) for host, key, source in zip(pdf["host"], pdf["key"], pdf["html"]) for path, n in votes(source).items()]
+        yield pd.DataFrame(rows, columns=["host", "key", "path", "votes"])
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,20 +322,42 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """pages -> host, paths: those with at least LEAST_SHARE of the host's votes for its strongest, strongest first."""
+def page_votes(pages: DataFrame) -> DataFrame:
+    """pages -> host, key (names the page's html), path, votes: a row for each path of a page."""
     small_batches(pages.sparkSession, 1000)
-    summed = pages.select("url", "html").mapInPandas(_vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    strongest = summed.withColumn("_most", F.max("votes").over(Window.partitionBy("host"))).where(F.col("votes") >= LEAST_SHARE * F.col("_most"))
-    ranked = strongest.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("r"))
-    return ranked.select("host", F.col("r.path").alias("paths"))
-
-
-def extract_pages(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
-    """pages -> page_id, url, text, n_chars, a row for each input row."""
-    winners = stored(host_paths(pages), "host-paths")
-    few = winners.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    to_host = F.pandas_udf(_hosts, "string")
-    placed = pages.select("page_id", "url", "html").withColumn("host", to_host(F.col("url")))
-    joined = placed.join(F.broadcast(winners) if few else winners, "host", "left").select("page_id", "url", "html", "paths")
-    return joined.mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    keyed = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), F.md5(F.col("html").cast("binary")).alias("key"), "html")
+    return keyed.mapInPandas(_vote, "host string, key string, path string, votes long")
+
+
+def host_votes(cast: DataFrame) -> DataFrame:
+    """host, path, votes."""
+    return cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+
+
+def host_paths(summed: DataFrame, listed: int = LISTED) -> DataFrame:
+    """host, path, votes -> host, paths: the strongest `listed`, strongest first."""
+    turn = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
+    strongest = summed.withColumn("_n", turn).where(F.col("_n") <= listed)
+    return strongest.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("_n", "path"))).alias("r")).select("host", F.col("r.path").alias("paths"))
+
+
+def odd_pages(cast: DataFrame, summed: DataFrame, winners: DataFrame) -> DataFrame:
+    """host, key, path of the pages that have none of their host's listed paths: the strongest that each has."""
+    met = cast.join(winners.select("host", F.explode("paths").alias("path")), ["host", "path"], "left_semi").select("host", "key").distinct()
+    left = cast.select("host", "key", "path").join(met, ["host", "key"], "left_anti").join(summed, ["host", "path"])
+    return left.groupBy("host", "key").agg(F.min_by("path", F.struct((-F.col("votes")).alias("v"), "path")).alias("path"))
+
+
+def extract_pages(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS, listed: int = LISTED) -> DataFrame:
+    """pages -> page_id, url, text, n_chars, a row for each input row. Hosts, and odd pages, are broadcast only up to `broadcast_rows` rows."""
+    cast = stored(page_votes(pages), "page-votes")
+    summed = stored(host_votes(cast), "host-votes")
+    winners = stored(host_paths(summed, listed), "host-paths")
+    odd = stored(odd_pages(cast, summed, winners), "odd-pages")
+    placed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    few = winners.limit(broadcast_rows + 1).count() <= broadcast_rows
+    joined = placed.join(F.broadcast(winners) if few else winners, "host", "left")
+    if n_odd := odd.limit(broadcast_rows + 1).count():
+        joined = joined.withColumn("key", F.md5(F.col("html").cast("binary"))).join(F.broadcast(odd) if n_odd <= broadcast_rows else odd, ["host", "key"], "left")
+        joined = joined.withColumn("paths", F.when(F.col("path").isNotNull(), F.array("path")).otherwise(F.col("paths")))
+    return joined.select("page_id", "url", "html", "paths").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")

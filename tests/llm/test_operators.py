@@ -17,6 +17,8 @@ LOWER = {i: i + 32 for i in range(65, 91)}
 CLASH = ["_id", "_text", "_score", "shard", "slot", "curve", "key", "node", "kept", "score", "owner", "_h", "_digest", "law", "size", "taken", "n_tokens", "domain"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
+SF = "/root/testdata/sf0.01"
+
 
 def words(rng, n):
     return " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(n))
@@ -403,6 +405,43 @@ def test_parts_outside_the_largest_container_are_kept():
     assert html_text.extract(headed, []).split("\n") == ["Title", *want]
 
 
+def test_titles_leads_and_odd_class_names_are_text():
+    long = "".join(f"<p>Paragraph {k} of the article, with some text.</p>" for k in range(12))
+    want = [f"Paragraph {k} of the article, with some text." for k in range(12)]
+    lead = f"<body><div class=row><div class=lead><p>The lead.</p></div><div class=body>{long}</div><div class=extra><p>Other things.</p></div></div></body>"
+    assert html_text.extract(lead, []).split("\n") == ["The lead.", *want]
+    titled = f"<body><header>Site</header><article><header><h1>Title</h1></header>{long}<footer>Filed under x</footer></article></body>"
+    assert html_text.extract(titled, []).split("\n") == ["Title", *want]
+    odd = "<section class=related-work><p>Related work.</p></section><p class=notice-period>Notice.</p><p class=story-search>Search.</p>"
+    noise = "<div class=share-buttons>Share</div><div class=related-posts>More</div><p class=ad>Buy</p><div class=post-comments>Hello</div><ul class=site-nav><li>Menu</ul>"
+    for post in ("<article>%s</article>", "<div class=content>%s</div>"):
+        page = f"<body>{post % (long + odd + noise)}<div class=story-notice><p>Outside.</p></div></body>"
+        assert html_text.extract(page, []).split("\n") == [*want, "Related work.", "Notice.", "Search."]
+
+
+@pytest.mark.parametrize("listed", [1, 16])
+def test_pages_equal_a_consensus_without_spark(spark, listed):
+    """Votes added up in plain Python, and each page read on its strongest path of all, against the query on the small table and odd pages."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").limit(150).collect()]
+    body = "".join(f"<p>Some words of paragraph {k}, all text.</p>" for k in range(9))
+    rows += [(90000 + k, f"https://many.example/{k}", f"<body><div class=t{'abcdefgh'[k % 8]}>{body}</div><div class=u{'xy'[k % 2]}>{body[: 90 * (k % 5)]}</div></body>") for k in range(60)]
+    rows += [(95000, "https://many.example/x", "<body><div class=late>" + body * 400 + "</div></body>"), (95001, None, "<p>x"), (95002, "https://many.example/y", None), rows[-1]]
+    total = {}
+    for _, url, page in rows:
+        host = (re.search(r"//([^/:?#]+)", url or "") or [None, ""])[1].lower()
+        for path, n in html_text.votes(page).items():
+            total[host, path] = total.get((host, path), 0) + n
+    want = []
+    for page_id, url, page in rows:
+        host = (re.search(r"//([^/:?#]+)", url or "") or [None, ""])[1].lower()
+        ranked = sorted((p for h, p in total if h == host), key=lambda p: (-total[host, p], p))
+        want.append((page_id, html_text.extract(page, ranked)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (100_000, 0):
+        got = [(r.page_id, r.text) for r in html_text.extract_pages(pages, limit, listed).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_fallbacks_are_text_and_unclosed_skips_end():
     assert html_text.extract("<p>Let <math><mi>x</mi></math> be <object data=q>a plot</object>.</p>", []) == "Let x be a plot."
     assert html_text.extract("<div><svg><path d=q><p>One.</p><p>Two.</p></div>", []) == "One.\nTwo."
