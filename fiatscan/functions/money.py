@@ -88,3 +88,8 @@ def age_text(then_ms: Column, now_ms: Column) -> Column:
     """12s, or 3m from a minute on; never below 0."""
     seconds = F.greatest(F.lit(0), F.floor((now_ms - then_ms) / 1000))
     return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m")))
+
+
+def number_text(value: Column) -> Column:
+    """A number without trailing zeros: 3.99, 10."""
+    return F.regexp_replace(value.cast("decimal(30,10)").cast("string"), r"\.?0+$", "")

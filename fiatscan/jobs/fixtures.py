@@ -6,7 +6,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fiatscan.schemas import ASSETS, FIATS, RATES
+from fiatscan.schemas import ASSETS, FIATS
+
+# Made up for the jobs: dollars for a unit of each asset, and units of each fiat for a dollar.
+_DOLLARS = {"NIM": 0.125, "USDT": 1.0, "BTC": 41_000.0, "ETH": 2_250.0}
+_PER_DOLLAR = {"EUR": 0.91, "USD": 1.0, "GBP": 0.78, "CHF": 0.87, "JPY": 148.0, "CNY": 7.1, "AUD": 1.5, "CAD": 1.33, "INR": 83.2, "BRL": 4.95}
+RATES = {feed: {f.lower(): round(_DOLLARS[asset] * _PER_DOLLAR[f], 4) for f in FIATS} for asset, feed in ASSETS}
 
 _RATE_VALUES = ", ".join(f"({k}, '{a}', '{f}', {float(RATES[feed][f.lower()])!r}e0)" for k, (a, feed, f) in enumerate((a, feed, f) for a, feed in ASSETS for f in FIATS))
 _ASSET_VALUES = ", ".join(f"({i}, '{a}', '{feed}')" for i, (a, feed) in enumerate(ASSETS))
@@ -54,18 +59,26 @@ from customer""",
     ),
     "wallet_snapshots": (
         ("customer",),
-        """select c_custkey as wallet_id, case
- when c_custkey % 4 = 0 then 'NQ' || lpad(cast(c_custkey % 100 as string), 2, '0') || ' 0000 0000 0000 0000 0000 0000 0000 ' || lpad(cast(c_custkey % 10000 as string), 4, '0')
- when c_custkey % 9 = 0 then 'not a wallet'
- when c_custkey % 5 = 0 then '{"address": "A' || cast(c_custkey as string) || '", "balanceNim": "many", "updatedAt": ' || cast(1700000000000 + c_custkey * 1000 as string) || '}'
- when c_custkey % 6 = 0 then '{"address": "A' || cast(c_custkey as string) || '", "balanceNim": ' || cast(c_custkey as string) || '}'
- else '{"address": "A' || cast(c_custkey as string) || '", "balanceNim": ' || cast(c_custkey as string) || ', "updatedAt": ' || cast(1700000000000 + c_custkey * 1000 as string) || '}' end as raw
-from customer""",
+        """select wallet_id, case cast(wallet_id % 12 as int) when 0 then a when 4 then a when 8 then lower(a) when 1 then 'not a wallet'
+ when 2 then '{"address": "A' || k || '", "balanceNim": ' || k || ', "updatedAt": ' || t || '}'
+ when 3 then '{"address": "' || a || '", "balanceNim": "many", "updatedAt": ' || t || '}'
+ when 5 then '{"address": "' || a || '", "balanceNim": ' || k || '.25}'
+ when 6 then '{"address": "' || a || '", "balanceNim": ' || k || ', "updatedAt": "' || t || '"}'
+ when 7 then '{"x": {"address": "' || a || '", "balanceNim": ' || k || '}}'
+ when 9 then '{"address": "' || a || '", "balanceNim": "' || k || '", "updatedAt": ' || t || '}'
+ when 10 then '{"address": ' || k || ', "balanceNim": ' || k || '}'
+ else '{"address": "' || a || '", "balanceNim": ' || k || ', "updatedAt": ' || t || '}' end as raw
+from (select c_custkey as wallet_id, cast(c_custkey as string) as k, cast(1700000000000 + c_custkey * 1000 as string) as t,
+        'NQ' || lpad(cast(c_custkey % 100 as string), 2, '0') || ' 0000 0000 0000 0000 0000 0000 0000 ' || lpad(cast(c_custkey % 10000 as string), 4, '0') as a from customer) c""",
     ),
     "preferences": (
         ("customer", "fiats"),
-        """select c_custkey div 3 as wallet_id, case when c_custkey % 12 = 0 then 'broken' else
- '{"fiatCurrency": "' || coalesce(fiat, 'XXX') || '", "onboardingComplete": ' || case when c_custkey % 2 = 0 then 'true' else '"yes"' end || '}' end as raw
+        """select c_custkey div 3 as wallet_id, case cast(c_custkey % 24 as int) when 0 then 'broken'
+ when 3 then '{"fiatCurrency": "' || coalesce(fiat, 'XXX') || '", "x": {"onboardingComplete": true}}'
+ when 9 then '{"fiatCurrency": "' || coalesce(fiat, 'XXX') || '", "onboardingComplete": "true"}'
+ when 15 then '{"x": {"fiatCurrency": "' || coalesce(fiat, 'XXX') || '"}, "onboardingComplete": true}'
+ when 21 then '{"fiatCurrency": ' || cast(c_custkey as string) || ', "onboardingComplete": true}'
+ else '{"fiatCurrency": "' || coalesce(fiat, 'XXX') || '", "onboardingComplete": ' || case when c_custkey % 4 = 0 then 'false' else 'true' end || '}' end as raw
 from customer left join fiats on fiat_ordinal = c_nationkey % 12 where c_custkey % 3 = 0""",
     ),
     "raw_feeds": (
@@ -83,7 +96,7 @@ from events""",
     "rate_requests": (("events",), "select user_id as instance_id, event_id as seq, ts, event_type <> 'error' as fetch_ok from events"),
     "rate_ticks": (
         ("events", "rates"),
-        """select t.ts, t.event_id, d.asset, d.fiat, d.rate * (1 + ((t.event_id * 7 + d.k) % 21 - 10) / 1000.0e0) as rate
+        """select t.ts, t.event_id, d.asset, d.fiat, d.rate * (1 + ((t.event_id * 7 + d.k) % 21 - 10) / 1000.0e0) as rate, t.event_id % 3 = 0 as stale
 from events t join rates d on t.event_id % 40 = d.k where t.event_type = 'signup'""",
     ),
     "priced_events": (
@@ -92,7 +105,7 @@ from events t join rates d on t.event_id % 40 = d.k where t.event_type = 'signup
     ),
     "fragments": (
         ("lineitem",),
-        """select l_orderkey as image_id, 0 as crop_idx, 0 as variant_idx, cast(rn as int) as frag_idx,
+        """select l_orderkey div 10 as image_id, cast(l_orderkey % 2 as int) as crop_idx, cast(l_orderkey % 10 div 2 as int) as variant_idx, cast(rn as int) as frag_idx,
  case cast((l_partkey + rn) % 5 as int) when 0 then '$' when 1 then cast(l_partkey % 900 + 100 as string)
    when 2 then lpad(cast(l_suppkey % 100 as string), 2, '0') when 3 then cast(l_partkey % 10 as string)
    else '$' || cast(l_partkey % 900 + 100 as string) end as text,

@@ -65,6 +65,23 @@ def frame_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("frame_id", "variant_idx", "label", total.alias("total"))
 
 
+_GRAY_SQL = with_tables("frames").replace("frames as (", "levels as (", 1) + """, frames as (select frame_id, session_id, seq, width, height,
+  list_transform(gray, lambda v, i: cast(floor(0.299e0 * v + 0.587e0 * ((v * 3 + i) % 256) + 0.114e0 * (255 - v) + 0.5e0) as int)) as gray from levels)"""
+
+
+@job(_GRAY_SQL + _OTSU + " select frame_id, threshold, cast(sum(v) as bigint) as total, cast(sum(case when v >= threshold then 255 else 0 end) as bigint) as total_cut from px join t using (frame_id) group by frame_id, threshold")
+def color_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of three colours turned gray, with the level that parts each best, and cut there."""
+    levels = load(spark, sf_dir, "frames")
+    green = F.transform("gray", lambda v, i: (v * 3 + i + 1) % 256)
+    source = frames.with_gray(levels.select("frame_id", F.col("gray").alias("red"), green.alias("green"), F.transform("gray", lambda v: 255 - v).alias("blue")))
+    thresholds = frames.otsu(frames.histogram(source))
+    made = frames.variants(source, thresholds).where(F.col("variant_idx").isin(0, 3))
+    total = F.aggregate("gray", F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
+    sums = made.groupBy("frame_id").agg(F.max(F.when(F.col("variant_idx") == 0, total)).alias("total"), F.max(F.when(F.col("variant_idx") == 3, total)).alias("total_cut"))
+    return sums.join(thresholds, "frame_id").select("frame_id", "threshold", "total", "total_cut")
+
+
 @job(with_tables("frames") + _PX + """, n as (select frame_id, cast(count_if(v < 128) as int) as dark, cast(count_if(v >= 128) as int) as light from px group by frame_id)
 select *, case when dark = 0 then 'light' when light = 0 then 'dark' when dark <= light then 'dark' else 'light' end as foreground from n""")
 def mask_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,14 +98,14 @@ def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job(with_tables("fragments") + """
-select image_id, frag_idx, regexp_matches(text, '[€$£¥₹]') and not regexp_matches(text, '\\d') as is_symbol,
+select image_id, crop_idx, variant_idx, frag_idx, regexp_matches(text, '[€$£¥₹]') and not regexp_matches(text, '\\d') as is_symbol,
   not regexp_full_match(text, '\\d{2}') and (regexp_full_match(text, '\\$?\\d{1,4}') or regexp_full_match(text, '\\d+')) as is_integer,
   regexp_full_match(text, '\\d{2}') as is_cents, regexp_full_match(text, '\\d') as is_cent_digit, regexp_matches(text, '[€$£¥₹]\\s*\\d{2,}') as is_atomic from fragments""")
 def fragment_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each fragment looks like."""
     fragments = load(spark, sf_dir, "fragments")
     kinds = text_price.fragment_class(text_price.squeezed(F.col("text")))
-    return fragments.select("image_id", "frag_idx", *[kinds[k].alias(k) for k in ("is_symbol", "is_integer", "is_cents", "is_cent_digit", "is_atomic")])
+    return fragments.select("image_id", "crop_idx", "variant_idx", "frag_idx", *[kinds[k].alias(k) for k in ("is_symbol", "is_integer", "is_cents", "is_cent_digit", "is_atomic")])
 
 
 _FMT = "format('{{:,.{d}f}}', cast(round(cast(cast({x} as varchar) as decimal(38,18)), {d}) as double))"

@@ -21,7 +21,7 @@ accepted as (select * from pairs where snapshot_id not in (select snapshot_id fr
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = feeds.parse_feeds(load(spark, sf_dir, "raw_feeds"))
-    return rate_ops.normalise(raw, load(spark, sf_dir, "assets"), load(spark, sf_dir, "fiats"))
+    return rate_ops.normalise(raw)
 
 
 @job(with_tables("raw_feeds", "assets", "fiats") + _PAIRS + " select snapshot_id, asset, fiat, rate from accepted")
@@ -51,18 +51,15 @@ def rate_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "asset", "fiat", F.round("rate", 9).alias("rate"), F.round(age, 6).alias("age_s"), F.round(money.asset_amount(F.col("amount"), F.col("rate")), 6).alias("asset_amount"))
 
 
-@job(with_tables("rate_ticks") + """, clock as (select max(ts) as now from rate_ticks), last as (select asset, fiat, arg_max(rate, ts) as rate, max(ts) as ts from rate_ticks group by asset, fiat)
-select asset, fiat, round(rate, 9) as rate, round((epoch_us(now) - epoch_us(ts)) / 1e6, 6) as age_s, (epoch_us(now) - epoch_us(ts)) > 86400000000 as stale, (epoch_us(now) - epoch_us(ts)) <= 86400000000 as usable,
+@job(with_tables("rate_ticks") + """, clock as (select max(ts) as now from rate_ticks), last as (select asset, fiat, arg_max(rate, ts) as rate, arg_max(stale, ts) as flagged, max(ts) as ts from rate_ticks group by asset, fiat)
+select asset, fiat, round(rate, 9) as rate, round((epoch_us(now) - epoch_us(ts)) / 1e6, 6) as age_s, flagged or (epoch_us(now) - epoch_us(ts)) > 300000000 as stale, (epoch_us(now) - epoch_us(ts)) <= 300000000 as usable,
   case when (epoch_us(now) - epoch_us(ts)) // 1000000 < 60 then cast((epoch_us(now) - epoch_us(ts)) // 1000000 as varchar) || 's' else cast((epoch_us(now) - epoch_us(ts)) // 60000000 as varchar) || 'm' end as age_text
 from last, clock""")
 def rate_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest rate of each asset and fiat, with its age at the newest tick of all."""
-    ticks = load(spark, sf_dir, "rate_ticks")
-    timed = ticks.crossJoin(F.broadcast(ticks.agg(F.max("ts").alias("now"))))
-    last = timed.groupBy("asset", "fiat", "now").agg(F.max(F.struct("ts", "event_id", "rate")).alias("t"))
-    age = (micros(F.col("now")) - micros(F.col("t.ts"))) / 1e6
-    text = money.age_text(micros(F.col("t.ts")) / 1000, micros(F.col("now")) / 1000)
-    return last.select("asset", "fiat", F.round("t.rate", 9).alias("rate"), F.round(age, 6).alias("age_s"), (age > DAY_S).alias("stale"), (age <= DAY_S).alias("usable"), text.alias("age_text"))
+    last = rate_ops.latest(load(spark, sf_dir, "rate_ticks"), F.max("ts"))
+    text = money.age_text(micros(F.col("ts")) / 1000, micros(F.col("now")) / 1000)
+    return last.select("asset", "fiat", F.round("rate", 9).alias("rate"), F.round("age_s", 6).alias("age_s"), "stale", "usable", text.alias("age_text"))
 
 
 REPLAY_SQL = with_tables("rate_requests") + """, good as (select * from rate_requests where fetch_ok),

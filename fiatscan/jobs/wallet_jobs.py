@@ -47,8 +47,10 @@ def wallet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wallets.values(chosen(spark, sf_dir), load(spark, sf_dir, "rates")).withColumn("value", F.round("value", 6))
 
 
-_PREFERENCES = """, prefs as (select wallet_id, case when json_valid(raw) then json_extract_string(raw, '$.fiatCurrency') end as f, regexp_matches(raw, '"onboardingComplete"\\s*:\\s*true\\b') as onboarded from preferences),
-chosen_fiat as (select wallet_id, case when f in (select fiat from fiats) then f else 'EUR' end as fiat, onboarded from prefs)"""
+# A record counts only with a known fiat, which must be a string; only the JSON value true is onboarded.
+_PREFERENCES = """, prefs as (select wallet_id, case when json_valid(raw) then raw::json end as j from preferences),
+kept_prefs as (select wallet_id, case when json_type(j, '$.fiatCurrency') = 'VARCHAR' and json_extract_string(j, '$.fiatCurrency') in (select fiat from fiats) then j end as j from prefs),
+chosen_fiat as (select wallet_id, coalesce(json_extract_string(j, '$.fiatCurrency'), 'EUR') as fiat, coalesce(json_type(j, '$.onboardingComplete') = 'BOOLEAN' and json_extract_string(j, '$.onboardingComplete') = 'true', false) as onboarded from kept_prefs)"""
 
 
 @job(with_tables("accounts", "rates", "preferences") + _RICHEST + _PREFERENCES + " select wallet_id, fiat, onboarded, round(balance_nim * rate, 6) as value from richest join chosen_fiat using (wallet_id) join rates using (fiat) where asset = 'NIM'")
@@ -61,10 +63,11 @@ def wallet_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOW_MS = 1_700_000_900_000
 
 
-@job(with_tables("wallet_snapshots") + f""", s as (select wallet_id, raw, regexp_full_match(trim(raw), 'NQ[0-9A-Z]{{2}}(\\s+[0-9A-Z]{{4}}){{8}}', 'i') as bare, json_valid(raw) as is_json from wallet_snapshots),
-p as (select wallet_id, case when bare then trim(raw) when is_json then json_extract_string(raw, '$.address') end as address,
-  case when is_json and json_type(raw, '$.balanceNim') in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast(json_extract_string(raw, '$.balanceNim') as double) end as balance_nim,
-  case when bare then 0 when is_json then coalesce(try_cast(json_extract_string(raw, '$.updatedAt') as bigint), 0) end as updated_at from s)
+@job(with_tables("wallet_snapshots") + f""", s as (select wallet_id, raw, case when json_valid(raw) then raw::json end as j from wallet_snapshots),
+named as (select wallet_id, j, case when j is null then raw when json_type(j, '$.address') = 'VARCHAR' then json_extract_string(j, '$.address') end as a from s),
+good as (select wallet_id, j, case when regexp_full_match(trim(a), 'NQ[0-9A-Z]{{2}}(\\s+[0-9A-Z]{{4}}){{8}}', 'i') then a end as address from named),
+p as (select wallet_id, address, case when address is not null and json_type(j, '$.balanceNim') in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast(json_extract_string(j, '$.balanceNim') as double) end as balance_nim,
+  case when address is not null then case when json_type(j, '$.updatedAt') in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast(json_extract_string(j, '$.updatedAt') as bigint) else 0 end end as updated_at from good)
 select wallet_id, address, balance_nim, updated_at, updated_at > 0 and {NOW_MS} - updated_at < 120000 as fresh from p""")
 def wallet_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored snapshots of two formats, and whether they are fresh at a given time."""

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fiatscan.functions.geometry import half_up
 from fiatscan.schemas import MAX_MOTION, MIN_CONTRAST, MIN_REGION_AREA, MIN_SHARPNESS
@@ -35,12 +36,14 @@ def sharpness(gray: np.ndarray, width: int, height: int) -> float:
 
 def _sharp(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.drop(columns=["gray"]).assign(sharpness=[sharpness(np.asarray(g), w, h) for g, w, h in zip(pdf["gray"], pdf["width"], pdf["height"])])
+        yield pdf.drop(columns=["width", "height"]).assign(sharpness=[sharpness(np.asarray(g), w, h) for g, w, h in zip(pdf["gray"], pdf["width"], pdf["height"])])
 
 
-def sharpness_scores(frames: DataFrame) -> DataFrame:
-    """frame_id, sharpness."""
-    return frames.select("frame_id", "width", "height", "gray").mapInPandas(_sharp, "frame_id long, width int, height int, sharpness double").select("frame_id", "sharpness")
+def with_sharpness(frames: DataFrame) -> DataFrame:
+    """frame_id, session_id, seq, gray, sharpness: one pass, and pixels go on with their score."""
+    rows = frames.select("frame_id", "session_id", "seq", "gray", "width", "height")
+    schema = StructType([*(f for f in rows.schema.fields if f.name not in ("width", "height")), StructField("sharpness", DoubleType())])
+    return rows.mapInPandas(_sharp, schema)
 
 
 def contrast(gray: Column) -> Column:
@@ -65,7 +68,7 @@ def reason(sharp: Column, contrasted: Column, moved: Column) -> Column:
 
 def quality(frames: DataFrame) -> DataFrame:
     """frame_id, sharpness, contrast, motion, reason; motion is against the session's frame before, accepted or not."""
-    scores = frames.join(sharpness_scores(frames), "frame_id")
+    scores = with_sharpness(frames)
     before = F.lag("gray").over(Window.partitionBy("session_id").orderBy("seq"))
     out = scores.select("frame_id", "sharpness", contrast(F.col("gray")).alias("contrast"), motion(before, F.col("gray")).alias("motion"))
     return out.withColumn("reason", reason(F.col("sharpness"), F.col("contrast"), F.col("motion")))
@@ -108,6 +111,12 @@ def to_gray(r: Column, g: Column, b: Column) -> Column:
     return half_up(0.299 * r + 0.587 * g + 0.114 * b)
 
 
+def with_gray(pictures: DataFrame) -> DataFrame:
+    """pictures (red, green, blue: arrays of levels row by row, ...) with `gray` instead of the three."""
+    gray = F.transform(F.arrays_zip("red", "green", "blue"), lambda p: to_gray(p["red"], p["green"], p["blue"]).cast("int"))
+    return pictures.withColumn("gray", gray).drop("red", "green", "blue")
+
+
 def crops(images: DataFrame) -> DataFrame:
     """images (image_id, width, height) -> image_id, crop_idx, x, y, width, height: the target box at three heights of the part that a preview shows."""
     w, h = F.col("width"), F.col("height")

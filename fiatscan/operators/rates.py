@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,28 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiatscan.functions.times import micros
-from fiatscan.schemas import RATES_STALE_S, RATES_TTL_S
+from fiatscan.schemas import ASSETS, FIATS, RATES_STALE_S, RATES_TTL_S
 
 
-def normalise(feeds: DataFrame, assets: DataFrame, fiats: DataFrame) -> DataFrame:
-    """feeds (snapshot_id, rates map) -> snapshot_id, asset, fiat, rate of complete snapshots.
+def normalise(feeds: DataFrame, assets: Sequence[tuple[str, str]] = ASSETS, fiats: Sequence[str] = FIATS) -> DataFrame:
+    """feeds (snapshot_id, rates map) -> snapshot_id, asset, fiat, rate of complete snapshots; assets: (name, feed id).
 
-    A snapshot that lacks a price for any asset and fiat is rejected as a whole; so is one that did not parse.
+    A snapshot that lacks a price for any asset and fiat is rejected as a whole; so is one that did not parse. No shuffle.
     """
-    wanted = assets.crossJoin(fiats)
-    pairs = feeds.crossJoin(F.broadcast(wanted)).select("snapshot_id", "asset", "fiat", F.try_element_at(F.try_element_at("rates", F.col("feed_id")), F.lower("fiat")).alias("rate"))
-    return pairs.join(rejected(pairs), "snapshot_id", "left_anti")
-
-
-def rejected(pairs: DataFrame) -> DataFrame:
-    """Snapshots with a missing rate."""
-    return pairs.where(F.col("rate").isNull()).select("snapshot_id").distinct()
+    rate = lambda feed_id, fiat: F.try_element_at(F.try_element_at("rates", F.lit(feed_id)), F.lit(fiat.lower()))
+    pairs = F.array(*[F.struct(F.lit(asset).alias("asset"), F.lit(fiat).alias("fiat"), rate(feed_id, fiat).alias("rate")) for asset, feed_id in assets for fiat in fiats])
+    parsed = feeds.select("snapshot_id", F.explode(F.array("rates")).alias("rates"))  # a generator, so that a payload is parsed once and not for every pair
+    complete = parsed.select("snapshot_id", pairs.alias("_pairs")).where(F.forall("_pairs", lambda p: p["rate"].isNotNull()))
+    return complete.select("snapshot_id", F.inline("_pairs"))
 
 
 def convert(prices: DataFrame, rates: DataFrame) -> DataFrame:
     """prices (amount, currency) x rates (asset, fiat, rate): a row for each asset, for amounts above 0."""
     known = rates.select("asset", F.col("fiat").alias("currency"), "rate")
-    return prices.where(F.col("amount") > 0).join(F.broadcast(known), "currency").withColumn("asset_amount", F.try_divide("amount", "rate"))
+    return prices.where(F.col("amount") > 0).join(known, "currency").withColumn("asset_amount", F.try_divide("amount", "rate"))
 
 
 def as_of(events: DataFrame, ticks: DataFrame, keys: list[str], bucket_s: int = 86_400) -> DataFrame:
@@ -58,10 +55,16 @@ def as_of(events: DataFrame, ticks: DataFrame, keys: list[str], bucket_s: int =
 
 
 def latest(ticks: DataFrame, now: Column, stale_s: int = RATES_STALE_S) -> DataFrame:
-    """The last tick of each asset and fiat, its age at `now`, whether it is stale and still usable."""
-    last = ticks.groupBy("asset", "fiat").agg(F.max(F.struct("ts", "event_id", "rate")).alias("t"))
-    age = (micros(now) - micros(F.col("t.ts"))) / 1e6
-    return last.select("asset", "fiat", F.col("t.ts").alias("ts"), F.col("t.rate").alias("rate"), age.alias("age_s"), (age > stale_s).alias("stale"), (age <= stale_s).alias("usable"))
+    """ticks (asset, fiat, ts, event_id, rate, stale) -> the last one of each asset and fiat, its age at `now`, and whether it is stale and still usable.
+
+    `now` is an aggregate or a literal, such as max("ts") or a time. A rate is stale if its feed said so or its age is above the limit; it is
+    usable up to that age.
+    """
+    last = ticks.groupBy("asset", "fiat").agg(F.max(F.struct("ts", "event_id", "rate", "stale")).alias("t"))
+    clock = ticks.agg(now.alias("now"))
+    age = (micros(F.col("now")) - micros(F.col("t.ts"))) / 1e6
+    timed = last.crossJoin(F.broadcast(clock)).withColumn("age_s", age)  # a clock is one row
+    return timed.select("asset", "fiat", F.col("t.ts").alias("ts"), "now", F.col("t.rate").alias("rate"), "age_s", (F.coalesce("t.stale", F.lit(False)) | (F.col("age_s") > stale_s)).alias("stale"), (F.col("age_s") <= stale_s).alias("usable"))
 
 
 def _links(ttl_us: int):

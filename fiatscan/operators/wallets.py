@@ -18,13 +18,13 @@ def richest(accounts: DataFrame) -> DataFrame:
 
 def values(wallets: DataFrame, rates: DataFrame) -> DataFrame:
     """Known balances in every fiat."""
-    nim = F.broadcast(rates.where("asset = 'NIM'").select("fiat", "rate"))
+    nim = rates.where("asset = 'NIM'").select("fiat", "rate")
     return wallets.where(F.col("balance_nim").isNotNull()).crossJoin(nim).select("wallet_id", "fiat", (F.col("balance_nim") * F.col("rate")).alias("value"))
 
 
 def preferred_values(wallets: DataFrame, preferences: DataFrame, rates: DataFrame) -> DataFrame:
     """Balance in the wallet's fiat of choice; null for an unknown balance."""
-    nim = F.broadcast(rates.where("asset = 'NIM'").select("fiat", "rate"))
+    nim = rates.where("asset = 'NIM'").select("fiat", "rate")
     return wallets.join(preferences.select("wallet_id", "fiat", "onboarded"), "wallet_id").join(nim, "fiat").select("wallet_id", "fiat", "onboarded", (F.col("balance_nim") * F.col("rate")).alias("value"))
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from fiatscan.sources.tables import folder
+from fiatscan.sources.tables import new_path
 
 
 def read_stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,7 +16,7 @@ def read_stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream until its source is empty and reads what it wrote."""
     spark = stream.sparkSession
-    base = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = new_path(spark, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")

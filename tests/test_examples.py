@@ -1,5 +1,6 @@
 """Known inputs and outputs of every function, and small models of the ordered folds."""
 
+import json
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fiatscan.functions import geometry, money, text_price
 from fiatscan.operators import fragments, frames, rates, readings, wallets
+from fiatscan.schemas import ASSETS, FIATS
 from fiatscan.sources import feeds
 
 PRICES = [
@@ -81,7 +83,7 @@ LARGE = [(0, 0, "2.06", 88, 93, 200), (1, 0, "1.99", 75, 82, 3240)]
 @pytest.mark.parametrize("reads,want", [(READS, (1, 0, 3.99)), (NOISY, (1, 0, 1.99)), (LARGE, (1, 0, 1.99))])
 def test_winner_of_whole_readings(spark, reads, want):
     table = spark.createDataFrame([(1, *r) for r in reads], "image_id long, crop_idx int, variant_idx int, text string, confidence int, digit_confidence int, digit_area int")
-    out = fragments.whole_variants(table, F.lit("EUR"), F.lit(100.0), F.lit(50.0))
+    out = fragments.whole_variants(table, F.lit("EUR"))
     (winner,) = fragments.winners(out).collect()
     assert (winner.crop_idx, winner.variant_idx, winner.amount) == want
     assert fragments.summary(out).first().n_rejected == sum(r.rejected for r in out.collect())
@@ -188,16 +190,68 @@ def test_payloads(spark):
     raw = spark.createDataFrame([(1, '{"result": {"data": {"address": "A", "balance": 12345000}}}'), (2, '{"error": {"message": "Invalid address"}}'), (3, "{}"), (4, "junk"), (5, None)], "i int, payload string")
     got = {r.i: (r.status, r.luna) for r in feeds.parse_accounts(raw).collect()}
     assert got == {1: ("ok", 12345000), 2: ("Invalid address", None), 3: ("no result", None), 4: ("no result", None), 5: ("no result", None)}
-    raw = spark.createDataFrame([(1, '{"fiatCurrency": "CHF", "onboardingComplete": true}'), (2, '{"fiatCurrency": "XXX", "onboardingComplete": "true"}'), (3, "junk"), (4, None)], "i int, raw string")
-    assert {r.i: (r.fiat, r.onboarded) for r in feeds.parse_preferences(raw).collect()} == {1: ("CHF", True), 2: ("EUR", False), 3: ("EUR", False), 4: ("EUR", False)}
 
 
-def test_reports_from_files(spark, tmp_path):
-    (tmp_path / "r.json").write_text('{"image": "zara.jpg",\n "scanCurrency": "EUR", "crops": [{"index": 0, "variants": [{"index": 0, "mode": "grayscale", "text": "x", "rejected": true, "score": null}, {"index": 1, "text": "y", "rejected": true, "regionCount": 3}]}], "winner": null}')
-    rows = feeds.read_reports(spark, f"file://{tmp_path}/r.json").orderBy("variant_idx").collect()
-    assert [(r.image, r.variant_idx, r.text, r.rejected, r.regionCount) for r in rows] == [("zara.jpg", 0, "x", True, None), ("zara.jpg", 1, "y", True, 3)]
-    feeds.write_reports(spark.createDataFrame([("a", 1)], "image string, n int"), f"file://{tmp_path}/out")
-    assert spark.read.json(f"file://{tmp_path}/out").count() == 1
+VALID = "NQ07 0000 0000 0000 0000 0000 0000 0000 0001"
+
+
+def test_stored_wallets(spark):
+    raw = [
+        (1, '{"address": "%s", "balanceNim": 12.5, "updatedAt": 1700000000000}' % VALID, (VALID, 12.5, 1700000000000)), (2, VALID, (VALID, None, 0)), (3, '{"address": "A1", "balanceNim": 1}', (None, None, None)),
+        (4, '{"address": "%s", "balanceNim": "12", "updatedAt": "1700"}' % VALID, (VALID, None, 0)), (5, '{"x": {"address": "%s"}}' % VALID, (None, None, None)), (6, "junk", (None, None, None)), (7, None, (None, None, None)),
+        (8, '{"address": 7}', (None, None, None)), (9, '{"address": "%s", "balanceNim": null}' % VALID, (VALID, None, 0)), (10, '"%s"' % VALID, (None, None, None)), (11, f" {VALID.lower()} ", (f" {VALID.lower()} ", None, 0)), (12, "[1]", (None, None, None)),
+    ]
+    got = feeds.parse_wallets(spark.createDataFrame([r[:2] for r in raw], "i int, raw string")).collect()
+    assert {r.i: (r.address, r.balance_nim, r.updated_at) for r in got} == {i: want for i, _, want in raw}
+
+
+def test_stored_preferences(spark):
+    raw = [
+        (1, '{"fiatCurrency": "CHF", "onboardingComplete": true}', ("CHF", True)), (2, '{"fiatCurrency": "XXX", "onboardingComplete": true}', ("EUR", False)), (3, '{"fiatCurrency": "JPY", "onboardingComplete": "true"}', ("JPY", False)),
+        (4, '{"fiatCurrency": "JPY", "x": {"onboardingComplete": true}}', ("JPY", False)), (5, '{"onboardingComplete": true}', ("EUR", False)), (6, "junk", ("EUR", False)), (7, None, ("EUR", False)), (8, '{"fiatCurrency": 5, "onboardingComplete": true}', ("EUR", False)),
+    ]
+    got = feeds.parse_preferences(spark.createDataFrame([r[:2] for r in raw], "i int, raw string")).collect()
+    assert {r.i: (r.fiat, r.onboarded) for r in got} == {i: want for i, _, want in raw}
+
+
+REPORT = """{
+  "input": "fixtures/example.jpg", "currency": "EUR",
+  "crops": [{"index": 0, "rect": {"x": 0, "y": 5, "width": 100, "height": 50}, "variants": [
+    {"index": 0, "mode": "grayscale", "text": " €3.99\\n", "confidence": 80, "digitConfidence": 95, "parsed": {"amount": 3.99, "currency": "EUR"}, "score": 95080, "rejected": false, "regionCount": 2, "candidateCount": 1},
+    {"index": 1, "mode": "threshold:128", "text": "noise", "confidence": 70, "digitConfidence": 0, "parsed": null, "score": null, "rejected": true}]}],
+  "winner": {"cropIndex": 0, "variantIndex": 0, "parsed": {"amount": 3.99, "currency": "EUR"}}
+}"""
+
+
+def test_reports_in_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(REPORT)
+    (tmp_path / "b.json").write_text('{"input": "none.jpg", "currency": "USD", "crops": [], "winner": null}')
+    found = feeds.read_reports(spark, f"file://{tmp_path}/*.json")
+    summed = {r.input: tuple(r)[1:] for r in feeds.summarise_reports(found).collect()}
+    assert summed == {"fixtures/example.jpg": ("EUR", "3.99 EUR", "€3.99", 2, 1, 1), "none.jpg": ("USD", "none", "n/a", 0, 0, 0)}
+    rows = feeds.explode_reports(found)
+    want = [("fixtures/example.jpg", "EUR", 0, (0, 5, 100, 50), 0, "grayscale", " €3.99\n", 80.0, 95.0, 3.99, "EUR", 95080.0, False, 2, 1), ("fixtures/example.jpg", "EUR", 0, (0, 5, 100, 50), 1, "threshold:128", "noise", 70.0, 0.0, None, None, None, True, None, None)]
+    assert sorted(map(tuple, rows.collect()), key=lambda r: r[4]) == want
+    winners = spark.createDataFrame([("fixtures/example.jpg", 0, 0, 3.99, "EUR")], "input string, crop_idx int, variant_idx int, amount double, currency string")
+    out = f"file://{tmp_path}/out"
+    feeds.write_reports(feeds.build_reports(rows, winners), out)
+    again = feeds.read_reports(spark, out, lines=True)
+    assert again.collect() == found.where("size(crops) > 0").collect()
+    with pytest.raises(Exception, match="already exists"):
+        feeds.write_reports(again, out)
+
+
+def test_complete_snapshots_and_stale_rates(spark):
+    full = {feed: {f.lower(): 2.0 for f in FIATS} for _, feed in ASSETS}
+    short = {**full, "tether": {"eur": 1.0}}
+    raw = feeds.parse_feeds(spark.createDataFrame([(1, json.dumps(full)), (2, json.dumps(short)), (3, "junk"), (4, None), (5, "{}")], "snapshot_id long, payload string"))
+    got = rates.normalise(raw).collect()
+    assert {r.snapshot_id for r in got} == {1} and len(got) == 40
+    ticks = [("NIM", "EUR", at, k, 1.0 + k, flag) for k, (at, flag) in enumerate([("2024-01-01 00:00:00", False), ("2024-01-01 00:10:00", False)])]
+    ticks += [("BTC", "EUR", "2024-01-01 00:05:00", 9, 5.0, False), ("ETH", "EUR", "2024-01-01 00:10:00", 10, 6.0, True), ("USDT", "EUR", "2024-01-01 00:04:59", 11, 7.0, None)]
+    table = spark.createDataFrame(ticks, "asset string, fiat string, ts string, event_id long, rate double, stale boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.asset: (r.rate, r.age_s, r.stale, r.usable) for r in rates.latest(table, F.max("ts")).collect()}
+    assert got == {"NIM": (2.0, 0.0, False, True), "BTC": (5.0, 300.0, False, True), "ETH": (6.0, 0.0, True, True), "USDT": (7.0, 301.0, True, False)}
 
 
 def test_words_of_a_page(spark):
