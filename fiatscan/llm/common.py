@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +15,18 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all machines see: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 _PATHS: list[str] = []
+_TABLES: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -29,8 +34,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _PATHS[-1]
 
 
+def new_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A name for the session's catalog, as bucketed tables need one, and a path in the shared folder."""
+    path = new_path(spark, name)
+    _TABLES.append(path.rsplit("/", 1)[1].replace("-", "_"))
+    return _TABLES[-1], path
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting, as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that this session's operators have put in the shared folder. Call it when their results are written."""
+    while _TABLES:
+        spark.sql(f"drop table if exists {_TABLES.pop()}")
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _PATHS:
         path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
