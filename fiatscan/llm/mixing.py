@@ -8,12 +8,12 @@ siblings before ancestors. Shares are whole tokens, rounding goes to the first s
 
 A leaf with a share of A tokens and N at hand takes A div N whole epochs and, in the seeded order of
 the next epoch, the first documents up to A mod N tokens, the last of them in part. The order is that of a hash, so
-prefix sums are taken over ranges of the hash: totals of ranges, then rows inside one range. A leaf with a third
-of all rows is spread over thousands of ranges.
+prefix sums are taken over ranges of the hash: totals of ranges, then rows inside one range. The hash is of seed, epoch, doc_id and text, so a leaf with a third
+of all rows, without ids or with one id for all, is spread over thousands of ranges; only rows of equal id and text stay together.
 
 A token is a run of characters that are not ASCII white space. Null levels are named ''. A null or
-empty text has no tokens and takes none. Rows that repeat a doc_id are counted each. A weight of 0, or
-an empty table, takes nothing.
+empty text has no tokens and takes none. Rows that repeat a doc_id are counted each; those that repeat its text too are alike, whichever comes first. A weight of 0, or
+an empty table, takes nothing. Very long texts are counted whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -80,9 +80,9 @@ def allocate(leaves: DataFrame, budget: Column, levels: tuple[str, ...] = LEVELS
 
 
 def select(rows: DataFrame, shares: DataFrame, levels: tuple[str, ...] = LEVELS, seed: str = SEED) -> DataFrame:
-    """rows (doc_id, levels, n_tokens, ...), shares -> rows with full_epochs, partial_tokens, taken."""
+    """rows (doc_id, levels, n_tokens, text_md5, ...), shares -> rows with full_epochs, partial_tokens, taken."""
     shares = stored(shares.select(*levels, F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(0).alias("full_epochs"), F.when(F.col("tokens") > 0, F.expr("share % tokens")).otherwise(0).alias("_rest")), "shares")
-    order = F.md5(F.concat(F.lit(seed + "-"), F.col("full_epochs").cast("string"), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    order = F.md5(F.concat(F.lit(seed + "-"), F.col("full_epochs").cast("string"), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("text_md5")).cast("binary"))
     keyed = stored(rows.join(shares, list(levels)).withColumn("_order", order).withColumn("_range", F.substring("_order", 1, RANGE_DIGITS)), "mixed")
     ranges = keyed.groupBy(*levels, "_range").agg(F.sum("n_tokens").alias("_sum"))
     earlier = Window.partitionBy(*levels).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +97,7 @@ def select(rows: DataFrame, shares: DataFrame, levels: tuple[str, ...] = LEVELS,
 def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, weights: dict | None = None, seed: str = SEED) -> DataFrame:
     """documents -> doc_id, domain, lang, source, n_tokens, full_epochs, partial_tokens, taken, text_hash (names the row's text)."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), source.alias("source"), token_count(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), source.alias("source"), token_count(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("text_hash"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_md5"))
     rows = stored(rows.withColumn("domain", domain_of(F.col("source"))), "counted")
     leaves = stored(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     budget = F.expr(f"coalesce(sum(tokens), 0) * {int(budget_percent)} div 100")
@@ -131,13 +131,13 @@ g_{level} as (select {keys}, cast(part + case when not is_full and turn <= odd t
 with counted as (
   select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
     'd' || cast(coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)', 1) as bigint) % 4, 0) as varchar) as domain,
-    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as n_tokens
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as n_tokens, md5(coalesce(text, '')) as text_md5
   from documents),
 leaves as (select {keys}, sum(n_tokens) as tokens from counted group by {keys}),
 g_root as (select cast(coalesce(sum(tokens), 0) * {budget_percent} // 100 as bigint) as share from leaves),
 {",".join(parts)},
 shares as (select {keys}, case when tokens > 0 then share // tokens else 0 end as full_epochs, case when tokens > 0 then share % tokens else 0 end as rest from leaves join g_source using ({keys})),
-keyed as (select *, md5('{seed}-' || cast(full_epochs as varchar) || '-' || coalesce(cast(doc_id as varchar), '')) as o from counted join shares using ({keys})),
+keyed as (select *, md5('{seed}-' || cast(full_epochs as varchar) || '-' || coalesce(cast(doc_id as varchar), '') || '-' || text_md5) as o from counted join shares using ({keys})),
 placed as (select *, coalesce(sum(n_tokens) over (partition by {keys} order by o, doc_id, n_tokens rows between unbounded preceding and 1 preceding), 0) as before from keyed),
 done as (select *, least(n_tokens, greatest(0, rest - before)) as partial_tokens from placed)
 select doc_id, domain, lang, source, cast(n_tokens as bigint) as n_tokens, cast(full_epochs as bigint) as full_epochs,

@@ -3,15 +3,17 @@
 Several metadata dimensions are quantised to cells of a grid, the rows are put in the order of the
 Hilbert curve through the grid, and the order is cut into runs of equal row counts. Rows near each
 other on the curve are near in every dimension, so each run covers a small box: `zone_map` gives the
-box of each shard, by which a reader prunes files on any of the dimensions.
+box of each shard, by which a reader prunes files on any of the dimensions. A category's cell follows the order of its values, cut so that
+cells have near equal row counts; so a shard's least and greatest source or language lie close, and a filter on either skips shards.
 
 The order is never sorted as a whole. A cell and a bucket inside it (a hash of the row) have a count;
 counts are summed over the at most `2 ** (dims * bits)` cells and `buckets` buckets of each, and a row's
 rank is its group's offset plus its place in its small group. A cell that holds a third of all rows is
 spread over its buckets.
 
-Nulls: a dimension that is null falls into cell 0 of that dimension; a null text has one byte and the
-checksum of no bytes. Repeated rows get different slots. An empty table gives no rows.
+Nulls: a dimension that is null comes first in its order; a null text has one byte and the
+checksum of no bytes. Repeated rows get different slots. An empty table gives no rows. Very long texts count by their bytes; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .common import stored
 
 BITS = 4
 BUCKETS = 256
+BROADCAST_VALUES = 100_000
 
 
 def _curve_tables(dims: int) -> tuple[list[int], list[int], list[int]]:
@@ -71,9 +74,19 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.array(*(corner(level) for level in reversed(range(bits)))), start, step, lambda s: s["h"])
 
 
-def quantise_category(column: Column, bits: int = BITS) -> Column:
-    """A cell by hash of the category."""
-    return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(1 << bits)), F.lit(0)).cast("int")
+def with_category_cell(rows: DataFrame, column: str, cell: str, bits: int = BITS) -> DataFrame:
+    """`rows` with `cell`: the place of the category among all rows in the order of the values, in `2 ** bits` parts of near equal size.
+
+    Counted by value first, so the order is found over distinct values; they are broadcast only up to BROADCAST_VALUES of them, and beyond that joined.
+    """
+    value = F.struct(F.col(column).isNotNull().alias("known"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value"))
+    keyed = rows.withColumn("_value", value)
+    counts = keyed.groupBy("_value").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(Window.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    cells = stored(counts.withColumns({"_before": before, "_total": total}).select("_value", F.expr(f"cast(_before * {1 << bits} div _total as int)").alias(cell)), "cells")
+    few = cells.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    return keyed.join(F.broadcast(cells) if few else cells, "_value").drop("_value")
 
 
 def quantise_size(column: Column, bits: int = BITS) -> Column:
@@ -119,13 +132,14 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """documents -> doc_id, size, text_crc32, law, shard, slot, grown_shard and the curve's place.
+    """documents -> doc_id, size, text_crc32, law, shard, slot, grown_shard, source, lang, the three cells and the curve's place.
 
     Dimensions: source, language and order of magnitude of the size. The law is `rows`.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), quantise_category(F.col("source")).alias("_s"), quantise_category(F.col("lang")).alias("_l"))
-    rows = rows.withColumn("_z", quantise_size(F.col("size")))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "source", "lang")
+    rows = with_category_cell(with_category_cell(stored(rows, "sized"), "source", "source_cell"), "lang", "lang_cell").withColumn("size_cell", quantise_size(F.col("size")))
     tie = F.xxhash64("doc_id", "text_crc32", "size")
-    out = hilbert_shards(rows, [F.col("_s"), F.col("_l"), F.col("_z")], tie, n_shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    out = hilbert_shards(rows, [F.col("source_cell"), F.col("lang_cell"), F.col("size_cell")], tie, n_shards)
+    columns = ["shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "lang", "source_cell", "lang_cell", "size_cell", "curve"]
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), *columns)

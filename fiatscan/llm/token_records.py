@@ -15,12 +15,16 @@ file system, write frames as rows; readers skip it by length. Files are in ascen
 rows that repeat an id by a hash of their text, null ids last. The index has, per record, the file,
 byte offset and byte length, so a shuffled reader seeks straight to any record.
 
-A null or empty text has only the end id. Long texts are encoded whole. The ids are those of the library's
+The number of files follows from the bytes of all texts, about `file_bytes` a file; a file that gets more than four times the mean of records, as rows of
+equal id and text lie together, is rolled over to the next. So a file stays far below what one reader can hold, and files are read whole, each by one task.
+
+A null or empty text has only the end id; an empty table gives no rows. Long texts are encoded whole. Other columns, whatever their names, are ignored. The ids are those of the library's
 encode(text, add_special_tokens=False): an added token's content in a text, special or not, is that token.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -30,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, new_path, small_batches, stored
+from .common import ARROW_ROWS, new_path, setting, small_batches, stored
 from .hashing import chunks, spans_hash
 
 END_ID = 0
@@ -42,6 +46,8 @@ LAST = (1 << 63) - 1
 HEAD = struct.Struct("<QI")
 ENTRY = struct.Struct("<qII")
 STORE_PIECES = 1_200_000
+FILE_BYTES = 64 << 20
+ROLL = 4
 CHAIN = 2000
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -130,16 +136,26 @@ def _encoder(path: str, special: bool):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = not special
+        with open(path, encoding="utf-8") as f:
+            pieces = Pieces() if _cuts_at_spaces(json.load(f)) else None
         vocabulary, added = tokenizer.get_vocab(with_added_tokens=False), tokenizer.get_added_tokens_decoder()
         width = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
         for token, i in vocabulary.items():
             width[i] = len(token)  # one character stands for one byte
         for i, token in added.items():
             width[i] = len(token.content.encode())
-        _ENCODERS[path, special] = (tokenizer, width, [t.content for t in added.values() if special or not t.special], Pieces())
+        _ENCODERS[path, special] = (tokenizer, width, [t.content for t in added.values() if special or not t.special], pieces)
     return _ENCODERS[path, special]
 
 
+def _cuts_at_spaces(settings: dict) -> bool:
+    """Whether the tokenizer reads bytes and cuts texts by the pattern that `encode_texts` relies on, with nothing before it."""
+    cutter = settings.get("pre_tokenizer") or {}
+    plain = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+    model = settings.get("model") or {}
+    return plain and not settings.get("normalizer") and model.get("type", "BPE") == "BPE" and not model.get("dropout")
+
+
 def _encode_pieces(pieces: list[str], tokenizer, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of ids of each piece, with a space before it, and all ids. Pieces are joined into long texts, whose
     ids are cut again at the pieces' byte lengths."""
@@ -161,12 +177,13 @@ def encode_texts(texts: list[str], path: str, special: bool = False) -> list[byt
     The tokenizer's pattern never joins a character that is not white space with white space after it,
     so a text whose spaces all stand alone is the chain of its pieces, cut before each space. Pieces
     repeat: each is encoded once by the library and kept by its 64-bit hash. Other texts, and first
-    pieces, go to the library as they are, and so does a text that holds an added token, or whose ids do not add up to its bytes.
+    pieces, go to the library as they are, and so does a text that holds an added token, or whose ids do not add up to its bytes, and
+    every text of a tokenizer that cuts texts otherwise.
     """
     tokenizer, width, added, known = _encoder(path, special)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     out: list[bytes | None] = [None] * len(texts)
-    for part in chunks([len(b) for b in raw]):
+    for part in chunks([len(b) for b in raw]) if known is not None else ():
         _encode_chunk(texts, raw, out, part, tokenizer, width, added, known)
     left = [i for i, ids in enumerate(out) if ids is None]
     for i, got in zip(left, tokenizer.encode_batch_fast([texts[i] for i in left], add_special_tokens=False)):
@@ -254,13 +271,16 @@ def _frames(path: str, end_id: int):
     return made
 
 
-def write_records(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> None:
-    """Encodes doc_id, text and writes the record files, in ascending order over file names and inside files."""
-    small_batches(docs.sparkSession, 500)
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("_o"), F.xxhash64("text").alias("_h"))
-    rows = rows.repartitionByRange("_o", "_h").sortWithinPartitions("_o", "_h").select("doc_id", "text")
+def write_records(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
+    """Encodes doc_id, text and writes the record files, in ascending order over file numbers and inside files."""
+    spark = docs.sparkSession
+    small_batches(spark, 500)
+    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("binary"))), F.lit(0))).first()
+    n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // file_bytes))
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("_o"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_r"))
+    rows = rows.repartitionByRange(n_files, "_o", "_h", "_r").sortWithinPartitions("_o", "_h", "_r").select("doc_id", "text")
     framed = rows.mapInArrow(_frames(tokenizer_path, end_id), "frame binary")
-    framed.select(F.col("frame").cast("string")).write.text(path)
+    framed.select(F.col("frame").cast("string")).write.option("maxRecordsPerFile", max(1, -(-ROLL * n_rows // n_files))).text(path)
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,22 +304,27 @@ def build_index(spark, path: str) -> DataFrame:
     return files.mapInPandas(_scan, "path string, doc_id long, record long, offset long, length long, n_tokens long, ids_crc32 long")
 
 
+def file_order(path: Column) -> Column:
+    """A file's place: its partition, then its turn where that was rolled over."""
+    number = lambda pattern: F.regexp_extract(path, pattern, 1).cast("long")
+    return F.struct(number(r"/part-(\d+)[^/]*$").alias("part"), number(r"-c(\d+)[^/]*$").alias("turn"))
+
+
 def write_index(spark, path: str) -> DataFrame:
     """The index as a table beside the record files, with `start`: ids in all records before."""
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, "1")  # a whole file is one row
-    index = stored(build_index(spark, path), "record-index")
-    spark.conf.set(ARROW_ROWS, before)
+    with setting(spark, ARROW_ROWS, "1"):  # a whole file is one row
+        index = stored(build_index(spark, path), "record-index")
     files = index.groupBy("path").agg(F.sum("n_tokens").alias("_n"))
-    files = files.select("path", F.coalesce(F.sum("_n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    earlier = Window.orderBy(file_order(F.col("path"))).rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = files.select("path", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("path").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)
     return index.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(files, "path").withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in")
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """documents -> doc_id, start, n_tokens, ids_crc32, path, offset, length, all read from the files written."""
     spark = docs.sparkSession
     path = path or new_path(spark, "records")
-    write_records(docs, tokenizer_path, path, end_id)
+    write_records(docs, tokenizer_path, path, end_id, file_bytes)
     index = write_index(spark, path)
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "path", "offset", "length")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from fiatscan.llm import ann, decontaminate, html_text, language, line_dedup, mixing, near_dedup, quality, sharding, token_records
 
@@ -77,6 +78,27 @@ def test_shards_are_even_and_gapless(spark, docs, rows):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_shards_are_skipped_by_every_dimension(spark, tmp_path):
+    """Files of 64 shards: a filter on any dimension must leave most of them unread, by their bounds, and find all its rows in the rest."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 15)), rng.choice(["de", "en", "fr", "pl", "sv", None]), f"site{rng.randint(0, 40):02d}", 0) for i in range(6000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), 64)
+    path = f"file://{tmp_path}/shards"
+    sharding.write_shards(got, path)
+    back = spark.read.parquet(path).cache()
+    assert back.count() == len(rows) and len(list(tmp_path.glob("shards/shard=*"))) == 64
+    zones = sharding.zone_map(back, ["source", "lang", "size"]).cache()
+    for column, value in (("source", "site07"), ("lang", "fr"), ("size", 20)):
+        read = {z.shard for z in zones.where((F.col(f"min_{column}") <= value) & (F.col(f"max_{column}") >= value)).collect()}
+        holding = {r.shard for r in back.where(F.col(column) == value).select("shard").distinct().collect()}
+        assert holding <= read and len(read) <= 32, (column, len(read))
+    for shard in (0, 17, 63):
+        curves = [r.curve for r in spark.read.parquet(f"{path}/shard={shard}").orderBy("slot").collect()]
+        assert curves == sorted(curves)
+
+
 def test_quality_learns_and_scores_all(spark):
     rng = random.Random(1)
     good = ["the quick brown fox jumps over the lazy dog and runs " + words(rng, 60) for _ in range(300)]
@@ -265,6 +287,35 @@ def test_records_round_trip(spark, docs, rows, tokenizer_path, tmp_path):
     assert token_records.encode_documents(docs.limit(0), tokenizer_path).count() == 0
 
 
+def test_records_roll_over_many_files(spark, docs, rows, tokenizer_path):
+    """A few bytes a file and a hot row: many files, read back in order, with the same records as one big file's."""
+    hot = spark.createDataFrame([(5, "the same text again", "en", "s", 0)] * 400, SCHEMA)
+    both = docs.unionByName(hot)
+    few = [tuple(r)[:4] for r in token_records.encode_documents(both, tokenizer_path).orderBy("start").collect()]
+    many = token_records.encode_documents(both, tokenizer_path, file_bytes=2000).orderBy("start").collect()
+    names = {r.path for r in many}
+    assert len(names) > 20 and len({r.path for r in many if r.doc_id == 5}) > 5
+    assert Counter((r[0], *r[2:]) for r in few) == Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in many)
+    ids = [r.doc_id for r in many if r.doc_id is not None]
+    assert ids == sorted(ids) and [r.start for r in many] == np.cumsum([0, *(r.n_tokens for r in many)])[:-1].tolist()
+    order = spark.createDataFrame([("f:/a/part-100000-x-c000.txt",), ("f:/a/part-99999-x-c001.txt",), ("f:/a/part-99999-x-c000.txt",)], "p string")
+    assert [r.p[9:27] for r in order.orderBy(token_records.file_order(order["p"])).collect()] == ["99999-x-c000.txt", "99999-x-c001.txt", "100000-x-c000.txt"]
+
+
+def test_pieces_survive_a_small_store_and_other_tokenizers(tokenizer_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefg.,") for _ in range(rng.randint(1, 6))) for _ in range(200)) for _ in range(60)]
+    monkeypatch.setattr(token_records, "STORE_PIECES", 300)
+    for path in (tokenizer_path, pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")):
+        token_records._ENCODERS.clear()
+        plain = Tokenizer.from_file(path)
+        assert token_records.encode_texts(texts, path, special=True) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert token_records._encoder(path, True)[3] is None
+    token_records._ENCODERS.clear()
+
+
 def fill(children, budget):
     """Integer water-filling among (name, weight, cap): the model of one node."""
     budget, share, open_ = min(budget, sum(c for _, w, c in children if w)), {}, sorted((n, w, c) for n, w, c in children if w)
@@ -304,13 +355,14 @@ def test_mixing_follows_the_tree(docs, rows):
         return {k: v for n in names for k, v in down((*prefix, n), shares[n]).items()}
 
     want = down((), sum(tokens.values()) * 60 // 100)
+    digest = {np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64).item() if t is not None else 42: hashlib.md5((t or "").encode()).hexdigest() for _, t, *_ in rows}
     taken = Counter()
     for r in got:
         taken[leaf(r)] += r.taken
         assert r.taken == r.full_epochs * r.n_tokens + r.partial_tokens and 0 <= r.partial_tokens <= r.n_tokens
     assert {k: v for k, v in want.items() if v} == {k: v for k, v in taken.items() if v}
     for k in tokens:
-        order = sorted((r for r in got if leaf(r) == k and r.n_tokens), key=lambda r: hashlib.md5(f"{mixing.SEED}-{r.full_epochs}-{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest())
+        order = sorted((r for r in got if leaf(r) == k and r.n_tokens), key=lambda r: hashlib.md5(f"{mixing.SEED}-{r.full_epochs}-{'' if r.doc_id is None else r.doc_id}-{digest[r.text_hash]}".encode()).hexdigest())
         states = [0 if r.partial_tokens == r.n_tokens else 1 if r.partial_tokens else 2 for r in order]
         assert states == sorted(states) and states.count(1) <= 1
     assert mixing.mix(docs.limit(0)).count() == 0
