@@ -5,18 +5,22 @@ sequence as one. Two permutations give all signature coordinates: the first scat
 circle of 2**32 places, the second, shifted round the circle by k places, ranks them for coordinate k,
 which keeps the least rank. Bands of coordinates send documents to buckets.
 
-Documents with equal sets are one class, whose smallest doc_id stands for it, so copies cost one row. A
-bucket links its members to its smallest one (a member of several buckets links their smallest ones to
-the least of these), and the components of these links are families. Inside
-a family, every two sets are compared in full, and linked with 100 * intersection >= threshold * union.
-A family is cut into blocks and a task gets two blocks; it returns no more links than join its members
-into components, so neither copies nor links are expanded into pairs. A task's share of a family is bounded: `block`
-rows, or a fortieth of the family where it is larger, up to `block_limit`.
+Documents with equal sets are one class, whose smallest doc_id stands for it, so copies cost one row. Sets that share a bucket are
+compared in full, and linked with 100 * intersection >= threshold * union, in two steps:
+
+1. A star: every member of a bucket is compared with the smallest of all members of its buckets. In a group of near copies this links
+   nearly all, at one comparison a member. A smallest member with many others is dealt to several tasks, with `star_block` others each.
+2. What is left: buckets whose members are not yet all in one component of the star's links. Their members, in families joined by such buckets, are cut into
+   blocks, and a task gets two blocks and compares members of different components only. A component that fills blocks of its own is not
+   compared with itself at all. A task returns no more links than join its members
+   into components, so neither copies nor links are expanded into pairs. A task's share of a family is bounded: `block`
+   rows, or a fortieth of the family where it is larger, up to `block_limit`.
 
 A pair of similarity 0.85 shares none of 25 bands of 5 with a chance below one in a million.
 
-Null, empty and wordless texts have an empty set and are linked with nothing. Rows that repeat a doc_id
-are one document with the links of all of them. Rows without doc_id are kept, with no component.
+Null, empty and wordless texts have an empty set and are linked with nothing; an empty table gives no rows. Rows that repeat a doc_id
+are one document with the links of all of them. Rows without doc_id are kept, with no component. Other columns, whatever their names, are ignored. Very long
+texts are read whole, in batches of bounded bytes.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ BANDS = 25
 ROWS = 5
 BLOCK = 64
 BLOCK_LIMIT = 1024
+STAR_BLOCK = 1024
 _SCATTER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -98,16 +103,19 @@ def _sketch(width: int, bands: int, rows: int):
 
 def _sets(width: int):
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # rows that repeat a document are read once a task
         for pdf in batches:
+            pdf = pdf[~pdf["node"].isin(seen) & ~pdf.duplicated(["node", "text"])]
             sets = shingle_sets([bytes(t) for t in pdf["text"]], width)
-            right = np.array([set_digest(s) for s in sets]) == pdf["digest"].to_numpy()
-            yield pdf.drop(columns=["text", "digest"]).assign(shingles=[s.tobytes() for s in sets])[right]
+            right = np.array([set_digest(s) for s in sets], np.int64) == pdf["digest"].to_numpy(np.int64)
+            seen.update(pdf["node"][right])
+            yield pdf[["node"]].assign(shingles=[s.tobytes() for s in sets])[right].drop_duplicates("node")
 
     return made
 
 
-def links_of(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Links that join the group's members into the components of all its links.
+def links_of(nodes: np.ndarray, sides: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links between members of different groups that join the members into the components of all such links.
 
     Members with side 0 or 1 are compared with the other side only, with side 2 with every one of it.
     """
@@ -131,7 +139,7 @@ def links_of(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], thres
         common += grid @ grid.T
     union = sizes[:, None] + sizes[None, :] - common
     linked = 100 * common.astype(np.float64) >= threshold * union.astype(np.float64)
-    linked &= (sides[:, None] == 2) | (sides[:, None] != sides[None, :])
+    linked &= ((sides[:, None] == 2) | (sides[:, None] != sides[None, :])) & (groups[:, None] != groups[None, :])
     left, right = np.nonzero(np.triu(linked, 1))
     parent = list(range(n))
 
@@ -155,7 +163,7 @@ def _verify(threshold: int):
 
     def group(rows: pd.DataFrame) -> list[tuple[int, int]]:
         sides = np.full(len(rows), 2) if rows["i"].iat[0] == rows["j"].iat[0] else (rows["block"] == rows["j"]).to_numpy(np.int64)
-        return links_of(rows["node"].to_numpy(), sides, [np.frombuffer(s, np.uint64) for s in rows["shingles"]], threshold)
+        return links_of(rows["node"].to_numpy(), sides, rows["component"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["shingles"]], threshold)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -171,7 +179,60 @@ def _verify(threshold: int):
     return made
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_limit: int = BLOCK_LIMIT) -> DataFrame:
+def linked(left: np.ndarray, right: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * common >= threshold * (len(left) + len(right) - common)
+
+
+def _stars(threshold: int):
+    """Rows in order of head, salt and tag, the head itself (tag 0) before its members (tag 1): the links of members to heads."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, own = None, None
+        for pdf in batches:
+            out = []
+            for at, tag, node, shingles in zip(pdf["head"], pdf["tag"], pdf["node"], pdf["shingles"]):
+                if tag == 0:
+                    head, own = at, np.frombuffer(shingles, np.uint64)
+                elif at == head and linked(own, np.frombuffer(shingles, np.uint64), threshold):
+                    out.append((at, node))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return made
+
+
+def star_links(sets: DataFrame, heads: DataFrame, threshold: int, star_block: int) -> DataFrame:
+    """sets (node, shingles), heads (node, head: another node) -> a, b: the pairs of heads that are linked."""
+    salts = heads.groupBy("head").agg(F.ceil(F.count("*") / star_block).cast("int").alias("salts"))
+    dealt = heads.join(salts, "head").select("node", "head", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("tag"))
+    own = salts.select(F.col("head").alias("node"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tag"))
+    rows = sets.join(dealt.unionByName(own), "node").repartition("head", "salt").sortWithinPartitions("head", "salt", "tag", "node")
+    return rows.select("head", "tag", "node", "shingles").mapInPandas(_stars(threshold), "a long, b long")
+
+
+def block_links(sets: DataFrame, members: DataFrame, threshold: int, block: int, block_limit: int) -> DataFrame:
+    """sets, members (node, family, component) -> a, b: links between components inside families."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
+    limit = F.when(F.col("size") <= 2 * block, 2 * block).otherwise(F.least(F.greatest(F.lit(block), F.ceil(F.col("size") / 40)), F.lit(block_limit))).cast("int")
+    parts = members.groupBy("family", "component").agg(F.count("*").alias("n")).join(sizes.select("family", limit.alias("limit")), "family")
+    large = F.col("n") > F.col("limit")
+    parts = stored(parts.select("family", "component", F.when(large, F.col("component")).alias("alone"), "n", "limit"), "parts")
+    filled = parts.groupBy("family", "alone").agg(F.ceil(F.sum("n") / F.max("limit")).cast("int").alias("n_blocks"))
+    # a block is of one large component, or of all small ones
+    block_id = lambda alone, k: F.struct(F.coalesce(alone, F.lit(-(1 << 63))).alias("alone"), k.alias("k"))
+    blocks = stored(filled.select("family", "alone", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("k")).select("family", "alone", block_id(F.col("alone"), F.col("k")).alias("block")), "blocks")
+    other = blocks.select("family", F.col("alone").alias("_alone"), F.col("block").alias("j"))
+    pairs = blocks.withColumnRenamed("block", "i").join(other, "family").where("i <= j and not coalesce(alone = _alone, false)").select("family", "i", "j")
+    placed = members.join(parts.drop("n", "limit"), ["family", "component"]).join(filled.select("family", F.col("alone").alias("_alone"), "n_blocks"), "family").where(F.col("alone").eqNullSafe(F.col("_alone")))
+    placed = placed.select("node", "family", "component", block_id(F.col("alone"), F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).alias("block"))
+    ends = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    named = placed.join(ends, ["family", "block"]).select("node", "family", "component", *[F.xxhash64(c).alias(c) for c in ("i", "j", "block")])
+    dealt = sets.join(named, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    return dealt.mapInPandas(_verify(threshold), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_limit: int = BLOCK_LIMIT, star_block: int = STAR_BLOCK) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept, a row for each input row."""
     spark = docs.sparkSession
     small_batches(spark, 1000)
@@ -180,24 +241,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     named = sketched.where("doc_id is not null and n_shingles > 0")
     classes = stored(named.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("node"), "bands")).alias("r")).select("digest", "r.node", "r.bands"), "classes")
     spread = classes.select("node", F.explode("bands").alias("key"))
-    buckets = stored(spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key", "head"), "buckets")
-    heads = spread.join(buckets, "key").groupBy("node").agg(F.collect_set("head").alias("heads"))
-    star = heads.select(F.array_min("heads").alias("a"), F.explode(F.array_union("heads", F.array("node"))).alias("b")).where("a <> b").distinct()
-    families = components(star)
-    sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size"))
-    limit = F.least(F.greatest(F.lit(block), F.ceil(F.col("size") / 40)), F.lit(block_limit))
-    n_blocks = F.when(F.col("size") <= 2 * block, 1).otherwise(F.ceil(F.col("size") / limit)).cast("int")
-    members = stored(families.withColumnRenamed("component", "family").join(sizes, "family").select("node", "family", n_blocks.alias("n_blocks")), "families")
-    members = members.join(classes.select("node", "digest"), "node")
-    texts = base.join(members, base["doc_id"] == members["node"]).select("node", "family", "n_blocks", "digest", "text")
-    placed = texts.mapInPandas(_sets(width), "node long, family long, n_blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    dealt = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
-    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-    links = dealt.mapInPandas(_verify(threshold), "a long, b long")
-    repeated = sketched.where("doc_id is not null and n_shingles > 0").join(classes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    held = components(stored(links, "links").union(stored(repeated, "copies")))
+    shared = spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key", "head")
+    buckets = stored(spread.join(shared, "key").select("key", "node", "head"), "buckets")
+    heads = stored(buckets.groupBy("node").agg(F.min("head").alias("head")), "heads")
+    members = classes.select("node", "digest").join(heads, "node")
+    texts = base.join(members.select("node", "digest"), base["doc_id"] == F.col("node")).select("node", "digest", "text")
+    sets = stored(texts.mapInPandas(_sets(width), "node long, shingles binary"), "sets")
+    near = stored(star_links(sets, heads.where("node <> head"), threshold, star_block), "star-links")
+    joined = components(near)
+    placed = buckets.join(joined.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("node").alias("head")).where("least <> most").select("key", "head")
+    left = stored(placed.join(apart, "key").groupBy("node", "component").agg(F.collect_set("head").alias("heads")), "left")
+    star = left.select(F.array_min("heads").alias("a"), F.explode(F.array_union("heads", F.array("node"))).alias("b")).where("a <> b").distinct()
+    families = components(star).select("node", F.col("component").alias("family"))
+    rest = block_links(sets, stored(left.join(families, "node").select("node", "family", "component"), "families"), threshold, block, block_limit)
+    repeated = named.join(classes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    held = components(near.union(stored(rest, "links")).union(stored(repeated, "copies")))
     out = sketched.select("doc_id", "n_shingles").join(held.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -146,6 +146,26 @@ def test_near_duplicates_equal_all_pairs(docs, rows, block):
     assert len({c for i, c in held.items()}) < len(held)
 
 
+def test_groups_of_near_copies_need_no_blocks(spark, monkeypatch):
+    """A large group is linked by its star, dealt to several tasks; only what a bucket holds of another group goes into blocks."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(f"x{n}" if k == at else w for k, w in enumerate(base)) for n, at in enumerate(rng.choices(range(120), k=300))]
+    odd = [" ".join(base[:70] + [f"y{n}{k}" for k in range(50)]) for n in range(5)]
+    table = spark.createDataFrame(list(enumerate(texts + odd + [texts[0]] * 40)), "doc_id long, text string")
+    seen, whole = [], near_dedup.block_links
+
+    def spied(sets, members, *more):
+        seen.append((members.count(), members.select("component").distinct().count()))
+        return whole(sets, members, *more)
+
+    monkeypatch.setattr(near_dedup, "block_links", spied)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, star_block=32, block=8, block_limit=16).collect()}
+    assert {got[i] for i in [*range(300), *range(305, 345)]} == {0} and [got[i] for i in range(300, 305)] == list(range(300, 305))
+    assert near_dedup.near_duplicates(table.where("doc_id < 300"), star_block=32).where("component_id <> 0").count() == 0
+    assert seen[1] == (0, 0)
+
+
 def test_near_duplicates_of_nothing(docs):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
     assert [r.kept for r in near_dedup.near_duplicates(docs.where("doc_id = 170")).collect()] == [True]
@@ -299,7 +319,7 @@ def test_records_roll_over_many_files(spark, docs, rows, tokenizer_path):
     ids = [r.doc_id for r in many if r.doc_id is not None]
     assert ids == sorted(ids) and [r.start for r in many] == np.cumsum([0, *(r.n_tokens for r in many)])[:-1].tolist()
     order = spark.createDataFrame([("f:/a/part-100000-x-c000.txt",), ("f:/a/part-99999-x-c001.txt",), ("f:/a/part-99999-x-c000.txt",)], "p string")
-    assert [r.p[9:27] for r in order.orderBy(token_records.file_order(order["p"])).collect()] == ["99999-x-c000.txt", "99999-x-c001.txt", "100000-x-c000.txt"]
+    assert [r.p[10:] for r in order.orderBy(token_records.file_order(order["p"])).collect()] == ["99999-x-c000.txt", "99999-x-c001.txt", "100000-x-c000.txt"]
 
 
 def test_pieces_survive_a_small_store_and_other_tokenizers(tokenizer_path, monkeypatch):
