@@ -42,7 +42,7 @@ BANDS = 25
 ROWS = 5
 BLOCK = 64
 BLOCK_LIMIT = 1024
-STAR_BLOCK = 1024
+STAR_BLOCK = 256
 _SCATTER = np.uint64(0xA0761D6478BD642F)
 
 

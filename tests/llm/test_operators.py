@@ -149,9 +149,9 @@ def test_near_duplicates_equal_all_pairs(docs, rows, block):
 def test_groups_of_near_copies_need_no_blocks(spark, monkeypatch):
     """A large group is linked by its star, dealt to several tasks; only what a bucket holds of another group goes into blocks."""
     rng = random.Random(6)
-    base = [f"w{k}" for k in range(120)]
-    texts = [" ".join(f"x{n}" if k == at else w for k, w in enumerate(base)) for n, at in enumerate(rng.choices(range(120), k=300))]
-    odd = [" ".join(base[:70] + [f"y{n}{k}" for k in range(50)]) for n in range(5)]
+    base = [f"w{k}" for k in range(240)]
+    texts = [" ".join(f"x{n}" if k == at else w for k, w in enumerate(base)) for n, at in enumerate(rng.choices(range(240), k=300))]
+    odd = [" ".join(base[:140] + [f"y{n}{k}" for k in range(100)]) for n in range(5)]
     table = spark.createDataFrame(list(enumerate(texts + odd + [texts[0]] * 40)), "doc_id long, text string")
     seen, whole = [], near_dedup.block_links
 
