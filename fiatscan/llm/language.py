@@ -3,14 +3,16 @@
 Texts are cut into windows of `WINDOW` bytes, every byte is read, and both directions run over each window.
 The network labels every position; a document's probabilities are the mean of those of its positions.
 It is trained in numpy by backpropagation through time, on the driver, on a bounded sample: at most
-`sample_rows` learning rows of each language, the first by a hash of doc_id, and at most
+`sample_rows` learning rows of each language, the first by a hash of doc_id (in each of 64 parts of the hash, as many as hold
+all of these but for odd chances), and at most
 `windows_each` windows of each row, drawn from the whole text inside Spark. Every language of a learning row
 with a text is learned. Prediction reads whole texts.
 
 A gate is a clipped line, and input weights are one table row a byte, so a step is two small products
 and a few sums over thousands of windows at once.
 
-A null text, or one without a letter, is `und` with score 0. With no learning rows, every text is.
+A null text, or one without a letter, is `und` with score 0. With no learning rows, every text is. An empty table gives no rows. Rows that repeat are
+predicted each. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -203,7 +205,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, windows_each: int = W
     learning = learning.where(F.octet_length(F.col("text").cast("binary")) > 0)
     salted = learning.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
     within = Window.partitionBy("lang", F.pmod("_h", F.lit(64))).orderBy("_h", "doc_id")
-    least = salted.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= sample_rows)
+    each = 26 + sample_rows // 64 * 2  # of a part that holds sample_rows / 64 of them on average
+    least = salted.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= each)
     chosen = least.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_n") <= sample_rows).select("doc_id", "lang").distinct()
     texts = learning.select("doc_id", "lang", F.xxhash64("text").alias("copy"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
     drawn = texts.mapInPandas(_draw(windows_each), "doc_id long, lang string, copy long, at long, piece binary")

@@ -6,10 +6,11 @@ the text's bytes. The normalised difference of the compressed sizes, its extreme
 the normalised sizes themselves go into a logistic model, fitted on labelled rows that built no dictionary
 and shifted to the shares of the classes among all learning labels, so the score is a probability.
 
-Training takes at most `sample_rows` labelled rows of each class, the first by a hash of doc_id, of at most
-`sample_bytes` bytes each; scoring takes every row and every byte. Labels that contradict each other
-for one doc_id, null labels and rows without doc_id teach nothing. With labels of one class only, or none,
-the score is the share of good ones (0.5 if none). A null or empty text is scored as a text of no bytes.
+Training takes at most `sample_rows` labelled rows of each class, the first by a hash of doc_id, and of a text at most
+`sample_bytes` bytes, from a place drawn by that hash; scoring takes every row and every byte. Labels that contradict each other
+for one doc_id, null labels and rows without doc_id teach nothing; of different texts of one doc_id the least teaches. With fewer than two labelled texts of either class nothing can be
+told apart: the model is not `fitted`, and the score is the share of good labels (0.5 if none). A null or empty text is scored as a text of no bytes, and
+an empty table gives no rows. Rows that repeat are scored each. Other columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ class Model:
     weights: np.ndarray
     constant: float = 0.5
 
+    @property
+    def fitted(self) -> bool:
+        return bool(self.dictionaries)
+
 
 def compressors(dictionaries: list[bytes]) -> list[zstandard.ZstdCompressor]:
     plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
@@ -76,7 +81,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int =
 def fit(good: list[bytes], bad: list[bytes], n_good: int, n_bad: int, block: int = BLOCK, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
     """n_good, n_bad: learning labels of each class in all, for the classes' shares."""
     empty = np.zeros(0)
-    if min(len(good), len(bad)) < 30:
+    if min(len(good), len(bad)) < 2:
         return Model([], empty, empty, empty, (n_good / (n_good + n_bad)) if n_good + n_bad else 0.5)
     sides = [(rows[: 2 * len(rows) // 3], rows[2 * len(rows) // 3 :]) for rows in (good, bad)]
     dictionaries = []
@@ -100,8 +105,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     n = {r["quality"]: r["count"] for r in learning.groupBy("quality").count().collect()}
     picked = [learning.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", "quality") for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionAll(picked[1]))
-    sized = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= sample_bytes)
-    rows = sized.join(chosen, "doc_id").toPandas().sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    spare = F.greatest(F.lit(0), F.octet_length(text) - sample_bytes)
+    place = (F.pmod(F.xxhash64("doc_id"), spare + 1) + 1).cast("int")
+    parts = docs.select("doc_id", F.substring(text, place, F.lit(sample_bytes)).alias("text"))
+    rows = parts.join(chosen, "doc_id").where(F.octet_length("text") > 0).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id", kind="stable")
     side = {k: [bytes(t) for t in rows.loc[rows["quality"] == k, "text"]] for k in (0, 1)}
     return fit(side[1], side[0], n.get(1, 0), n.get(0, 0))
 

@@ -116,6 +116,64 @@ def test_quality_learns_and_scores_all(spark):
     assert quality.classify(table.limit(0), labels).count() == 0
 
 
+def test_quality_scores_equal_plain_python(spark):
+    """Every document of the small table, scored block by block without the operator's scoring code."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert model.fitted
+    plain = {"level": quality.LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    good, bad = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain) for d in model.dictionaries)
+    none = zstandard.ZstdCompressor(**plain)
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        sums, apart = [0, 0, 0], []
+        for at in range(0, len(data), 512):
+            block = data[at : at + 512]
+            sizes = [len(c.compress(block)) for c in (good, bad, none)]
+            sums = [a + b for a, b in zip(sums, sizes)]
+            apart.append((sizes[0] - sizes[1]) / len(block))
+        x = [(sums[0] - sums[1]) / len(data), *(v / len(data) for v in sums), max(apart), min(apart)] if data else [0.0] * 6
+        z = model.weights[-1] + sum((v - m) / c * w for v, m, c, w in zip(x, model.mean, model.scale, model.weights))
+        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert abs(got[r.doc_id].score - score) < 1e-9 and got[r.doc_id].predicted == (score >= 0.3) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_scores_equal_a_loop_over_bytes(spark):
+    """Both directions, a byte and a gate at a time, against the batched passes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs)
+    w, n = {k: v.astype(float) for k, v in model.weights.items()}, language.HIDDEN
+    texts = [r.text for r in docs.where("length(text) < 600").limit(25).collect()] + ["é", "a\0b", "Ein Satz."]
+
+    def run(codes, table, u):
+        h, out = np.zeros(n), []
+        for c in codes:
+            new = np.zeros(n)
+            for k in range(n):
+                z = min(1.0, max(0.0, 0.25 * (table[c, k] + sum(h * u[:, k])) + 0.5))
+                r = min(1.0, max(0.0, 0.25 * (table[c, n + k] + sum(h * u[:, n + k])) + 0.5))
+                new[k] = (1 - z) * np.tanh(table[c, 2 * n + k] + r * sum(h * u[:, 2 * n + k])) + z * h[k]
+            h = new
+            out.append(h)
+        return out
+
+    names, scores = language.predict(texts, model)
+    for text, name, score in zip(texts, names, scores):
+        data, total = text.encode().replace(b"\0", b"\1"), np.zeros(len(model.languages))
+        for at in range(0, len(data), language.WINDOW):
+            codes = list(data[at : at + language.WINDOW])
+            padded = codes + [0] * (language.WINDOW - len(codes))
+            ahead, astern = run(padded, w["xf"], w["uf"]), run(padded[::-1], w["xb"], w["ub"])[::-1]
+            for t in range(len(codes)):
+                p = np.exp(np.concatenate([ahead[t], astern[t]]) @ w["o"] + w["c"])
+                total += p / p.sum()
+        total /= len(data)
+        assert model.languages[total.argmax()] == name and abs(total.max() - score) < 1e-4
+
+
 def components(nodes, links):
     parent = {i: i for i in nodes}
 

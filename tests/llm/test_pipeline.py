@@ -3,10 +3,14 @@
 import os
 import random
 import re
+import zlib
+from collections import Counter
 
+import duckdb
 import pytest
 
 import corpus_pipeline
+from fiatscan.llm import mixing
 from fiatscan.llm.common import stored, table
 
 SF = "/root/testdata/sf0.01"
@@ -48,9 +52,26 @@ def test_stages_keep_what_they_should(spark):
 
     before, after = ({r.doc_id: r.text for r in d.collect()} for d in seen["decontamination"])
     assert set(after) == {i for i, t in before.items() if not leaks(t)}
-    before, after = (d.count() for d in seen["mixing"])
-    assert 0.5 * before < after <= before
-    assert docs.count() == after and {r.shard for r in docs.select("shard").collect()} == set(range(8))
+    before, after = seen["mixing"]
+    con = duckdb.connect()
+    frame = before.select("doc_id", "text", "lang", "source").toPandas()  # noqa: F841
+    con.execute("create view documents as select * from frame")
+    want = con.execute(f"select doc_id from ({mixing.oracle_sql(corpus_pipeline.BUDGET_PERCENT, 1)}) x where taken > 0").fetchall()
+    assert sorted(r[0] for r in want) == sorted(r.doc_id for r in after.collect()) and len(want) < len(frame)
+    shards, before = docs.collect(), {r.doc_id: r for r in seen["sharding"][0].collect()}
+    assert sorted(r.doc_id for r in shards) == sorted(before)
+    assert all(r["size"] == len(before[r.doc_id].text.encode()) + 1 and r.text_crc32 == zlib.crc32(before[r.doc_id].text.encode()) for r in shards)
+    count = Counter(r.shard for r in shards)
+    assert set(count) == set(range(8)) and max(count.values()) - min(count.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in shards) == [(k, n) for k in range(8) for n in range(count[k])]
+    shards.sort(key=lambda r: (r.shard, r.slot))
+    assert all(a.curve <= b.curve for a, b in zip(shards, shards[1:]))
+
+
+def test_quality_stage_keeps_all_without_a_model(spark, tmp_path):
+    docs = table(spark, SF, "documents").limit(50)
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).count() == 50
 
 
 def test_stages_on_awkward_rows(spark):
