@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as
 Parquet and read again before the next. All but the last return the columns of documents, extra ones
-included. Tests compare the stages with brute force: SQL can express neither the classifier nor the
-hashing stages.
+included. SQL can express neither the classifier nor the curve. Tests compare the quality stage with scores of plain Python and with the labels, near duplicates and
+decontamination with all pairs and all windows, mixing with SQL over its input, and sharding with its law.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the compression classifier accepts."""
+    """Rows that the compression classifier accepts; all rows where there are too few labels to fit one."""
     name = free_name(docs, "score")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
+    if not model.fitted:
+        return docs
     return quality.score(docs, model, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
