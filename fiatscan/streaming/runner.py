@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from fiatscan.sources.tables import new_path
 
 
-def read_stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A stored table as a stream, in its own schema."""
+MAX_FILES = 16
+
+
+def read_stored(spark: SparkSession, sf_dir: str, table: str, max_files: int = MAX_FILES) -> DataFrame:
+    """A stored table as a stream, in its own schema, at most so many files a micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{table}.parquet*")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/{table}.parquet*")
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 State is one small row a key (one frame of levels for the gate). Rows of a micro-batch are taken in event
 order; rows that come in a later batch are taken as later, as arrival order is the truth here. A state that
-has been idle for `idle` is dropped by processing time, where one is given.
+has been idle for `idle_ms` is dropped by processing time, where one is given; that is for streams that run on, not for one that ends with its source.
 """
 
 from __future__ import annotations

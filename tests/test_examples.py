@@ -262,6 +262,34 @@ def test_words_of_a_page(spark):
     assert feeds.digit_words(words, ["i"]).first()[1:] == (92.0, 1800.0)
 
 
+def test_streams_over_many_batches(spark, tmp_path):
+    """State is read back from batch to batch: one file a batch must equal the batch form."""
+    import pandas as pd
+
+    from fiatscan.streaming import runner, stateful
+
+    rng = random.Random(12)
+    amounts = [rng.choice([1.5, 2.5, None]) for _ in range(240)]
+    rows = pd.DataFrame({"session_id": [rng.randint(0, 3) for _ in amounts], "seq": range(240), "ts": pd.date_range("2024-01-01", periods=240, freq="s"), "amount": amounts, "currency": ["EUR" if a else None for a in amounts]})
+    rows["instance_id"], rows["fetch_ok"] = rows["session_id"], [rng.random() < 0.6 for _ in amounts]
+    rows["frame_id"], rows["width"], rows["height"] = rows["seq"], 4, 4
+    rows["gray"] = [[rng.randint(0, 255) for _ in range(16)] for _ in amounts]
+    (tmp_path / "t.parquet").mkdir()
+    for k in range(4):
+        rows.iloc[60 * k : 60 * k + 60].to_parquet(tmp_path / f"t.parquet/part-{k}.parquet", coerce_timestamps="us")
+    table = spark.read.parquet(f"{tmp_path}/t.parquet")
+    stream = runner.read_stored(spark, str(tmp_path), "t", max_files=1)
+    pairs = [
+        (stateful.stable_prices(stream), readings.stable(table).select("session_id", "seq", "amount", "currency")),
+        (stateful.cache_replay(stream, 5), rates.replay(table, 5)),
+        (stateful.frame_gate(stream.withColumns({c: F.col(c).cast("int") for c in ("width", "height")}).withColumn("gray", F.col("gray").cast("array<int>"))), frames.quality(table.withColumns({c: F.col(c).cast("int") for c in ("width", "height")}))),
+    ]
+    for streamed, want in pairs:
+        got = runner.drain(streamed, "many")
+        plain = lambda df: sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in df.select(*want.columns).collect())
+        assert plain(got) == plain(want) and plain(want)
+
+
 def test_recogniser_hook(spark):
     from fiatscan.streaming import stateful
 
