@@ -99,4 +99,4 @@ reach as (select doc_id as node, doc_id as root from documents union select b, r
 named as (select node as doc_id, min(root) as component_id from reach group by node)
 select doc_id, coalesce(n, 0) as n_shingles, component_id, component_id = doc_id as kept from named left join n using (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_circulant_minhash": _NEAR_SQL, "op4_line_dedup": _LINES_SQL, "op7_hierarchical_mix": mixing.oracle_sql(), "op8_decontaminate": _WINDOWS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_hilbert_shards": sharding.oracle_sql(), "op3_circulant_minhash": _NEAR_SQL, "op4_line_dedup": _LINES_SQL, "op7_hierarchical_mix": mixing.oracle_sql(), "op8_decontaminate": _WINDOWS_SQL}

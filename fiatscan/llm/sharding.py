@@ -6,10 +6,10 @@ other on the curve are near in every dimension, so each run covers a small box:
 box of each shard, by which a reader prunes files on any of the dimensions. A category's cell follows the order of its values, cut so that
 cells have near equal row counts; so a shard's least and greatest source or language lie close, and a filter on either skips shards.
 
-The order is never sorted as a whole. A cell and a bucket inside it (a hash of the row) have a count;
-counts are summed over the at most `2 ** (dims * bits)` cells and `buckets` buckets of each, and a row's
-rank is its group's offset plus its place in its small group. A cell that holds a third of all rows is
-spread over its buckets.
+The order is never sorted as a whole. Inside a cell rows follow a hash of their own, and the hash is cut into as many
+ranges as keep about `GROUP_ROWS` rows in one, were all rows in one cell. A cell's range has a count; counts are summed over
+cells and ranges, and a row's rank is its group's offset plus its place in its small group. So a cell that holds a third of all rows is
+spread over its ranges, and how many ranges there are changes no row's place.
 
 Nulls: a dimension that is null comes first in its order; a null text has one byte and the
 checksum of no bytes. Repeated rows get different slots. An empty table gives no rows. Very long texts count by their bytes; other columns, whatever
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 BITS = 4
-BUCKETS = 256
+GROUP_ROWS = 8192
+TIE_BITS = 60
 BROADCAST_VALUES = 100_000
 
 
@@ -91,16 +92,23 @@ def with_category_cell(rows: DataFrame, column: str, cell: str, bits: int = BITS
 
 def quantise_size(column: Column, bits: int = BITS) -> Column:
     """A cell by order of magnitude: one for each doubling, the last for all above."""
-    return F.coalesce(F.least(F.floor(F.log2(F.greatest(column, F.lit(1)))), F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
+    return F.coalesce(F.least(F.length(F.bin(F.greatest(column, F.lit(1)))) - 1, F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
 
 
-def hilbert_shards(rows: DataFrame, cells: list[Column], tie: Column, n_shards: int, bits: int = BITS, buckets: int = BUCKETS) -> DataFrame:
+def row_hash(*columns: str) -> Column:
+    """TIE_BITS bits of the md5 of the columns as text, nulls left out, as a long."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *columns).cast("binary")), 1, TIE_BITS // 4), 16, 10).cast("long")
+
+
+def hilbert_shards(rows: DataFrame, cells: list[Column], tie: Column, n_shards: int, bits: int = BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """`rows` with `curve` (place of the row's cell), `shard` (0 to n_shards - 1, row counts at most one apart) and `slot` (gapless from 0).
 
-    `tie` is a hash of the row that spreads a cell over buckets. Rows are stored once, so give only
+    `tie`, a hash of TIE_BITS bits, orders the rows of a cell; equal hashes follow the columns of `rows`. Rows are stored once, so give only
     the columns that the result needs.
     """
-    placed = stored(rows.withColumns({"curve": hilbert_index(cells, bits), "_bucket": F.pmod(tie, F.lit(buckets)).cast("int"), "_tie": tie}), "hilbert")
+    placed = stored(rows.withColumns({"curve": hilbert_index(cells, bits), "_tie": tie}), "hilbert")
+    range_bits = min(TIE_BITS, max(1, (placed.count() // group_rows).bit_length()))
+    placed = placed.withColumn("_bucket", F.shiftright("_tie", TIE_BITS - range_bits))
     counts = placed.groupBy("curve", "_bucket").agg(F.count("*").alias("_n"))
     in_cell = Window.partitionBy("curve").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     inner = counts.withColumn("_before", F.coalesce(F.sum("_n").over(in_cell), F.lit(0)))
@@ -139,7 +147,30 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "source", "lang")
     rows = with_category_cell(with_category_cell(stored(rows, "sized"), "source", "source_cell"), "lang", "lang_cell").withColumn("size_cell", quantise_size(F.col("size")))
-    tie = F.xxhash64("doc_id", "text_crc32", "size")
+    tie = row_hash("doc_id", "text_crc32", "size")
     out = hilbert_shards(rows, [F.col("source_cell"), F.col("lang_cell"), F.col("size_cell")], tie, n_shards)
     columns = ["shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "lang", "source_cell", "lang_cell", "size_cell", "curve"]
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), *columns)
+
+
+def oracle_sql(n_shards: int = 8) -> str:
+    """DuckDB SQL of `shard_documents`: one sort of all rows, checksums byte by byte, and the curve walked down level by level for each cell."""
+    turn = lambda x, n: f"((({x}) << ((({n}) % 3 + 3) % 3)) | (({x}) >> (3 - ((({n}) % 3 + 3) % 3)))) & 7"
+    corner = "((a >> (l - 1)) & 1) | (((b >> (l - 1)) & 1) << 1) | (((c >> (l - 1)) & 1) << 2)"
+    return f"""
+with recursive poly as (select 0 as k, i as b, cast(i as bigint) as v from range(256) t(i) union all select k + 1, b, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from poly where k < 8),
+tab as (select list(v order by b) as t from poly where k = 8),
+bytes as (select doc_id, source, lang, row_number() over () as rid, coalesce(strlen(text), 0) + 1 as size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: cast('0x' || h as bigint)) as body from documents),
+sized as (select doc_id, source, lang, cast(size as bigint) as size, xor(list_reduce(list_prepend(cast(4294967295 as bigint), body), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])), 4294967295) as text_crc32 from bytes, tab),
+part as (select source, cast(16 * coalesce(sum(n) over (order by source nulls first rows between unbounded preceding and 1 preceding), 0) // sum(n) over () as int) as source_cell from (select source, count(*) as n from sized group by source) x),
+tongue as (select lang, cast(16 * coalesce(sum(n) over (order by lang nulls first rows between unbounded preceding and 1 preceding), 0) // sum(n) over () as int) as lang_cell from (select lang, count(*) as n from sized group by lang) x),
+placed as (select s.*, source_cell, lang_cell, cast(least(length(bin(size)) - 1, 15) as int) as size_cell from sized s join part p on s.source is not distinct from p.source join tongue g on s.lang is not distinct from g.lang),
+gray as (select w, xor(w, w >> 1) as corner from range(8) t(w)),
+path as (select w, corner, case when w = 0 then 0 else xor(2 * ((w - 1) // 2), (2 * ((w - 1) // 2)) >> 1) end as entry, [0, 1, 1, 2, 2, 1, 1, 0][w + 1] as direction from gray),
+walk as (select distinct source_cell as a, lang_cell as b, size_cell as c, {BITS} as l, 0::bigint as h, 0::bigint as e, 0::bigint as d from placed
+  union all select a, b, c, l - 1, h * 8 + w, xor(e, {turn("entry", "d + 1")}), (d + direction + 1) % 3 from walk, path where corner = {turn(f"xor({corner}, e)", "2 - d")} and l > 0),
+curves as (select a as source_cell, b as lang_cell, c as size_cell, cast(h as int) as curve from walk where l = 0),
+ranked as (select *, row_number() over (order by curve, substr(md5(concat_ws('|', doc_id, text_crc32, size)), 1, {TIE_BITS // 4}), doc_id nulls first, size, text_crc32, source nulls first, lang nulls first) - 1 as r, count(*) over () as n from placed join curves using (source_cell, lang_cell, size_cell)),
+cut as (select *, r * {n_shards} // n as shard from ranked)
+select doc_id, size, text_crc32, 'rows' as law, cast(shard as int) as shard, cast(r - (shard * n + {n_shards - 1}) // {n_shards} as bigint) as slot, cast(null as int) as grown_shard, source, lang, source_cell, lang_cell, size_cell, curve from cut"""
