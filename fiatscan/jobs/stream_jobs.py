@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiatscan.functions import text_price
 from fiatscan.streaming import runner, stateful
 
 from .core import job
@@ -42,3 +47,27 @@ def stream_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "price_labels", runner.read_stored(spark, sf_dir, "orders"))
     out = stateful.priced(labels, load(spark, sf_dir, "rates")).select("label_id", "asset", "currency", "amount", "asset_amount")
     return runner.drain(out, "prices")
+
+
+SCANNED = "frame_id long, text string, confidence int"
+_SCANNED_SQL = """, scanned as (select frame_id, case when list_sum(gray) >= 128 * len(gray) then '€ ' else 'CHF ' end || cast(list_sum(gray[1:8]) as bigint) || case when gray[9] % 3 = 0 then ' ' else '.' end || lpad(cast(gray[10] % 100 as varchar), 2, '0') as text,
+  cast(list_max(gray) * 100 // 255 as int) as confidence from frames),"""
+
+
+def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A stand-in for a text recogniser, whose readings follow from the levels: a price of the first line, light frames in euros."""
+    for pdf in batches:
+        texts, confidences = [], []
+        for gray in map(np.asarray, pdf["gray"]):
+            sign, gap = "€" if gray.mean() >= 128 else "CHF", " " if gray[8] % 3 == 0 else "."
+            texts.append(f"{sign} {gray[:8].sum()}{gap}{gray[9] % 100:02d}")
+            confidences.append(int(gray.max()) * 100 // 255)
+        yield pd.DataFrame({"frame_id": pdf["frame_id"], "text": texts, "confidence": confidences})
+
+
+@job(with_tables("frames") + _SCANNED_SQL + detect_sql("scanned") + " select frame_id, text, confidence, amount, currency from detected")
+def stream_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames through a recogniser, and the prices in what it reads."""
+    frames = load(spark, sf_dir, "frames", runner.read_stored(spark, sf_dir, "embeddings"))
+    read = stateful.recognised(frames.select("frame_id", "gray"), scan, SCANNED)
+    return runner.drain(text_price.detect(read, "text"), "recognised")
