@@ -6,9 +6,9 @@ other on the curve are near in every dimension, so each run covers a small box:
 box of each shard, by which a reader prunes files on any of the dimensions. A category's cell follows the order of its values, cut so that
 cells have near equal row counts; so a shard's least and greatest source or language lie close, and a filter on either skips shards.
 
-The order is never sorted as a whole. Inside a cell rows follow a hash of their own, and the hash is cut into as many
-ranges as keep about `GROUP_ROWS` rows in one, were all rows in one cell. A cell's range has a count; counts are summed over
-cells and ranges, and a row's rank is its group's offset plus its place in its small group. So a cell that holds a third of all rows is
+The order is never sorted as a whole. The at most `2 ** (dims * bits)` cells are counted. Inside a cell rows follow a hash of
+their own, cut into so many ranges that each has up to about `GROUP_ROWS` rows; these are counted too, and a row's rank is the sum of what comes before its
+cell, before its range and before itself in the range. So a cell that holds a third of all rows is
 spread over its ranges, and how many ranges there are changes no row's place.
 
 Nulls: a dimension that is null comes first in its order; a null text has one byte and the
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 BITS = 4
-GROUP_ROWS = 8192
+GROUP_ROWS = 1024
 TIE_BITS = 60
 BROADCAST_VALUES = 100_000
 
@@ -107,21 +107,17 @@ def hilbert_shards(rows: DataFrame, cells: list[Column], tie: Column, n_shards:
     the columns that the result needs.
     """
     placed = stored(rows.withColumns({"curve": hilbert_index(cells, bits), "_tie": tie}), "hilbert")
-    range_bits = min(TIE_BITS, max(1, (placed.count() // group_rows).bit_length()))
-    placed = placed.withColumn("_bucket", F.shiftright("_tie", TIE_BITS - range_bits))
-    counts = placed.groupBy("curve", "_bucket").agg(F.count("*").alias("_n"))
-    in_cell = Window.partitionBy("curve").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    inner = counts.withColumn("_before", F.coalesce(F.sum("_n").over(in_cell), F.lit(0)))
     order = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per_cell = counts.groupBy("curve").agg(F.sum("_n").alias("_n"))
-    outer = per_cell.select("curve", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_total"))
-    offsets = inner.join(outer, "curve").select("curve", "_bucket", (F.col("_start") + F.col("_before")).alias("_offset"), "_total")
+    per_cell = placed.groupBy("curve").agg(F.count("*").alias("_n"))
+    outer = per_cell.select("curve", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_total"), F.expr(f"length(bin(_n div {group_rows}))").alias("_bits"))
+    placed = placed.join(stored(outer, "curves"), "curve").withColumn("_bucket", F.expr(f"shiftright(_tie, {TIE_BITS} - _bits)"))
+    in_cell = Window.partitionBy("curve").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("curve", "_bucket").agg(F.count("*").alias("_n")).select("curve", "_bucket", F.coalesce(F.sum("_n").over(in_cell), F.lit(0)).alias("_before"))
     place = Window.partitionBy("curve", "_bucket").orderBy("_tie", *[c for c in rows.columns])
     ranked = placed.withColumn("_place", F.row_number().over(place) - 1).join(offsets, ["curve", "_bucket"])
-    rank, total = F.col("_offset") + F.col("_place"), F.col("_total")
     return (
-        ranked.withColumns({"_rank": rank})
+        ranked.withColumn("_rank", F.col("_start") + F.col("_before") + F.col("_place"))
         .withColumn("shard", F.expr(f"_rank * {n_shards} div _total").cast("int"))
         .withColumn("slot", F.expr(f"_rank - (shard * _total + {n_shards - 1}) div {n_shards}").cast("long"))
         .select(*rows.columns, "curve", "shard", "slot")
