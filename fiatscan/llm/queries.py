@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, language, line_dedup, mixing, near_dedup, quality, sharding, token_records
+from . import ann, decontaminate, divergence, html_text, language, lexical, line_dedup, mixing, near_dedup, packing, quality, sharding, token_records
 from .common import table
 
 
@@ -51,6 +52,21 @@ def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_wide_term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_cost")
+
+
+def op13_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +80,9 @@ QUERIES = {
         op8_decontaminate,
         op9_host_paths,
         op10_multi_index_hashing,
+        op11_wide_term_vectors,
+        op12_cost_balanced_packing,
+        op13_block_max_wand,
     )
 }
 
@@ -99,4 +118,4 @@ reach as (select doc_id as node, doc_id as root from documents union select b, r
 named as (select node as doc_id, min(root) as component_id from reach group by node)
 select doc_id, coalesce(n, 0) as n_shingles, component_id, component_id = doc_id as kept from named left join n using (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_hilbert_shards": sharding.oracle_sql(), "op3_circulant_minhash": _NEAR_SQL, "op4_line_dedup": _LINES_SQL, "op7_hierarchical_mix": mixing.oracle_sql(), "op8_decontaminate": _WINDOWS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_hilbert_shards": sharding.oracle_sql(), "op3_circulant_minhash": _NEAR_SQL, "op4_line_dedup": _LINES_SQL, "op7_hierarchical_mix": mixing.oracle_sql(), "op8_decontaminate": _WINDOWS_SQL, "op11_wide_term_vectors": divergence.oracle_sql(), "op13_block_max_wand": lexical.oracle_sql()}
