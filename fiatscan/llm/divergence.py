@@ -17,58 +17,65 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
-from .terms import fold_table, term_runs
+from .hashing import chunks
+from .terms import fold_table, text_runs
 
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
-HELD = 400_000  # entries of a task's partial counts before they are handed on
+PART_BYTES = 4 << 20  # of text counted at once
 LETTERS = fold_table(digits=False)
 
 
-def _partial_counts(held: int):
-    """lang, source, text -> lang, source, term, n (occurrences), docs (documents with it), summed as far as `held` entries go."""
-
-    def table(counts: dict) -> pa.RecordBatch:
-        keys = [(lang, source, term, n, docs[term]) for (lang, source), (terms, docs) in counts.items() for term, n in terms.items()]
-        columns = list(zip(*keys)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()))], ["lang", "source", "term", "n", "docs"])
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
-        for batch in batches:
-            for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                terms, docs = counts.setdefault((lang, source), (Counter(), Counter()))
-                size -= len(terms)
-                own: set[bytes] = set()
-                for run in term_runs(text, LETTERS):
-                    terms.update(run)
-                    own.update(run)
-                docs.update(own)
-                size += len(terms)
-                if size > held:
-                    yield table(counts)
-                    counts, size = {}, 0
-        yield table(counts)
-
-    return made
-
-
-def term_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
+def counted(texts: list[bytes], groups: np.ndarray) -> pa.Table:
+    """Folded texts and the group of each -> group, term, n (occurrences), docs (texts with it)."""
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    flat = words.flatten().dictionary_encode()
+    n_terms = max(1, len(flat.dictionary))
+    code = flat.indices.to_numpy().astype(np.int64)
+    text = pc.list_parent_indices(words).to_numpy()
+    real = code != pc.index(flat.dictionary, pa.scalar("", pa.large_string())).as_py()  # blanks at a text's ends give empty words
+    code, text = code[real], text[real]
+    held, _ = np.unique(text * n_terms + code, return_counts=True)  # with counts, numpy sorts, which is faster than its hashing here
+    all_keys, n = np.unique(groups[text] * n_terms + code, return_counts=True)
+    keys, docs = np.unique(groups[held // n_terms] * n_terms + held % n_terms, return_counts=True)
+    return pa.table({"group": all_keys // n_terms, "term": flat.dictionary.take(pa.array(keys % n_terms)), "n": n, "docs": docs})
+
+
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, text -> lang, source, term, n, docs, summed over a batch's texts. A long text is counted in parts."""
+    for batch in batches:
+        names = [pa.array(batch.column(k)).dictionary_encode() for k in range(2)]
+        codes = [c.indices.to_numpy().astype(np.int64) for c in names]
+        groups = codes[0] * len(names[1].dictionary) + codes[1]
+        texts = [t.translate(LETTERS) for t in batch.column(2).to_pylist()]
+        for part in chunks([len(t) for t in texts], PART_BYTES):
+            if part.stop - part.start == 1 and len(texts[part.start]) > PART_BYTES:
+                several = pa.concat_tables([counted([run], groups[part]) for run in text_runs(texts[part.start], PART_BYTES)])
+                found = several.group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "max")]).rename_columns(["group", "term", "n", "docs"])
+            else:
+                found = counted(texts[part], groups[part])
+            group = found["group"].to_numpy()
+            lang, source = (c.dictionary.take(pa.array(k)) for c, k in zip(names, (group // len(names[1].dictionary), group % len(names[1].dictionary))))
+            columns = [lang, source, found["term"].cast(pa.string()).combine_chunks(), found["n"].combine_chunks(), found["docs"].combine_chunks()]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in columns], ["lang", "source", "term", "n", "docs"])
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
     """documents -> lang, source, term, n, docs."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select(*_group(), text.alias("text"))
-    partial = rows.mapInArrow(_partial_counts(held), "lang string, source string, term binary, n long, docs long")
-    return partial.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    partial = rows.mapInArrow(_partial_counts, "lang string, source string, term string, n long, docs long")
+    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _group() -> list[Column]:
@@ -106,7 +113,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     part 'pair': item is another source of the language, value the summed differences of all kept terms. part 'term': item is one of the
     `top` terms that the source uses most beyond the language. Ranks are by falling value, then item.
     """
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, 4000)
     layout, wide = wide_vectors(docs, min_docs)
     wide = stored(wide, "wide-terms")
     each = wide.select("lang", "p", F.posexplode("p").alias("a", "pa"))

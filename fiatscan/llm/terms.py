@@ -13,12 +13,17 @@ def fold_table(digits: bool) -> bytes:
     return bytes(b if b >= 0x80 or b in keep else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
-def term_runs(text: bytes, table: bytes, chunk: int = CHUNK) -> Iterator[list[bytes]]:
-    """The terms of a text in order, in lists of about `chunk` bytes of text, so that a very long text never is one list."""
-    folded = text.translate(table)
+def text_runs(folded: bytes, chunk: int = CHUNK) -> Iterator[bytes]:
+    """A folded text in parts of about `chunk` bytes, cut at spaces, so that a very long text never is one list of terms."""
     start = 0
     while start < len(folded):
         end = folded.find(b" ", start + chunk)
         end = len(folded) if end < 0 else end
-        yield folded[start:end].split()
+        yield folded[start:end]
         start = end
+
+
+def term_runs(text: bytes, table: bytes, chunk: int = CHUNK) -> Iterator[list[bytes]]:
+    """The terms of a text in order, part by part."""
+    for part in text_runs(text.translate(table), chunk):
+        yield part.split()
