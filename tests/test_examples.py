@@ -2,13 +2,14 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fiatscan.functions import geometry, money, text_price
-from fiatscan.operators import fragments, frames, rates, readings, wallets
+from fiatscan.operators import fragments, frames, grid, rates, readings, spatial, wallets
 from fiatscan.schemas import ASSETS, FIATS
 from fiatscan.sources import feeds
 
@@ -122,12 +123,99 @@ def test_components_equal_a_flood_fill():
         assert (frames.component_labels(mask) == flood(mask)).all()
 
 
+def plain_clusters(boxes):
+    """The rule as it is said: every box is compared with every member of every cluster."""
+    order = sorted(range(len(boxes)), key=lambda k: (boxes[k][0], boxes[k][1]))
+    out = []
+    for k in order:
+        x, y, w, h = boxes[k]
+        near = [m for m in out if any(max(0, boxes[o][0] - (x + w), x - (boxes[o][0] + boxes[o][2])) <= 24 and max(0, boxes[o][1] - (y + h), y - (boxes[o][1] + boxes[o][3])) <= 32 for o in m)]
+        near[0].append(k) if near else out.append([k])
+    return out
+
+
+def clusters_of(boxes):
+    labels = fragments.cluster_labels(np.zeros(len(boxes), int), np.asarray(boxes, float))
+    return [sorted(np.flatnonzero(labels == k).tolist()) for k in range(labels.max() + 1)]
+
+
 def test_greedy_clusters():
-    assert fragments.cluster_indices(np.array([[10, 10, 40, 30], [55, 12, 16, 14]], float)) == [[0, 1]]
-    chain = np.array([[0, 0, 10, 10], [60, 0, 10, 10], [30, 0, 10, 10]], float)
-    assert fragments.cluster_indices(chain) == [[0, 2, 1]]
-    late = np.array([[0, 0, 10, 10], [10, 100, 10, 10], [15, 60, 10, 10]], float)
-    assert fragments.cluster_indices(late) == [[0], [1, 2]]
+    assert clusters_of([[10, 10, 40, 30], [55, 12, 16, 14]]) == [[0, 1]]
+    assert clusters_of([[0, 0, 10, 10], [60, 0, 10, 10], [30, 0, 10, 10]]) == [[0, 1, 2]]
+    assert clusters_of([[0, 0, 10, 10], [10, 100, 10, 10], [15, 60, 10, 10]]) == [[0], [1, 2]]
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40, 150):
+        for spread in (100, 600, 2000):
+            boxes = np.c_[rng.integers(0, spread, (n, 2)), rng.integers(0, 40, (n, 2)) ** rng.integers(1, 3, (n, 1))].astype(float)
+            assert clusters_of(boxes) == [sorted(m) for m in plain_clusters(boxes.tolist())]
+
+
+def test_clusters_of_a_large_variant_take_seconds():
+    rng = np.random.default_rng(4)
+    boxes = np.c_[rng.integers(0, 20000, (50_000, 2)), rng.integers(2, 40, (50_000, 2))].astype(float)
+    began = time.process_time()
+    labels = fragments.cluster_labels(np.zeros(len(boxes), int), boxes)
+    assert time.process_time() - began < 10 and 1 < labels.max() < len(boxes)
+
+
+def plain_offers(page, integer, atomic, cents, digit):
+    n = len(page.x)
+    one = lambda k: np.array([k])
+    near, isolated, first, second = [-1] * n, [False] * n, [-1] * n, [-1] * n
+    for i in range(n):
+        mine = [j for j in range(n) if page.group[j] == page.group[i]]
+        close = [c for c in mine if cents[c] and page.related(one(i), one(c))[0]] if integer[i] else []
+        isolated[i] = bool(close)
+        if integer[i] and not atomic[i]:
+            near[i] = min([(page.x[c], c) for c in close if page.x[c] >= page.x[i] - 8], default=(0, -1))[1]
+            placed = sorted((page.x[d], d) for d in mine if digit[d] and page.above(one(i), one(d))[0])
+            for (_, d), (_, e) in zip(placed, placed[1:]):
+                if page.related(one(i), one(d), 36)[0] and page.related(one(d), one(e))[0]:
+                    first[i], second[i] = d, e
+                    break
+    return near, isolated, first, second
+
+
+def page_of(rng, n, side, groups=1):
+    return spatial.Page(np.sort(rng.integers(0, groups, n)), *(rng.integers(0, side, (2, n)) * 1.0), *(rng.integers(1, 60, (2, n)) * 1.0))
+
+
+@pytest.mark.parametrize("side", [60, 200, 900])
+def test_offers_equal_all_pairs(side):
+    rng = np.random.default_rng(side)
+    for _ in range(12):
+        page = page_of(rng, 60, side, 3)
+        page.x[rng.integers(0, 60)] = np.nan
+        kinds = rng.random((4, 60)) < 0.4
+        integer, atomic, cents, digit = kinds
+        near, isolated, first, second = plain_offers(page, *kinds)
+        got_near, got_isolated = page.cents(integer, integer & ~atomic, cents)
+        got_first, got_second = page.raised(integer & ~atomic, digit)
+        assert got_near.tolist() == near and (integer & got_isolated).tolist() == isolated
+        assert got_first.tolist() == first and got_second.tolist() == second
+
+
+def test_pairs_tried_follow_the_fragments():
+    """Pages of one density: ten times the words, about ten times the pairs."""
+    tried = []
+    for n in (1000, 10_000):
+        rng = np.random.default_rng(7)
+        page = page_of(rng, n, int(60 * n**0.5))
+        integer, cents, digit = rng.random(n) < 0.5, rng.random(n) < 0.3, rng.random(n) < 0.3
+        page.cents(integer, integer, cents)
+        page.raised(integer, digit)
+        tried.append(page.tried)
+    assert tried[1] < 20 * tried[0] and tried[1] < 0.02 * 10_000**2
+
+
+def test_pairs_of_very_different_sizes_meet_once():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        boxes = [grid.Boxes.of(rng.integers(0, 2, n), *(rng.integers(-500, 500, (2, n)) * 1.0), *(2.0 ** rng.integers(0, 11, (2, n)))) for n in (50, 70)]
+        a, b = boxes
+        got = [p for part in grid.near_pairs(a, b, (24.0, 32.0)) for p in zip(*(x.tolist() for x in part))]
+        want = {(i, j) for i in range(50) for j in range(70) if a.group[i] == b.group[j] and a.x0[i] <= b.x1[j] and b.x0[j] <= a.x1[i] and a.y0[i] <= b.y1[j] and b.y0[j] <= a.y1[i]}
+        assert len(got) == len(set(got)) and want <= set(got)
 
 
 def test_frames(spark):
