@@ -118,12 +118,21 @@ from (select *, row_number() over (partition by l_orderkey
     "images": (("part",), "select p_partkey as image_id, cast(p_size * 37 + 200 as int) as width, cast(p_size * 21 + 90 as int) as height from part"),
 }
 
-_DEPENDS = {"priced_events": ("rates",), "rate_ticks": ("rates",), "preferences": ("fiats",)}
+_DEPENDS = {"priced_events": ("rates",), "rate_ticks": ("rates",), "preferences": ("fiats",), "pictures": ("frames",)}
 _FRAMES_SPARK = """select vec_id as frame_id, label as session_id, vec_id as seq, 8 as width, 8 as height,
  transform(embedding, v -> cast(least(255, greatest(0, floor(128 + 512 * cast(v as double) + 0.5e0))) as int)) as gray from embeddings"""
 _FRAMES_DUCK = """select vec_id as frame_id, label as session_id, vec_id as seq, 8 as width, 8 as height,
  list_transform(embedding, lambda v: cast(least(255, greatest(0, floor(128 + 512 * cast(v as double) + 0.5e0))) as int)) as gray from embeddings"""
 SOURCES["frames"] = (("embeddings",), _FRAMES_SPARK)
+# pictures of 64 x 32 pixels: 32 frames in four rows of eight
+_PLACED = "{patches}[(i div 512) * 8 + (i % 64) div 8 {one}][(i div 64 % 8) * 8 + i % 8 {one}]"
+SOURCES["pictures"] = (
+    ("frames",),
+    f"""select image_id, 64 as width, 32 as height, transform(sequence(0, 2047), i -> {_PLACED.format(patches="patches.gray", one="")}) as gray
+from (select frame_id div 32 as image_id, array_sort(collect_list(struct(frame_id, gray))) as patches from frames group by frame_id div 32 having count(*) = 32) p""",
+)
+_PICTURES_DUCK = f"""select image_id, 64 as width, 32 as height, list_transform(range(2048), lambda i: {_PLACED.format(patches="patches", one="+ 1").replace("div", "//")}) as gray
+from (select frame_id // 32 as image_id, list(gray order by frame_id) as patches from frames group by frame_id // 32 having count(*) = 32) p"""
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, streamed: DataFrame | None = None) -> DataFrame:
@@ -140,7 +149,7 @@ def load(spark: SparkSession, sf_dir: str, name: str, streamed: DataFrame | None
 
 def duck(name: str) -> str:
     """The derived table `name` in DuckDB's dialect."""
-    sql = _FRAMES_DUCK if name == "frames" else SOURCES[name][1]
+    sql = {"frames": _FRAMES_DUCK, "pictures": _PICTURES_DUCK}.get(name, SOURCES[name][1])
     return re.sub(r"\bdiv\b", "//", re.sub(r"as string\b", "as varchar", sql))
 
 

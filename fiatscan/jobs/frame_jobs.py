@@ -129,6 +129,42 @@ def focused_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.focused(frames.crops(load(spark, sf_dir, "images")))
 
 
+FOCUS_SIZE = (30, 10)
+_DRAWN = with_tables("pictures") + _VISIBLE.replace("from images", "from pictures") + f""", focus as (select image_id, crop_idx, x, y, width as w, height as h, cast(n as int) as n, {_r('width * a')} as x0, {_r('height * b')} as y0, {_r('width * c')} as bw, {_r('height * d')} as bh
+  from crop, (select unnest([1, 2]) as n, unnest([0.5e0, 0.42e0]) as a, unnest([0.42e0, 0.0e0]) as b, unnest([0.45e0, 0.53e0]) as c, unnest([0.45e0, 1.0e0]) as d) k where width >= {FOCUS_SIZE[0]} and height >= {FOCUS_SIZE[1]}),
+views as (select image_id, crop_idx, 0 as n, x, y, width as w, height as h from crop union all
+  select image_id, crop_idx, n, x + least(w - bw, greatest(0, x0)), y + least(h - bh, greatest(0, y0)), greatest(1, bw), greatest(1, bh) from focus),
+lines as (select *, unnest(range(h)) as j from views), spots as (select image_id, crop_idx, n, x, y, w, h, j, unnest(range(w)) as i from lines),
+px as (select s.image_id, crop_idx, n, w, h, i, j, gray[(s.y + j) * 64 + s.x + i + 1] as v from spots s join pictures p on p.image_id = s.image_id),
+hist as (select image_id, crop_idx, n, v as level, count(*) as m from px group by image_id, crop_idx, n, v),
+sums as (select *, sum(m) over o as wb, sum(level * m) over o as sb, sum(m) over (partition by image_id, crop_idx, n) as total, sum(level * m) over (partition by image_id, crop_idx, n) as s from hist window o as (partition by image_id, crop_idx, n order by level rows between unbounded preceding and current row)),
+apart as (select image_id, crop_idx, n, level, cast(wb as double) * (total - wb) * power(cast(sb as double) / wb - cast(s - sb as double) / (total - wb), 2) as v from sums where wb < total),
+best as (select image_id, crop_idx, n, level, row_number() over (partition by image_id, crop_idx, n order by round(v, 6) desc, level) as rn from apart),
+cuts as (select v.image_id, v.crop_idx, v.n, coalesce(b.level, 128) as auto from views v left join best b on b.image_id = v.image_id and b.crop_idx = v.crop_idx and b.n = v.n and b.rn = 1),
+modes as (select unnest([0, 1, 2, 3, 4]) as mode), dark as (select px.image_id, px.crop_idx, px.n, mode, w, h, i, j, case mode when 0 then v < 128 when 1 then v < 128 when 2 then v < 160 when 3 then v < auto else v >= auto end as is_dark
+  from px join cuts c on c.image_id = px.image_id and c.crop_idx = px.crop_idx and c.n = px.n cross join modes),
+sides as (select image_id, crop_idx, n, mode, count_if(is_dark) as nd, count(*) as total from dark group by image_id, crop_idx, n, mode),
+fore as (select d.image_id, d.crop_idx, d.n * 5 + d.mode as variant_idx, w, h, i, j from dark d join sides s on s.image_id = d.image_id and s.crop_idx = d.crop_idx and s.n = d.n and s.mode = d.mode where is_dark = (nd > 0 and (nd = total or nd <= total - nd))),
+strips as (select image_id, crop_idx, variant_idx, w, h, j, min(i) as low, max(i) as high from (select *, i - row_number() over (partition by image_id, crop_idx, variant_idx, j order by i) as g from fore) x group by image_id, crop_idx, variant_idx, w, h, j, g),
+named as (select *, row_number() over (order by image_id, crop_idx, variant_idx, j, low) as id from strips),
+touching as (select a.id as a, b.id as b from named a join named b on a.image_id = b.image_id and a.crop_idx = b.crop_idx and a.variant_idx = b.variant_idx and b.j = a.j + 1 and a.low <= b.high and b.low <= a.high),
+both_ways as (select a, b from touching union all select b, a from touching),
+reach as (select id, id as root from named union select b, root from reach join both_ways on a = id),
+roots as (select id, min(root) as root from reach group by id),
+reg as (select image_id, crop_idx, variant_idx, w, h, root, min(low) as x, min(j) as y, max(high) - min(low) + 1 as width, max(j) - min(j) + 1 as height, sum((low + high) / 2.0e0 * (high - low + 1)) / sum(high - low + 1) as cx, sum(j * (high - low + 1)) * 1.0e0 / sum(high - low + 1) as cy, sum(high - low + 1) as area
+  from named join roots using (id) group by image_id, crop_idx, variant_idx, w, h, root having 4 * sum(high - low + 1) >= 20)
+select image_id, crop_idx, cast(variant_idx as int) as variant_idx, case cast(variant_idx as int) when 0 then 'grayscale' when 1 then 'threshold:128' when 2 then 'threshold:160' when 3 then 'threshold:auto' when 4 then 'threshold-invert:auto' else 'unknown-' || cast(variant_idx as varchar) end as label,
+  cast(2 * w as int) as variant_width, cast(2 * h as int) as variant_height, cast(row_number() over (partition by image_id, crop_idx, variant_idx order by root) - 1 as int) as region_idx, cast(2 * x as int) as x, cast(2 * y as int) as y, cast(2 * width as int) as width, cast(2 * height as int) as height,
+  round(2 * cx + 0.5e0, 6) as center_x, round(2 * cy + 0.5e0, 6) as center_y, cast(4 * area as int) as area from reg"""
+
+
+@job(_DRAWN)
+def image_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of all variants of all crops of pictures, boxes inside crops included (from 30 x 10 pixels on, as these pictures are small)."""
+    found = frames.picture_regions(load(spark, sf_dir, "pictures"), focus_size=FOCUS_SIZE)
+    return found.withColumns({"center_x": F.round("center_x", 6), "center_y": F.round("center_y", 6)})
+
+
 @job(with_tables("fragments") + """ select image_id, frag_idx, greatest(0, x - 2) as px, greatest(0, y - 2) as py, least(400 - greatest(0, x - 2), width + 4) as pw, least(60 - greatest(0, y - 2), height + 4) as ph from fragments""")
 def padded_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragment boxes with their margin, cut at the edges of a 400 x 60 image."""

@@ -10,17 +10,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from fiatscan.functions.geometry import half_up
 from fiatscan.schemas import MAX_MOTION, MIN_CONTRAST, MIN_REGION_AREA, MIN_SHARPNESS
 
+from .runs import measured, painted, runs_of
+from .tiles import foreground, tiled_regions
+
 ASPECT = 16 / 9
+TILE = 1024
 # The target box of a preview, and the variants that are read.
 BOX_WIDTH, BOX_HEIGHT, OFFSETS = 0.75, 0.35, (0.0, 0.22, 0.44)
 FOCUS_WIDTH, FOCUS_HEIGHT = 300, 100
+DRAWN_SCALE = 2
 FOCUS = ((0.5, 0.42, 0.45, 0.45), (0.42, 0.0, 0.53, 1.0))
 MODES = (("grayscale", None), ("threshold", "128"), ("threshold", "160"), ("threshold", "auto"), ("threshold-invert", "auto"))
 
@@ -74,23 +81,54 @@ def quality(frames: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason(F.col("sharpness"), F.col("contrast"), F.col("motion")))
 
 
+LEVELS = 256
+
+
+def counts_of(gray: np.ndarray) -> np.ndarray:
+    return np.bincount(gray, minlength=LEVELS)[:LEVELS]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        levels = batch.column("gray")
+        frame = pc.list_parent_indices(levels).to_numpy()
+        flat = levels.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.bincount(frame * LEVELS + flat, minlength=batch.num_rows * LEVELS)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * LEVELS, pa.int32()), pa.array(n))
+        yield pa.RecordBatch.from_arrays([batch.column("frame_id"), rows], ["frame_id", "counts"])
+
+
 def histogram(frames: DataFrame) -> DataFrame:
-    """frame_id, level, n of the levels that a frame has."""
-    return frames.select("frame_id", F.explode("gray").alias("level")).groupBy("frame_id", "level").agg(F.count("*").alias("n"))
+    """frame_id, counts: how many pixels of a frame have each of the levels 0 to 255, without a shuffle."""
+    rows = frames.select("frame_id", F.coalesce("gray", F.array().cast("array<int>")).alias("gray"))
+    return rows.mapInArrow(_counted, StructType([rows.schema["frame_id"], StructField("counts", ArrayType(LongType()))]))
+
+
+def otsu_threshold(counts: Column) -> tuple[Column, Column, Column]:
+    """Sum of the counts (to be held as `_whole`), of levels times counts (`_total`), and, in one pass with the sums so far, the first level with the greatest
+    variance between the classes; 128 if no level parts the counts."""
+    whole = F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n)
+    total = F.aggregate(F.transform(counts, lambda n, k: n * k), F.lit(0).cast("long"), lambda s, n: s + n)
+    start = F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("s"), F.lit(-1.0).alias("v"), F.lit(128).alias("at"))
+
+    def step(so_far: Column, here: Column) -> Column:
+        w, s = so_far["w"] + here["n"], so_far["s"] + here["n"] * here["k"]
+        apart = F.try_divide(s, w) - F.try_divide(here["total"] - s, here["whole"] - w)
+        v = F.coalesce(w.cast("double") * (here["whole"] - w) * apart * apart, F.lit(-1.0))
+        better = (here["n"] > 0) & (v > so_far["v"])
+        return F.struct(w.alias("w"), s.alias("s"), F.when(better, v).otherwise(so_far["v"]).alias("v"), F.when(better, here["k"]).otherwise(so_far["at"]).alias("at"))
+
+    rows = F.transform(counts, lambda n, k: F.struct(n.alias("n"), k.alias("k"), F.col("_whole").alias("whole"), F.col("_total").alias("total")))
+    return whole, total, F.aggregate(rows, start, step)["at"]
 
 
 def otsu(levels: DataFrame) -> DataFrame:
-    """frame_id, threshold: the first level with the greatest variance between the classes; 128 if no level parts a frame.
+    """frame_id, threshold: the level that parts each frame's counts best.
 
     A level that the frame lacks parts it as the one below does, so only levels present count.
     """
-    up_to = Window.partitionBy("frame_id").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("frame_id")
-    out = levels.withColumns({"w": F.sum("n").over(up_to), "s": F.sum(F.col("level") * F.col("n")).over(up_to), "total": F.sum("n").over(whole), "sum": F.sum(F.col("level") * F.col("n")).over(whole)})
-    apart = F.col("s") / F.col("w") - (F.col("sum") - F.col("s")) / F.nullif(F.col("total") - F.col("w"), F.lit(0))
-    between = F.col("w").cast("double") * (F.col("total") - F.col("w")) * apart * apart
-    found = out.withColumn("v", F.when(F.col("w") < F.col("total"), between)).groupBy("frame_id").agg(F.max(F.struct("v", (-F.col("level")).alias("l"))).alias("m"))
-    return found.select("frame_id", F.when(F.col("m.v").isNotNull(), -F.col("m.l")).otherwise(128).cast("int").alias("threshold"))
+    whole, total, best = otsu_threshold(F.col("counts"))
+    return levels.withColumns({"_whole": whole, "_total": total}).select("frame_id", best.cast("int").alias("threshold"))
 
 
 def variant_label(index: Column) -> Column:
@@ -117,29 +155,45 @@ def with_gray(pictures: DataFrame) -> DataFrame:
     return pictures.withColumn("gray", gray).drop("red", "green", "blue")
 
 
-def crops(images: DataFrame) -> DataFrame:
-    """images (image_id, width, height) -> image_id, crop_idx, x, y, width, height: the target box at three heights of the part that a preview shows."""
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, which later ones read instead of repeating (Spark merges plain projections into one expression, which here grows past what compiles)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _focus(w: Column, h: Column) -> Column:
+    """The two smaller boxes of a crop of this size."""
+    out = []
+    for k, (fx, fy, fw, fh) in enumerate(FOCUS):
+        bw, bh = half_up(w * fw), half_up(h * fh)
+        out.append(F.struct(F.lit(k).alias("focus_idx"), F.least(w - bw, F.greatest(F.lit(0), half_up(w * fx))).alias("fx"), F.least(h - bh, F.greatest(F.lit(0), half_up(h * fy))).alias("fy"), F.greatest(F.lit(1), bw).alias("fw"), F.greatest(F.lit(1), bh).alias("fh")))
+    return F.array(*out)
+
+
+def with_boxes(images: DataFrame, focus_size: tuple[int, int] = (FOCUS_WIDTH, FOCUS_HEIGHT)) -> DataFrame:
+    """images (width, height, ...) with `boxes`: the target box at three heights of the part that a preview shows, and `focus`: two smaller boxes
+    inside each of them, in its coordinates, if it is at least `focus_size`."""
     w, h = F.col("width"), F.col("height")
     wide = w / h > ASPECT
-    seen_w = F.when(wide, half_up(h * ASPECT)).otherwise(w)
-    seen_h = F.when(wide, h).otherwise(half_up(w / ASPECT))
-    out = images.withColumns({"vw": seen_w, "vh": seen_h}).withColumns({"vx": F.when(wide, half_up((w - F.col("vw")) / 2)).otherwise(0), "vy": F.when(wide, 0).otherwise(half_up((h - F.col("vh")) / 2))})
-    out = out.withColumns({"cw": half_up(F.col("vw") * BOX_WIDTH), "ch": half_up(F.col("vh") * BOX_HEIGHT)})
-    top = F.col("vy") + half_up((F.col("vh") - F.col("ch")) / 2)
-    rects = [F.struct(F.lit(k).alias("crop_idx"), F.greatest(F.col("vy"), F.least(F.col("vy") + F.col("vh") - F.col("ch"), top + half_up(F.col("vh") * o))).alias("y")) for k, o in enumerate(OFFSETS)]
-    out = out.withColumn("r", F.explode(F.array(*rects)))
-    return out.select("image_id", "r.crop_idx", (F.col("vx") + half_up((F.col("vw") - F.col("cw")) / 2)).alias("x"), F.col("r.y").alias("y"), F.col("cw").alias("width"), F.col("ch").alias("height"))
+    out = _held(images, vw=F.when(wide, half_up(h * ASPECT)).otherwise(w), vh=F.when(wide, h).otherwise(half_up(w / ASPECT)))
+    vw, vh = F.col("vw"), F.col("vh")
+    out = _held(out, vx=F.when(wide, half_up((w - vw) / 2)).otherwise(0), vy=F.when(wide, 0).otherwise(half_up((h - vh) / 2)), cw=half_up(vw * BOX_WIDTH), ch=half_up(vh * BOX_HEIGHT))
+    vx, vy, cw, ch = (F.col(c) for c in ("vx", "vy", "cw", "ch"))
+    at = lambda o: F.greatest(vy, F.least(vy + vh - ch, vy + half_up((vh - ch) / 2) + half_up(vh * o)))
+    boxes = F.array(*[F.struct(F.lit(k).alias("crop_idx"), (vx + half_up((vw - cw) / 2)).alias("x"), at(o).alias("y"), cw.alias("width"), ch.alias("height")) for k, o in enumerate(OFFSETS)])
+    focus = F.when((cw >= focus_size[0]) & (ch >= focus_size[1]), _focus(cw, ch))
+    return _held(out, boxes=boxes, focus=focus).drop("vw", "vh", "vx", "vy", "cw", "ch")
+
+
+def crops(images: DataFrame) -> DataFrame:
+    """images (image_id, width, height) -> image_id, crop_idx, x, y, width, height: the three target boxes of an image."""
+    return with_boxes(images.select("image_id", "width", "height")).select("image_id", F.inline("boxes"))
 
 
 def focused(rects: DataFrame) -> DataFrame:
     """Two smaller boxes inside crops of at least 300 x 100, in the crop's coordinates."""
     w, h = F.col("width"), F.col("height")
-    boxes = []
-    for k, (fx, fy, fw, fh) in enumerate(FOCUS):
-        bw, bh = half_up(w * fw), half_up(h * fh)
-        boxes.append(F.struct(F.lit(k).alias("focus_idx"), F.least(w - bw, F.greatest(F.lit(0), half_up(w * fx))).alias("fx"), F.least(h - bh, F.greatest(F.lit(0), half_up(h * fy))).alias("fy"), F.greatest(F.lit(1), bw).alias("fw"), F.greatest(F.lit(1), bh).alias("fh")))
     large = rects.where((w >= FOCUS_WIDTH) & (h >= FOCUS_HEIGHT))
-    return large.select("image_id", "crop_idx", F.explode(F.array(*boxes)).alias("b")).select("image_id", "crop_idx", "b.*")
+    return large.select("image_id", "crop_idx", F.inline(_focus(w, h)))
 
 
 def polarity(frames: DataFrame, threshold: int = 128) -> DataFrame:
@@ -150,74 +204,120 @@ def polarity(frames: DataFrame, threshold: int = 128) -> DataFrame:
 
 
 def component_labels(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of the 4-connected parts of a mask, in raster order of their first pixels; 0 outside.
+    """Labels from 1 of the 4-connected parts of a mask, in raster order of their first pixels; 0 outside."""
+    return painted(runs_of(mask), mask.shape)
 
-    Runs of each row are joined to the runs that they touch in the row above.
-    """
-    height, width = mask.shape
-    labels = np.zeros(mask.shape, np.int64)
-    parent: list[int] = [0]
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for y in range(height):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask[y].astype(np.int8), [0]])))
-        for low, high in zip(edges[::2], edges[1::2]):
-            touched = sorted({root(int(k)) for k in labels[y - 1, low:high] if k} if y else ())
-            if not touched:
-                touched = [len(parent)]
-                parent.append(touched[0])
-            for k in touched[1:]:
-                parent[k] = touched[0]
-            labels[y, low:high] = touched[0]
-    roots = np.array([root(k) for k in range(len(parent))])
-    flat = roots[labels]
-    _, first = np.unique(flat, return_index=True)
-    order = {int(flat.flat[i]): None for i in sorted(first)}
-    order.pop(0, None)
-    renumber = np.zeros(len(parent), np.int64)
-    for n, k in enumerate(order, 1):
-        renumber[k] = n
-    return renumber[flat]
-
-
-def _regions(least: int, threshold: int):
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f, *r) for f, w, h, g in zip(pdf["frame_id"], pdf["width"], pdf["height"], pdf["gray"]) for r in frame_regions(np.asarray(g), w, h, least, threshold)]
-            yield pd.DataFrame(rows, columns=["frame_id", "region_idx", "x", "y", "width", "height", "center_x", "center_y", "area"])
-
-    return found
-
-
-def frame_regions(gray: np.ndarray, width: int, height: int, least: int, threshold: int) -> list[tuple]:
-    if len(gray) != width * height or not len(gray):
-        return []
-    dark = gray < threshold
-    n = int(dark.sum())
-    fore = dark if n and (n == len(gray) or n <= len(gray) - n) else ~dark
-    labels = component_labels(fore.reshape(height, width))
-    ys, xs = np.nonzero(labels)
-    of = labels[ys, xs]
-    out = []
-    for k in range(1, int(labels.max()) + 1):
-        x, y = xs[of == k], ys[of == k]
-        if len(x) >= least:
-            out.append((len(out), int(x.min()), int(y.min()), int(np.ptp(x) + 1), int(np.ptp(y) + 1), float(x.mean()), float(y.mean()), len(x)))
-    return out
+
+def mask_regions(mask: np.ndarray, least: int, scale: int = 1) -> dict[str, np.ndarray]:
+    """Regions of a mask whose pixels are drawn `scale` times as wide and high, of at least `least` drawn pixels, in raster order."""
+    m = measured(runs_of(mask))
+    kept = m["area"] * scale * scale >= least
+    m = {k: v[kept] for k, v in m.items()}
+    centre = lambda total: scale * total / m["area"] + (scale - 1) / 2
+    return {
+        "region_idx": np.arange(len(m["area"])), "x": m["min_x"] * scale, "y": m["min_y"] * scale, "width": (m["max_x"] - m["min_x"] + 1) * scale, "height": (m["max_y"] - m["min_y"] + 1) * scale,
+        "center_x": centre(m["sum_x"]), "center_y": centre(m["sum_y"]), "area": m["area"] * scale * scale,
+    }
 
 
-def regions(frames: DataFrame, least: int = MIN_REGION_AREA, threshold: int = 128) -> DataFrame:
+_REGION = "region_idx int, x int, y int, width int, height int, center_x double, center_y double, area int"
+_TYPES = {"center_x": pa.float64(), "center_y": pa.float64()}
+
+
+def _batch(given: dict[str, object], found: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Regions with what holds for all of them."""
+    n = len(found["area"])
+    fixed = {k: pa.array([v] * n, pa.string() if isinstance(v, str) else pa.int64() if k.endswith("_id") else pa.int32()) for k, v in given.items()}
+    return pa.RecordBatch.from_arrays([*fixed.values(), *(pa.array(v).cast(_TYPES.get(k, pa.int32())) for k, v in found.items())], [*fixed, *found])
+
+
+def _whole_regions(least: int, threshold: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                frame, width, height = (batch.column(c)[k].as_py() for c in ("frame_id", "width", "height"))
+                gray = batch.column("gray")[k].values
+                if gray is not None and len(gray) == width * height and len(gray):
+                    mask = foreground(gray.to_numpy(zero_copy_only=False), threshold).reshape(height, width)
+                    out.append(_batch({"frame_id": frame}, mask_regions(mask, least)))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return made
+
+
+def regions(frames: DataFrame, least: int = MIN_REGION_AREA, threshold: int = 128, tile: int = TILE) -> DataFrame:
     """Connected regions of each frame's foreground, at least `least` pixels, in raster order.
 
-    Parts are joined along rows and columns only; a region does not wrap from one row's end to the next row's start.
+    Parts are joined along rows and columns only; a region does not wrap from one row's end to the next row's start. Frames of more than tile x tile
+    pixels are cut into tiles, which tasks label apart.
+    """
+    size = F.col("width").cast("long") * F.col("height")
+    rows = frames.select("frame_id", "width", "height", "gray").where(F.col("gray").isNotNull())
+    small = rows.where(size <= tile * tile).mapInArrow(_whole_regions(least, threshold), f"frame_id long, {_REGION}")
+    large = rows.where(size > tile * tile)
+    if not large.limit(1).count():
+        return small
+    return small.unionByName(tiled_regions(large, least, threshold, tile))
+
+
+def _best_level(counts: np.ndarray) -> int:
+    """As `otsu`, in numpy, for pixels that never become rows."""
+    w, s = np.cumsum(counts), np.cumsum(counts * np.arange(LEVELS))
+    inner = (counts > 0) & (w < w[-1])
+    if not inner.any():
+        return 128
+    wi, si = w[inner], s[inner]
+    apart = si / wi - (s[-1] - si) / (w[-1] - wi)
+    return int(np.flatnonzero(inner)[np.argmax(wi.astype(float) * (w[-1] - wi) * apart * apart)])
+
+
+def dark_masks(gray: np.ndarray) -> list[np.ndarray]:
+    """For each of MODES, the pixels of a picture that are dark (below 128) after it."""
+    auto = _best_level(counts_of(gray.ravel()))
+    at = {None: 128, "128": 128, "160": 160, "auto": auto}
+    return [gray >= at[t] if m == "threshold-invert" else gray < at[t] for m, t in MODES]
+
+
+def _picture_regions(least: int, scale: int):
+    def variants_of(gray: np.ndarray, box: dict, focus: list[dict] | None) -> Iterator[np.ndarray]:
+        """The crop, then its smaller boxes: views of the picture's pixels."""
+        crop = gray[box["y"] : box["y"] + box["height"], box["x"] : box["x"] + box["width"]]
+        yield crop
+        for f in focus or ():
+            yield crop[f["fy"] : f["fy"] + f["fh"], f["fx"] : f["fx"] + f["fw"]]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                image, width, height, boxes, focus = (batch.column(c)[k].as_py() for c in ("image_id", "width", "height", "boxes", "focus"))
+                gray = batch.column("gray")[k].values.to_numpy(zero_copy_only=False)
+                if len(gray) != width * height:
+                    continue
+                gray, out = gray.reshape(height, width), []
+                for box in boxes:
+                    views = (v for v in variants_of(gray, box, focus) if v.size)
+                    for number, (view, dark) in enumerate((view, dark) for view in views for dark in dark_masks(view)):
+                        n = int(np.count_nonzero(dark))
+                        mask = dark if n and (n == dark.size or n <= dark.size - n) else ~dark
+                        given = {"image_id": image, "crop_idx": box["crop_idx"], "variant_idx": number, "variant_width": view.shape[1] * scale, "variant_height": view.shape[0] * scale}
+                        out.append(_batch(given, mask_regions(mask, least, scale)))
+                if out:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return made
+
+
+def picture_regions(pictures: DataFrame, least: int = MIN_REGION_AREA, scale: int = DRAWN_SCALE, focus_size: tuple[int, int] = (FOCUS_WIDTH, FOCUS_HEIGHT)) -> DataFrame:
+    """pictures (image_id, width, height, gray) -> the regions of every variant of every crop, in one pass over the pixels.
+
+    A picture has three crops, a large crop two smaller boxes, each of these five modes: 5 or 15 variants a crop, drawn `scale` times as large. None of them is stored or
+    leaves the task; what leaves are regions, in the variant's coordinates, with the variant's own size.
     """
-    schema = "frame_id long, region_idx int, x int, y int, width int, height int, center_x double, center_y double, area int"
-    return frames.select("frame_id", "width", "height", "gray").mapInPandas(_regions(least, threshold), schema)
+    rows = with_boxes(pictures.select("image_id", "width", "height", "gray").where(F.col("gray").isNotNull()), focus_size)
+    found = rows.mapInArrow(_picture_regions(least, scale), f"image_id long, crop_idx int, variant_idx int, variant_width int, variant_height int, {_REGION}")
+    return found.withColumn("label", variant_label(F.col("variant_idx")))
 
 
 def not_whole(found: DataFrame, image_area: Column) -> DataFrame:

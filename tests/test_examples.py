@@ -123,6 +123,103 @@ def test_components_equal_a_flood_fill():
         assert (frames.component_labels(mask) == flood(mask)).all()
 
 
+def plain_regions(gray, least, threshold=128):
+    dark = gray < threshold
+    n = int(dark.sum())
+    labels = flood(dark if n and (n == gray.size or n <= gray.size - n) else ~dark)
+    out = []
+    for k in range(1, labels.max() + 1):
+        y, x = np.nonzero(labels == k)
+        if len(x) >= least:
+            out.append((int(x.min()), int(y.min()), int(np.ptp(x)) + 1, int(np.ptp(y)) + 1, round(float(x.mean()), 6), round(float(y.mean()), 6), len(x)))
+    return out
+
+
+def region_rows(found, *more):
+    return [(*(r[c] for c in more), r.region_idx, r.x, r.y, r.width, r.height, round(r.center_x, 6), round(r.center_y, 6), r.area) for r in found]
+
+
+def spiral(side):
+    """One winding path that crosses every seam of any tiles many times."""
+    out = np.full((side, side), 255)
+    low, high, at = 0, side - 1, 0
+    while low <= high:
+        out[low, max(0, low - 2) : high + 1] = out[low : high + 1, high] = out[high, low : high + 1] = at
+        out[low + 2 : high + 1, low] = at
+        low, high = low + 2, high - 2
+    return out
+
+
+@pytest.mark.parametrize("tile", [1000, 24, 7])
+def test_regions_of_tiles_equal_a_flood_fill(spark, tile):
+    rng = np.random.default_rng(12)
+    frames_of = [(k, (rng.random((rng.integers(1, 50), rng.integers(1, 50))) < rng.uniform(0.3, 0.7)) * 255) for k in range(8)]
+    frames_of += [(100, spiral(49)), (101, np.zeros((30, 30))), (102, np.full((30, 31), 255)), (103, (np.indices((40, 40)).sum(0) % 2) * 255)]
+    rows = [(k, m.shape[1], m.shape[0], m.astype(int).ravel().tolist()) for k, m in frames_of] + [(200, 9, 9, [0] * 80), (201, 0, 0, []), (202, 5, 5, None)]
+    table = spark.createDataFrame(rows, "frame_id long, width int, height int, gray array<int>").repartition(3)
+    got = region_rows(frames.regions(table, 3, tile=tile).collect(), "frame_id")
+    want = [(k, n, *r) for k, m in frames_of for n, r in enumerate(plain_regions(m, 3))]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_frame_in_one_four_and_sixteen_tiles(spark):
+    rng = np.random.default_rng(13)
+    side = 2000
+    noise = (rng.random((side, side)) < 0.45) * 255
+    noise[::200] = 255
+    noise[700:1300, 700:1300] = spiral(600)
+    table = spark.createDataFrame([(1, side, side, noise.astype(np.int32).ravel().tolist())], "frame_id long, width int, height int, gray array<int>").cache()
+    found = [sorted(region_rows(frames.regions(table, 20, tile=tile).collect(), "frame_id")) for tile in (2000, 1000, 500)]
+    assert len(found[0]) > 100 and found[0] == found[1] == found[2]
+
+
+def test_histograms_need_no_shuffle(spark):
+    table = spark.createDataFrame([(1, [0, 0, 255, 7]), (2, []), (3, None)], "frame_id long, gray array<int>")
+    got = {r.frame_id: r.counts for r in frames.histogram(table).collect()}
+    assert got[1][0] == 2 and got[1][7] == got[1][255] == 1 and len(got[1]) == 256 and sum(got[2]) == sum(got[3]) == 0
+    out = frames.otsu(frames.histogram(table))
+    assert {r.frame_id: r.threshold for r in out.collect()} == {1: 7, 2: 128, 3: 128}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_thresholds_in_columns_and_in_numpy_agree(spark):
+    rng = np.random.default_rng(14)
+    rows = [(k, rng.integers(0, rng.integers(1, 257), rng.integers(1, 400)).tolist()) for k in range(60)]
+    got = {r.frame_id: r.threshold for r in frames.otsu(frames.histogram(spark.createDataFrame(rows, "frame_id long, gray array<int>"))).collect()}
+    for k, gray in rows:
+        assert got[k] == frames._best_level(frames.counts_of(np.array(gray)))
+
+
+def test_pictures_give_the_regions_of_all_variants(spark):
+    """A crop of 300 x 100 and more has 15 variants, a smaller one five; each equals its own pixels cut out, changed, drawn twice as large and flooded."""
+    rng = np.random.default_rng(15)
+    large = np.repeat(np.repeat(rng.integers(0, 256, (36, 64)), 8, 0), 8, 1)
+    small = rng.integers(0, 256, (40, 60))
+    rows = [(1, 512, 288, large.ravel().tolist()), (2, 60, 40, small.ravel().tolist()), (3, 10, 10, [1]), (4, 10, 10, None)]
+    table = spark.createDataFrame(rows, "image_id long, width int, height int, gray array<int>")
+    got = frames.picture_regions(table, 40).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.image_id, r.crop_idx, r.variant_idx), []).append(r)
+    crops = {(r.image_id, r.crop_idx): r for r in frames.crops(table.where("image_id < 3")).collect()}
+    focus = {(r.image_id, r.crop_idx, r.focus_idx): r for r in frames.focused(frames.crops(table.where("image_id < 3"))).collect()}
+    assert {k[:2] for k in focus} == {(1, 0), (1, 1), (1, 2)} and {k[2] for k in by if k[0] == 1} == set(range(15)) and {k[2] for k in by if k[0] == 2} == set(range(5))
+    for image, pixels in ((1, large), (2, small)):
+        for crop in (0, 2) if image == 2 else (1,):
+            c = crops[image, crop]
+            views = [pixels[c.y : c.y + c.height, c.x : c.x + c.width]]
+            views += [views[0][f.fy : f.fy + f.fh, f.fx : f.fx + f.fw] for f in (focus[image, crop, n] for n in (0, 1))] if image == 1 else []
+            for n, view in enumerate(views):
+                auto = frames._best_level(frames.counts_of(view.ravel()))
+                for mode, changed in enumerate((view, *(np.where(view >= t, 255, 0) for t in (128, 160, auto)), np.where(view >= auto, 0, 255))):
+                    if n == 0 or mode in (0, 4):
+                        drawn = np.repeat(np.repeat(changed, 2, 0), 2, 1)
+                        own = by.get((image, crop, 5 * n + mode), [])
+                        assert all((r.variant_width, r.variant_height) == drawn.shape[::-1] for r in own)
+                        assert sorted(region_rows(own)) == sorted((k, *r) for k, r in enumerate(plain_regions(drawn, 40)))
+
+
 def plain_clusters(boxes):
     """The rule as it is said: every box is compared with every member of every cluster."""
     order = sorted(range(len(boxes)), key=lambda k: (boxes[k][0], boxes[k][1]))
