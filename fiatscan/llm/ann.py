@@ -8,7 +8,8 @@ value to the vectors that have it. A substring has so many bits that a value has
 A query probes every index within one bit of its own value. Two codes within Hamming radius
 `2 * substrings - 1` differ by at most one bit in some substring, so by the pigeonhole principle these probes find every code in that
 radius. Where neighbours lie farther, as in data without clusters, each index is probed on, at the values that flip the
-bits of least margin. How many substrings and values are used is learned on the sample: those of least work that find a share `COVERAGE` of its neighbours. Index and probes are
+bits of least margin. How many substrings (at least `LEAST_SUBSTRINGS`) and values are used is learned on the sample: those that find a share `COVERAGE` of its neighbours and meet the fewest rows
+of the indices, as counted on the sample. Index and probes are
 joined on (substring, value) and by nothing else; pairs beyond a Hamming radius of the whole codes, learned likewise, are dropped in that
 join, and what is left is ranked by the inner product in double precision.
 
@@ -45,7 +46,8 @@ FLIP_ROWS = 1024
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
 ROUNDS = 25
-COVERAGE = 0.98
+COVERAGE = 0.985
+LEAST_SUBSTRINGS = 4
 BLOCK = 8192
 SALTS = 64
 TOP = 20
@@ -166,15 +168,32 @@ def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: i
     apart = np.bitwise_count(words(asking)[:, None, :] ^ words(held)[best]).sum(2)
     coder.radius = int(np.quantile(apart, coverage, method="higher"))
     most, ways = len(flips(width)), []
-    for k, first in enumerate(first_probes(asking, held, best, coder)):
+    first_of = first_probes(asking, held, best, coder)
+    rows = rows_met(asking, held, coder)
+    for k, first in enumerate(first_of):
         need = int(np.quantile(first, coverage, method="higher"))
-        if need < most or k == coder.substrings - 1:
+        if k + 1 >= min(LEAST_SUBSTRINGS, coder.substrings) and (need < most or k == coder.substrings - 1):
             need = min(max(width, need) + 1, most)
-            ways.append(((k + 1) * (need + 1), k + 1, need))
+            ways.append((rows[: k + 1, need - 1].sum(), k + 1, need))
     _, coder.substrings, coder.probes = min(ways)
     return coder
 
 
+def rows_met(asking: np.ndarray, held: np.ndarray, coder: Coder) -> np.ndarray:
+    """Per substring and number of probes, the mean number of held vectors that a query's probes of that index meet, and one for each probe's own row."""
+    patterns = flips(coder.width)
+    masks = patterns @ (1 << np.arange(coder.width))
+    own, theirs = values(asking, coder), values(held, coder)
+    out = np.empty((coder.substrings, len(patterns)))
+    for k in range(coder.substrings):
+        order = flip_order(asking[:, k * coder.width : (k + 1) * coder.width], len(patterns), patterns)
+        seen = np.sort(theirs[:, k])
+        looked = own[:, k, None] ^ masks[order]
+        n = np.searchsorted(seen, looked, "right") - np.searchsorted(seen, looked, "left")
+        out[k] = (n + 1).cumsum(axis=1).mean(axis=0)
+    return out
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (array<double>) of the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")

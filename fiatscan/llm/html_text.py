@@ -13,7 +13,8 @@ A host's `LISTED` strongest paths travel with its pages; a page that has none of
 paths with all votes of the host, so no path of a host is left out.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are dropped. Elements that mean these are
-(a header within an article, with its title, is not). A word of class, id or role that may mean them, unless it is negated (has-, no-), lowers the
+(a header, aside or menu within an article is not, nor a form or dialog with more than half of the page's text outside links, as some servers put one round the whole
+page; a button goes without cutting the sentence round it). A page with no text but that of noscript elements keeps that. A word of class, id or role that may mean them, unless it is negated (has-, no-), lowers the
 score of what it marks and keeps it from being climbed to. Inside the winning container it drops only what is named by such words alone, or, of boxes,
 by such words and those of boxes (`share-buttons`, not `related-work`). Words never drop an element that
 holds the page's largest article, or else most of its text outside links; words of comments and adverts need a
@@ -27,10 +28,13 @@ integers and ties go to the first path by name, so results do not depend on orde
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,10 +49,12 @@ VOTES = 1_000_000
 BROADCAST_ROWS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea title select canvas".split())
+RAW = frozenset("script style noscript template svg iframe textarea title select canvas button".split())
 UNTIL_CLOSED = frozenset("script style textarea".split())
-DROPPED = frozenset("head nav header footer aside form button menu dialog".split())
-BLOCKS = frozenset("html head body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot caption tr td th section article main figure figcaption address details summary nav header footer aside form fieldset menu dialog center hgroup button".split())
+DROPPED = frozenset("head nav header footer aside menu".split())
+IN_ARTICLE = frozenset("header aside menu".split())  # parts of an article inside one
+UNLESS_MOST = frozenset("form dialog".split())  # dropped, unless they hold most of the page's text
+BLOCKS = frozenset("html head body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot caption tr td th section article main figure figcaption address details summary nav header footer aside form fieldset menu dialog center hgroup".split())
 CONTAINERS = frozenset("body div section article main td blockquote center fieldset".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head", "p"}}
 INLINE_SAFE = BLOCKS - frozenset("li dt dd tr td th tbody thead tfoot caption summary figcaption html head body".split())
@@ -64,6 +70,7 @@ LEAST_ARTICLE = 0.25
 BESIDE_PREFIXES = ("comment", "advert", "promo", "sponsor")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)|[^<]+|<", re.S)
+PATH_CHARS = 400
 _CLASS = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SAME = {tag: re.compile(rf"<(/?){tag}(?![a-z0-9:-])", re.I) for tag in RAW}
@@ -107,6 +114,7 @@ def _named_only(words: list[str], noisy: list[bool], tag: str) -> bool:
     return all(n or w in BOXES or (k < first and w in OF_PAGE) for k, (w, n) in enumerate(zip(words, noisy)))
 
 
+@lru_cache(4096)
 def _marks(attributes: str, tag: str) -> tuple[str, bool, bool, bool, bool]:
     """Generalised classes, and whether the attributes speak of something hidden, beside the article, of nothing else, and of comments or adverts.
 
@@ -132,9 +140,23 @@ def _marks(attributes: str, tag: str) -> tuple[str, bool, bool, bool, bool]:
     return "".join("." + c for c in classes if c), noise, word, only, beside
 
 
-def read(source: str) -> Page:
-    """Block elements and text blocks of a page, cut-off and badly nested ones included."""
+def _step(above: str, tag: str, classes: str) -> str:
+    """An element's path below another's. Long ones go on from a digest, so that a path's length does not grow with the depth, nor a page with its square."""
+    if len(above) > PATH_CHARS:
+        above = "#" + hashlib.blake2b(above.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return f"{above}/{tag}{classes}"
+
+
+def read(source: str, raw: frozenset = RAW) -> Page:
+    """Block elements and text blocks of a page, cut-off and badly nested ones included. raw: elements without text."""
     page, stack, text, linked, link = Page(), [-1], [], 0, False
+    opened: Counter = Counter()  # tags on the stack
+
+    def leave(at: int) -> None:
+        for i in stack[at:]:
+            opened[page.elements[i].tag] -= 1
+        del stack[at:]
+
     skip: str | None = None
     closed = True  # whether what is skipped has an end tag
 
@@ -163,7 +185,7 @@ def read(source: str) -> Page:
                 skip = None if closing and tag == skip else skip
                 continue
             skip = None
-        if tag in RAW:
+        if tag in raw:
             skip = None if closing or found[3].rstrip().endswith("/") else tag
             if skip:
                 same = None if tag in UNTIL_CLOSED else _SAME[tag].search(source, found.end())
@@ -178,27 +200,52 @@ def read(source: str) -> Page:
             flush()
             link = False
             if closing:
-                at = next((k for k in range(len(stack) - 1, 0, -1) if page.elements[stack[k]].tag == tag), 0)
-                if at:
-                    del stack[at:]
+                if opened[tag]:
+                    leave(next(k for k in range(len(stack) - 1, 0, -1) if page.elements[stack[k]].tag == tag))
                 continue
             if tag in INLINE_SAFE and stack[-1] >= 0 and page.elements[stack[-1]].tag == "p":
-                stack.pop()
+                leave(len(stack) - 1)
             while stack[-1] >= 0 and page.elements[stack[-1]].tag in CLOSED_BY.get(tag, ()):
-                stack.pop()
+                leave(len(stack) - 1)
             above = page.elements[stack[-1]] if stack[-1] >= 0 else None
             classes, noise, word, only, beside = _marks(found[3], tag) if found[3] else ("", False, False, False, False)
             free = tag in HOLDS
             classes = "" if tag in ("html", "body") else classes  # those speak of the page, not of the host
-            dropped = tag in DROPPED and not (tag == "header" and any(page.elements[i].tag == "article" for i in stack[1:]))
+            dropped = tag in DROPPED and not (tag in IN_ARTICLE and opened["article"])
             hidden = not free and noise or bool(above and above.noise)
-            page.elements.append(Element(tag, f"{above.path if above else ''}/{tag}{classes}", stack[-1], dropped or bool(above and above.dropped), hidden, word and not free, only, beside, hidden))
+            page.elements.append(Element(tag, _step(above.path if above else "", tag, classes), stack[-1], dropped or bool(above and above.dropped), hidden, word and not free, only, beside, hidden))
             stack.append(len(page.elements) - 1)
+            opened[tag] += 1
     flush()
+    _drop_forms(page)
     _drop_by_words(page)
     return page
 
 
+def parsed(source: str) -> Page:
+    """The page; that of its noscript elements too if it has no other text."""
+    page = read(source)
+    return page if _kept(page) or "<noscript" not in source.lower() else read(source, RAW - {"noscript"})
+
+
+def _drop_forms(page: Page) -> None:
+    """Marks forms and dialogs, and all within, unless one holds more than half of the text outside links that stands in no dropped element."""
+    elements = page.elements
+    if not any(e.tag in UNLESS_MOST for e in elements):
+        return
+    worth, total = [0] * len(elements), 0
+    for text, linked, at in page.blocks:
+        if at < 0 or not elements[at].dropped:
+            total += len(text) - linked
+            if at >= 0:
+                worth[at] += len(text) - linked
+    for i in range(len(elements) - 1, -1, -1):
+        if elements[i].parent >= 0:
+            worth[elements[i].parent] += worth[i]
+    for i, e in enumerate(elements):
+        e.dropped |= e.tag in UNLESS_MOST and 2 * worth[i] <= total or e.parent >= 0 and elements[e.parent].dropped
+
+
 def _drop_by_words(page: Page) -> None:
     """Marks what words of noise drop, and all within. Not dropped is what holds the article, or most of the text."""
     elements = page.elements
@@ -237,58 +284,81 @@ def _kept(page: Page) -> list[tuple[str, int, int]]:
 
 
 def container_scores(page: Page) -> dict[str, float]:
-    """Score of each path that holds text in the page."""
-    scores: dict[str, float] = {}
+    """Score of each path that holds text in the page: what its containers hold, passed up from the innermost ones."""
+    held = [0.0] * len(page.elements)
     for text, linked, at in _kept(page):
-        worth, passed = max(0.0, len(text) - 2.0 * linked), 1.0
-        if at >= 0 and page.elements[at].noise:
-            worth *= FAINT
-        while at >= 0 and worth:
-            element = page.elements[at]
-            if element.tag in CONTAINERS:
-                bonus = 1.25 if element.tag in ("article", "main") else 1.0
-                scores[element.path] = scores.get(element.path, 0.0) + worth * passed * bonus
-                passed *= HELD_UP
-            at = element.parent
+        if at >= 0:
+            held[at] += max(0.0, len(text) - 2.0 * linked) * (FAINT if page.elements[at].noise else 1.0)
+    scores: dict[str, float] = {}
+    for i in range(len(held) - 1, -1, -1):
+        element, worth = page.elements[i], held[i]
+        if worth and element.tag in CONTAINERS:
+            scores[element.path] = scores.get(element.path, 0.0) + worth * (1.25 if element.tag in ("article", "main") else 1.0)
+            worth *= HELD_UP
+        if element.parent >= 0:
+            held[element.parent] += worth
     return scores
 
 
 def votes(source: str | None) -> dict[str, int]:
-    scores = container_scores(read(source)) if source else {}
+    scores = container_scores(parsed(source)) if source else {}
     total = sum(scores.values())
     return {path: int(VOTES * s / total) for path, s in scores.items()} if total else {}
 
 
 def _climb(page: Page, blocks: list[tuple[str, int, int]], taken: set[int]) -> set[int]:
-    """The elements, and those of the parents that hold further parts of the same article."""
+    """The elements, and those of the parents that hold further parts of the same article. `taken`: whole subtrees. A step looks only at what it adds and what
+    steps before it left out."""
     elements = page.elements
-    blocks = [b for b in blocks if b[2] in taken or not elements[b[2]].noise]
+    held: dict[int, list[int]] = {}  # element -> characters, those in links
+    for text, linked, at in blocks:
+        if at in taken or at >= 0 and not elements[at].noise:
+            sums = held.setdefault(at, [0, 0])
+            sums[0] += len(text)
+            sums[1] += linked
+    end = list(range(len(elements)))
+    for i in range(len(elements) - 1, -1, -1):
+        if elements[i].parent >= 0:
+            end[elements[i].parent] = max(end[elements[i].parent], end[i])
+    direct_tag = lambda i: elements[i].tag not in CONTAINERS or elements[i].tag in ("section", "blockquote")
+    got = sum(held[i][0] - held[i][1] for i in held if i in taken)
+    roots = {i for i in taken if elements[i].parent not in taken}
+    first = min(roots)
+    left: list[tuple[int, bool]] = []  # what is under the root and was not taken, and whether no container lies between
     while True:
-        first = min(taken)
-        tops = {elements[i].parent for i in taken} - taken
+        tops = {elements[i].parent for i in roots}
         if len(tops) != 1 or (top := tops.pop()) < 0:
             return taken
         within = elements[top].tag == "body"
-        under, direct, before = {top}, {top}, {top}  # direct: no container lies between but sections; before: nor boxes before what is taken
-        for i in range(top + 1, len(elements)):
+        under, before = {top: True}, {top}  # under: whether no container lies between but sections; before: nor boxes before what is taken
+        if left:
+            (root,) = roots
+            under.update((i, d and direct_tag(root)) for i, d in left if not elements[root].noise)
+        i = top + 1
+        while i <= end[top]:
+            if i in roots:
+                i = end[i] + 1
+                continue
             e = elements[i]
-            if e.parent in under and not e.noise:
-                under.add(i)
-                if e.parent in direct and (e.tag not in CONTAINERS or e.tag in ("section", "blockquote")):
-                    direct.add(i)
+            if not e.noise and e.parent in under and e.parent not in taken:
+                under[i] = under[e.parent] and direct_tag(i)
                 if e.parent in before and i < first:
                     before.add(i)
-        parts = direct if within else under
-        more = [b for b in blocks if b[2] not in taken and b[2] in parts]
-        if not within and not any(b[2] in direct or elements[b[2]].tag == "h1" for b in more):
+            i += 1
+        parts = {k for k, d in under.items() if d} if within else set(under)
+        more = [k for k in parts if k in held]
+        if not within and not any(under[k] or elements[k].tag == "h1" for k in more):
             parts = before
-            more = [b for b in more if b[2] in before]
-        length, linked = sum(len(b[0]) for b in more), sum(b[1] for b in more)
-        if not more and len({b[2] for b in blocks} & (under - taken)):
+            more = [k for k in more if k in before]
+        length, linked = sum(held[k][0] for k in more), sum(held[k][1] for k in more)
+        if not more and any(k in held for k in under):
             return taken
-        if 2 * linked > length or length - linked > sum(len(b[0]) - b[1] for b in blocks if b[2] in taken):
+        if 2 * linked > length or length - linked > got:
             return taken
-        taken = taken | parts
+        taken |= parts
+        got += length - linked
+        left = [(k, d) for k, d in under.items() if k not in parts]
+        roots, first = {top}, top
         if within or elements[top].tag == "html":
             return taken
 
@@ -297,7 +367,7 @@ def extract(source: str | None, paths: list[str]) -> str:
     """Text on the first of the paths that the page has, or else on its own best one; all that is kept if it has none."""
     if not source:
         return ""
-    page = read(source)
+    page = parsed(source)
     blocks = _kept(page)
     own = container_scores(page)
     best = next((p for p in paths if own.get(p)), None) or min(own, key=lambda p: (-own[p], p), default=None)

@@ -5,7 +5,7 @@ sequence as one. Two permutations give all signature coordinates: the first scat
 circle of 2**32 places, the second, shifted round the circle by k places, ranks them for coordinate k,
 which keeps the least rank. Bands of coordinates send documents to buckets.
 
-Documents with equal sets are one class, whose smallest doc_id stands for it, so copies cost one row. Sets that share a bucket are
+Documents with equal sets are one class, named by the set's digest, so copies cost one row; a document of several rows is in as many classes. Sets that share a bucket are
 compared in full, and linked with 100 * intersection >= threshold * union, in two steps:
 
 1. A star: every member of a bucket is compared with the smallest of all members of its buckets. In a group of near copies this links
@@ -96,18 +96,18 @@ def _sketch(width: int, bands: int, rows: int):
             for digest, found in zip(digests, sets):
                 if len(found) and digest not in known:
                     known[digest] = band_keys(signature(found, bands * rows)[None], bands, rows).view(np.int64)[0]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": digests, "n_shingles": [len(s) for s in sets], "bands": [known.get(d) if len(s) else None for d, s in zip(digests, sets)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "hash": pdf["hash"], "digest": digests, "n_shingles": [len(s) for s in sets], "bands": [known.get(d) if len(s) else None for d, s in zip(digests, sets)]})
 
     return made
 
 
 def _sets(width: int):
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()  # rows that repeat a document are read once a task
+        seen: set[int] = set()  # rows that repeat a class's row are read once a task
         for pdf in batches:
-            pdf = pdf[~pdf["node"].isin(seen) & ~pdf.duplicated(["node", "text"])]
+            pdf = pdf[~pdf["node"].isin(seen)].drop_duplicates(["node", "text"])
             sets = shingle_sets([bytes(t) for t in pdf["text"]], width)
-            right = np.array([set_digest(s) for s in sets], np.int64) == pdf["digest"].to_numpy(np.int64)
+            right = np.array([set_digest(s) for s in sets], np.int64) == pdf["node"].to_numpy(np.int64)
             seen.update(pdf["node"][right])
             yield pdf[["node"]].assign(shingles=[s.tobytes() for s in sets])[right].drop_duplicates("node")
 
@@ -236,17 +236,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     """documents -> doc_id, n_shingles, component_id, kept, a row for each input row."""
     spark = docs.sparkSession
     small_batches(spark, 1000)
-    base = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    sketched = stored(base.mapInPandas(_sketch(width, bands, rows), "doc_id long, digest long, n_shingles long, bands array<long>"), "sketches")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
+    sketched = stored(base.mapInPandas(_sketch(width, bands, rows), "doc_id long, hash long, digest long, n_shingles long, bands array<long>"), "sketches")
     named = sketched.where("doc_id is not null and n_shingles > 0")
-    classes = stored(named.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("node"), "bands")).alias("r")).select("digest", "r.node", "r.bands"), "classes")
+    one = F.min(F.struct("doc_id", "hash", "bands")).alias("r")
+    classes = stored(named.groupBy(F.col("digest").alias("node")).agg(one).select("node", F.col("r.doc_id").alias("owner"), F.col("r.hash").alias("hash"), F.col("r.bands").alias("bands")), "classes")
     spread = classes.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key", "head")
     buckets = stored(spread.join(shared, "key").select("key", "node", "head"), "buckets")
     heads = stored(buckets.groupBy("node").agg(F.min("head").alias("head")), "heads")
-    members = classes.select("node", "digest").join(heads, "node")
-    texts = base.join(members.select("node", "digest"), base["doc_id"] == F.col("node")).select("node", "digest", "text")
-    sets = stored(texts.mapInPandas(_sets(width), "node long, shingles binary"), "sets")
+    members = classes.select("node", F.col("owner").alias("doc_id"), "hash").join(heads.select("node"), "node")
+    sets = stored(base.join(members, ["doc_id", "hash"]).select("node", "text").mapInPandas(_sets(width), "node long, shingles binary"), "sets")
     near = stored(star_links(sets, heads.where("node <> head"), threshold, star_block), "star-links")
     joined = components(near)
     placed = buckets.join(joined.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -255,8 +256,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     star = left.select(F.array_min("heads").alias("a"), F.explode(F.array_union("heads", F.array("node"))).alias("b")).where("a <> b").distinct()
     families = components(star).select("node", F.col("component").alias("family"))
     rest = block_links(sets, stored(left.join(families, "node").select("node", "family", "component"), "families"), threshold, block, block_limit)
-    repeated = named.join(classes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    held = components(near.union(stored(rest, "links")).union(stored(repeated, "copies")))
+    owner = lambda side: classes.select(F.col("node").alias(side), F.col("owner").alias(f"{side}_owner"))
+    between = near.union(stored(rest, "links")).join(owner("a"), "a").join(owner("b"), "b").select(F.col("a_owner").alias("a"), F.col("b_owner").alias("b"))
+    repeated = named.select("digest", "doc_id").join(classes.select(F.col("node").alias("digest"), "owner"), "digest").where("doc_id <> owner").select(F.col("owner").alias("a"), F.col("doc_id").alias("b"))
+    held = components(between.union(stored(repeated, "copies")))  # of documents, so that those of several texts hold their classes together
     out = sketched.select("doc_id", "n_shingles").join(held.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

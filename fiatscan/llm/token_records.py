@@ -15,8 +15,8 @@ file system, write frames as rows; readers skip it by length. Files are in ascen
 rows that repeat an id by a hash of their text, null ids last. The index has, per record, the file,
 byte offset and byte length, so a shuffled reader seeks straight to any record.
 
-The number of files follows from the bytes of all texts, about `file_bytes` a file; a file that gets more than four times the mean of records, as rows of
-equal id and text lie together, is rolled over to the next. So a file stays far below what one reader can hold, and files are read whole, each by one task.
+A task writes a range of rows. Before a record would take its file past `file_bytes`, the next file begins (a folder `turn=k` in the task's order), so no file is larger, unless it
+is a single record, whatever the lengths of texts and wherever long ones lie. Files are read whole, each by one task.
 
 A null or empty text has only the end id; an empty table gives no rows. Long texts are encoded whole. Other columns, whatever their names, are ignored. The ids are those of the library's
 encode(text, add_special_tokens=False): an added token's content in a text, special or not, is that token.
@@ -47,7 +47,6 @@ HEAD = struct.Struct("<QI")
 ENTRY = struct.Struct("<qII")
 STORE_PIECES = 1_200_000
 FILE_BYTES = 64 << 20
-ROLL = 4
 CHAIN = 2000
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -262,11 +261,20 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & 1 else doc_id, ids
 
 
-def _frames(path: str, end_id: int):
+def _frames(path: str, end_id: int, file_bytes: int):
+    """doc_id, text -> turn (of the task's files), place, frame."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = held = place = 0
         for batch in batches:
-            out = frame_texts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), path, end_id)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+            out, turns = frame_texts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), path, end_id), []
+            for one in out:
+                if held and held + len(one) + 1 > file_bytes:
+                    turn, held = turn + 1, 0
+                held += len(one) + 1
+                turns.append(turn)
+            yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), pa.array(np.arange(place, place + len(out))), pa.array(out, pa.binary())], ["turn", "place", "frame"])
+            place += len(out)
 
     return made
 
@@ -275,12 +283,12 @@ def write_records(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     """Encodes doc_id, text and writes the record files, in ascending order over file numbers and inside files."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("binary"))), F.lit(0))).first()
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("binary"))), F.lit(0))).first()[0]
     n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // file_bytes))
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("_o"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_r"))
     rows = rows.repartitionByRange(n_files, "_o", "_h", "_r").sortWithinPartitions("_o", "_h", "_r").select("doc_id", "text")
-    framed = rows.mapInArrow(_frames(tokenizer_path, end_id), "frame binary")
-    framed.select(F.col("frame").cast("string")).write.option("maxRecordsPerFile", max(1, -(-ROLL * n_rows // n_files))).text(path)
+    framed = rows.mapInArrow(_frames(tokenizer_path, end_id, file_bytes), "turn int, place long, frame binary").sortWithinPartitions("turn", "place")
+    framed.select("turn", F.col("frame").cast("string").alias("frame")).write.partitionBy("turn").text(path)
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,9 +313,9 @@ def build_index(spark, path: str) -> DataFrame:
 
 
 def file_order(path: Column) -> Column:
-    """A file's place: its partition, then its turn where that was rolled over."""
-    number = lambda pattern: F.regexp_extract(path, pattern, 1).cast("long")
-    return F.struct(number(r"/part-(\d+)[^/]*$").alias("part"), number(r"-c(\d+)[^/]*$").alias("turn"))
+    """A file's place: its task, its turn among the task's files, and Spark's own number where its writer has rolled a file over."""
+    number = lambda pattern: F.coalesce(F.regexp_extract(path, pattern, 1).try_cast("long"), F.lit(0))
+    return F.struct(number(r"/part-(\d+)[^/]*$").alias("part"), number(r"/turn=(\d+)/[^/]*$").alias("turn"), number(r"-c(\d+)[^/]*$").alias("roll"))
 
 
 def write_index(spark, path: str) -> DataFrame:
