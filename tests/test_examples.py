@@ -345,6 +345,33 @@ def test_stable_prices_follow_the_tracker(spark):
     assert first == {s: min(k for t, k in want if t == s) for s, _ in want}
 
 
+def test_long_sessions_are_carried_over_buckets(spark):
+    """Sessions cut into buckets of 1 to many readings, with runs over several of them, confirm what whole sessions do."""
+    rng = random.Random(9)
+    rows, at = [], 0
+    for s in range(12):
+        price, at = None, 0
+        for k in range(300):
+            at += rng.choice([0, 1, 1, 2, 30])
+            if rng.random() < 0.15:
+                price = rng.choice([None, (1.0, "EUR"), (1.0, None), (2.0, "EUR")])
+            rows.append((s if s else None, k, at, *(price or (None, None))))
+    table = spark.createDataFrame(rows, "session_id long, seq long, ts long, amount double, currency string").where("session_id is not null").cache()
+    want = sorted((r.session_id, r.seq) for r in readings.stable(table, 10**9).collect())
+    for seconds in (1, 3, 20, 500):
+        assert sorted((r.session_id, r.seq) for r in readings.stable(table, seconds).collect()) == want
+    plain = []
+    for s in range(1, 12):
+        pending = None
+        for _, k, _, amount, currency in (r for r in rows if r[0] == s):
+            price = None if amount is None else (amount, currency)
+            if price and price == pending:
+                plain.append((s, k))
+                price = None
+            pending = price
+    assert want == sorted(plain)
+
+
 def test_cache_replay_follows_the_cache(spark):
     rng = random.Random(2)
     rows, want = [], {}
