@@ -41,27 +41,41 @@ def rate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fiats.select("snapshot_id", (F.col("i") * 10 + F.col("j") + 1).alias("place"), "asset", "fiat", "rate")
 
 
-@job(with_tables("priced_events", "rate_ticks") + """
+AS_OF_SQL = with_tables("priced_events", "rate_ticks") + """
 select e.event_id, e.asset, e.fiat, round(t.rate, 9) as rate, round((epoch_us(e.ts) - epoch_us(t.ts)) / 1e6, 6) as age_s, round(e.amount / t.rate, 6) as asset_amount
-from priced_events e asof left join rate_ticks t on e.asset = t.asset and e.fiat = t.fiat and e.ts >= t.ts""")
-def rate_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events converted at the rate of their time."""
-    found = rate_ops.as_of(load(spark, sf_dir, "priced_events"), load(spark, sf_dir, "rate_ticks"), ["asset", "fiat"])
+from priced_events e asof left join rate_ticks t on e.asset = t.asset and e.fiat = t.fiat and e.ts >= t.ts"""
+
+
+def converted(found: DataFrame) -> DataFrame:
+    """Events with the rate of their time -> its age and the amount in the asset."""
     age = (micros(F.col("ts")) - micros(F.col("tick_ts"))) / 1e6
     return found.select("event_id", "asset", "fiat", F.round("rate", 9).alias("rate"), F.round(age, 6).alias("age_s"), F.round(money.asset_amount(F.col("amount"), F.col("rate")), 6).alias("asset_amount"))
 
 
-@job(with_tables("rate_ticks") + """, clock as (select max(ts) as now from rate_ticks), last as (select asset, fiat, arg_max(rate, ts) as rate, arg_max(stale, ts) as flagged, max(ts) as ts from rate_ticks group by asset, fiat)
+@job(AS_OF_SQL)
+def rate_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events converted at the rate of their time."""
+    return converted(rate_ops.as_of(load(spark, sf_dir, "priced_events"), load(spark, sf_dir, "rate_ticks"), ["asset", "fiat"]))
+
+
+LATEST_SQL = with_tables("rate_ticks") + """, clock as (select max(ts) as now from rate_ticks), last as (select asset, fiat, arg_max(rate, ts) as rate, arg_max(stale, ts) as flagged, max(ts) as ts from rate_ticks group by asset, fiat)
 select asset, fiat, round(rate, 9) as rate, round((epoch_us(now) - epoch_us(ts)) / 1e6, 6) as age_s, flagged or (epoch_us(now) - epoch_us(ts)) > 300000000 as stale, (epoch_us(now) - epoch_us(ts)) <= 300000000 as usable,
   case when (epoch_us(now) - epoch_us(ts)) // 1000000 < 60 then cast((epoch_us(now) - epoch_us(ts)) // 1000000 as varchar) || 's' else cast((epoch_us(now) - epoch_us(ts)) // 60000000 as varchar) || 'm' end as age_text
-from last, clock""")
-def rate_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest rate of each asset and fiat, with its age at the newest tick of all."""
-    last = rate_ops.latest(load(spark, sf_dir, "rate_ticks"), F.max("ts"))
+from last, clock"""
+
+
+def described(last: DataFrame) -> DataFrame:
+    """Latest rates with their age as text."""
     text = money.age_text(micros(F.col("ts")) / 1000, micros(F.col("now")) / 1000)
     return last.select("asset", "fiat", F.round("rate", 9).alias("rate"), F.round("age_s", 6).alias("age_s"), "stale", "usable", text.alias("age_text"))
 
 
+@job(LATEST_SQL)
+def rate_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rate of each asset and fiat, with its age at the newest tick of all."""
+    return described(rate_ops.latest(load(spark, sf_dir, "rate_ticks"), F.max("ts")))
+
+
 REPLAY_SQL = with_tables("rate_requests") + """, good as (select * from rate_requests where fetch_ok),
 chain as (select instance_id, min(ts) as ts from good group by instance_id
   union all select c.instance_id, min(g.ts) as ts from chain c join good g on g.instance_id = c.instance_id and g.ts >= c.ts + interval 1 day group by c.instance_id),

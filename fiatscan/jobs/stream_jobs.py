@@ -1,4 +1,4 @@
-"""The streams over stored tables; each must equal its batch form."""
+"""The streams over stored tables; each must equal its batch form, as far as its watermark has come."""
 
 from __future__ import annotations
 
@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiatscan.functions import text_price
-from fiatscan.streaming import runner, stateful
+from fiatscan.functions.times import micros
+from fiatscan.operators import rates as rate_ops
+from fiatscan.sources.tables import new_path
+from fiatscan.streaming import kept, runner, stateful, timed
 
 from .core import job
 from .fixtures import load, with_tables
 from .frame_jobs import QUALITY_SQL, STABLE_SQL
 from .price_jobs import detect_sql
-from .rate_jobs import DAY_S, REPLAY_SQL
+from .rate_jobs import AS_OF_SQL, DAY_S, LATEST_SQL, REPLAY_SQL, converted, described
 
 
 @job(STABLE_SQL + " select session_id, seq, amount, currency from s")
@@ -49,6 +52,40 @@ def stream_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runner.drain(out, "prices")
 
 
+# The watermark of a stream is the newest time in it, in milliseconds, less ten minutes.
+_WATERMARK = "(select epoch_us(max(ts)) // 1000 * 1000 - 600000000 from {})"
+
+
+@job(with_tables("rate_ticks") + f""", good as (select distinct asset, fiat, epoch_us(ts) as us from rate_ticks where not stale),
+gaps as (select *, lead(us) over (partition by asset, fiat order by us) as after from good)
+select asset, fiat, us as last_us, us + 300000000 as stale_us from gaps where (after is null or after > us + 300000000) and us + 300000000 < {_WATERMARK.format("rate_ticks")}""")
+def stream_stale_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each time that a rate went stale for want of a good tick."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    out = runner.drain_in_time(events, "ts", lambda stream: timed.stale_rates(load(spark, sf_dir, "rate_ticks", stream)), "stale")
+    return out.select("asset", "fiat", micros(F.col("last_ts")).alias("last_us"), micros(F.col("stale_ts")).alias("stale_us"))
+
+
+@job(AS_OF_SQL + f" where epoch_us(e.ts) < {_WATERMARK.format('(select ts from priced_events union all select ts from rate_ticks)')}")
+def stream_rate_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events converted at the rate of their time, from two streams; events that the watermark has not passed wait."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+
+    def made(stream: DataFrame) -> DataFrame:
+        return timed.as_of(load(spark, sf_dir, "priced_events", stream), load(spark, sf_dir, "rate_ticks", stream), ["asset", "fiat"])
+
+    return converted(runner.drain_in_time(events, "ts", made, "as-of"))
+
+
+@job(LATEST_SQL)
+def stream_latest_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of latest rates that a stream keeps, stopped and started again between slices of time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path, progress = new_path(spark, "latest"), new_path(spark, "latest-progress")
+    runner.feed(events, "ts", lambda stream: kept.keep_latest(load(spark, sf_dir, "rate_ticks", stream), path, progress), "latest")
+    return described(rate_ops.latest(kept.read_latest(spark, path), F.max("ts")))
+
+
 SCANNED = "frame_id long, text string, confidence int"
 _SCANNED_SQL = """, scanned as (select frame_id, case when list_sum(gray) >= 128 * len(gray) then '€ ' else 'CHF ' end || cast(list_sum(gray[1:8]) as bigint) || case when gray[9] % 3 = 0 then ' ' else '.' end || lpad(cast(gray[10] % 100 as varchar), 2, '0') as text,
   cast(list_max(gray) * 100 // 255 as int) as confidence from frames),"""
