@@ -13,7 +13,8 @@ per batch. Hot shingles are split by the skew handling of Spark's joins.
 
 Null, empty and wordless texts have no words and hit nothing; null and wordless items have no windows.
 Equal windows of several items count for each item. Rows that repeat a doc_id are judged each on its
-own text.
+own text. Without documents the result is empty; without items nothing is hit. Texts of any length are
+read whole, in batches of bounded rows. Other columns, of whatever name, are left unread.
 """
 
 from __future__ import annotations

@@ -78,14 +78,18 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
 def with_category_cell(rows: DataFrame, column: str, cell: str, bits: int = BITS) -> DataFrame:
     """`rows` with `cell`: the place of the category among all rows in the order of the values, in `2 ** bits` parts of near equal size.
 
-    Counted by value first, so the order is found over distinct values; they are broadcast only up to BROADCAST_VALUES of them, and beyond that joined.
+    Counted by value first, so the order is found over distinct values, range by range; they are broadcast only up to BROADCAST_VALUES of them, and beyond that joined.
     """
     value = F.struct(F.col(column).isNotNull().alias("known"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value"))
     keyed = rows.withColumn("_value", value)
-    counts = keyed.groupBy("_value").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    cells = stored(counts.withColumns({"_before": before, "_total": total}).select("_value", F.expr(f"cast(_before * {1 << bits} div _total as int)").alias(cell)), "cells")
+    # Ranges of values first: the order within each, then the order of the ranges, so that no task holds all values.
+    counts = stored(keyed.groupBy("_value").agg(F.count("*").alias("_n")).repartitionByRange("_value").withColumn("_range", F.spark_partition_id()), "value-counts")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = counts.groupBy("_range").agg(F.sum("_n").alias("_m")).select("_range", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_start"), F.sum("_m").over(whole).alias("_total"))
+    inside = Window.partitionBy("_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    cells = stored(counts.join(ranges, "_range").withColumn("_before", before).select("_value", F.expr(f"cast(_before * {1 << bits} div _total as int)").alias(cell)), "cells")
     few = cells.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
     return keyed.join(F.broadcast(cells) if few else cells, "_value").drop("_value")
 

@@ -662,3 +662,20 @@ def test_tables_between_steps_can_be_cleared(spark, docs):
     assert not common._PATHS
     with pytest.raises(Exception, match="exist"):
         spark.read.parquet(kept.inputFiles()[0] if kept.inputFiles() else "/nowhere").count()
+
+
+def test_category_cells_over_many_values(spark):
+    """The order found range by range is the order of all values."""
+    from collections import Counter
+
+    from fiatscan.llm import sharding
+
+    rng = random.Random(3)
+    values = [None] * 5 + [""] * 3 + [f"http://host{rng.randint(0, 900)}.example" for _ in range(3000)] + ["hot"] * 1500
+    rows = spark.createDataFrame([(v,) for v in values], "source string").repartition(7)
+    got = {r.source: r.cell for r in sharding.with_category_cell(rows, "source", "cell").select("source", "cell").distinct().collect()}
+    counts, before, want = Counter(values), 0, {}
+    for v in sorted(counts, key=lambda v: (v is not None, v or "")):
+        want[v] = before * 16 // len(values)
+        before += counts[v]
+    assert got == want and len(set(got.values())) > 5
