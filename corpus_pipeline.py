@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as
 Parquet and read again before the next. All but the last return the columns of documents, extra ones
-included. SQL can express neither the classifier nor the curve. Tests compare the quality stage with scores of plain Python and with the labels, near duplicates and
+included, whatever their names. Null and empty texts are rows like others: the quality stage scores them, and they
+are near to nothing and hit by nothing. Texts are read whole. Repeated rows: the near-duplicate stage keeps or drops all rows of a doc_id together and keeps
+rows without one; mixing takes all copies of an id and text if it takes one, so its budget can be passed by copies. An empty table gives an empty result. SQL can express neither the classifier nor the curve. Tests compare the quality stage with scores of plain Python and with the labels, near duplicates and
 decontamination with all pairs and all windows, mixing with SQL over its input, and sharding with its law.
 """
 
