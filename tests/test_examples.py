@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fiatscan.functions import geometry, money, text_price
-from fiatscan.operators import fragments, frames, grid, rates, readings, spatial, wallets
+from fiatscan.operators import fragments, frames, grid, held, rates, readings, scan, spatial, wallets
 from fiatscan.schemas import ASSETS, FIATS
 from fiatscan.sources import feeds
 
@@ -453,6 +454,20 @@ def test_reports_in_files(spark, tmp_path):
         feeds.write_reports(again, out)
 
 
+def test_reports_that_do_not_parse(spark, tmp_path):
+    bad = {"a": REPORT, "b": REPORT[:-40], "c": "", "d": '{"x": 1}', "e": REPORT.replace('"crops": [', '"crops": 7, "y": ['), "f": "[]"}
+    for name, text in bad.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    found = feeds.read_reports(spark, f"file://{tmp_path}/*.json")
+    said = sorted(re.sub(r"\S*/", "", r.error or "") for r in found.collect())
+    assert said == ["", "bad report in b.json", "bad report in e.json", "no input in d.json"]
+    assert {r.input for r in feeds.explode_reports(found).collect()} == {"fixtures/example.jpg"}
+    assert [r.input for r in feeds.summarise_reports(found).collect()] == ["fixtures/example.jpg"]
+    out = f"file://{tmp_path}/lines"
+    feeds.write_reports(found, out)
+    assert feeds.read_reports(spark, out, lines=True).collect() == found.where("error is null").collect()
+
+
 def test_complete_snapshots_and_stale_rates(spark):
     full = {feed: {f.lower(): 2.0 for f in FIATS} for _, feed in ASSETS}
     short = {**full, "tether": {"eur": 1.0}}
@@ -524,3 +539,66 @@ def test_image_files(spark, tmp_path):
     (tmp_path / "junk.bmp").write_bytes(b"no image")
     (frame,) = images.read_frames(spark, f"file://{tmp_path}").collect()
     assert (frame.width, frame.height, frame.gray) == (2, 2, [76, 76, 76, 76])
+
+
+def test_words_meet_readings_like_plain_search():
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choice("ab1 \n") for _ in range(draw.randrange(n)))
+    met = 0
+    for _ in range(400):
+        winner = text(12)
+        words, tokens = held.Words(winner), winner.split()
+        for reading in [text(9) for _ in range(20)] + ["", " ", "\t"]:
+            want = any(t in reading or reading.strip() in t for t in tokens)
+            assert words.meet(reading) is want, (winner, reading)
+            met += want
+    assert met > 500 and not held.Words(None).meet("a") and not held.Words("a").meet(None)
+
+
+def test_words_meet_readings_in_linear_time():
+    def took(n):
+        began = time.process_time()
+        words = held.Words(" ".join(f"{k:06d}" for k in range(n)))
+        assert sum(words.meet(f"x{k}y") or words.meet(str(k)) for k in range(n)) > n // 2
+        return time.process_time() - began
+
+    took(500)
+    assert took(32_000) < 24 * took(4_000) + 0.5
+
+
+def test_digit_areas(spark):
+    fields = "image_id long, crop_idx int, variant_idx int, frag_idx int, text string, digit_area int"
+    reads = [(1, 0, 0, 0, "€12", 50), (1, 0, 0, 1, "99 cents", 70), (1, 0, 0, 2, "zzz", 900), (1, 0, 0, 3, None, 900), (1, 0, 1, 0, "12", 500), (2, 0, 0, 0, " ", 30), (2, 0, 0, 1, "x", 400), (3, 0, 0, 0, "x", 5), (4, 0, 0, 0, "12", None)]
+    found = [(1, 0, 0, "12 99", 3, 4), (2, 0, 0, "5", 3, 4), (3, 0, 0, "7", 3, 4), (4, 0, 0, "12", 3, 4), (5, 0, 0, "12", 3, 4)]
+    winners = spark.createDataFrame(found, "image_id long, crop_idx int, variant_idx int, text string, width int, height int")
+    got = fragments.digit_area(winners, spark.createDataFrame(reads, fields).repartition(3)).collect()
+    assert {r.image_id: r.area for r in got} == {1: 70, 2: 30, 3: 12, 4: 12, 5: 12} and got[0].asDict().keys() == {*winners.columns, "area"}
+    assert fragments.digit_area(winners.limit(0), spark.createDataFrame(reads, fields)).count() == 0
+
+
+def page_of(*lines):
+    """A tree of words, a paragraph of lines of (text, confidence)."""
+    words = lambda line: [{"text": t, "confidence": float(c), "bbox": {"x0": 0.0, "y0": 0.0, "x1": 10.0, "y1": 5.0}} for t, c in line]
+    return {"blocks": [{"paragraphs": None}, {"paragraphs": [{"lines": [{"words": words(line)} for line in lines]}]}]}
+
+
+def test_from_words_to_the_winner(spark):
+    schema = f"image_id long, crop_idx int, variant_idx int, region_idx int, x int, y int, width int, height int, confidence double, page {feeds.PAGE}"
+    whole = lambda image, crop, variant, confidence, *lines: (image, crop, variant, None, None, None, None, None, confidence, page_of(*lines))
+    rows = [whole(1, 0, 0, 90.0, [("no", 90)]), whole(1, 0, 1, 70.0, [("€12.99", 88)]), whole(1, 1, 0, 80.0, [("€3.99", 95)]), whole(1, 1, 1, 60.0, [("€1.00", 50)])]
+    rows += [whole(2, 0, 0, 85.0, [("SPECIAL", 85)]), whole(2, 0, 1, 40.0, [("12.99", 55)]), (3, 0, 0, None, None, None, None, None, 5.0, None), (3, 0, 1, None, None, None, None, None, 5.0, {"blocks": []})]
+    parts = [(0, "$", 10, 20, 12, 30, 60), (1, "299", 26, 10, 60, 40, 92), (2, "95", 92, 10, 20, 18, 90)]
+    rows += [(4, 0, 0, k, x, y, w, h, 80.0, page_of([(text, c)])) for k, text, x, y, w, h, c in parts]
+    pages = spark.createDataFrame(rows, schema)
+    args = (F.lit("EUR"), F.lit(400.0), F.lit(60.0))
+    got = {(r.image_id, r.crop_idx, r.variant_idx): r for r in scan.results(pages.where("image_id < 4"), *args).collect()}
+    assert len(got) == 8 and got[2, 0, 0].rejected and (got[2, 0, 0].text, got[2, 0, 0].digit_confidence) == ("SPECIAL", 0)
+    assert got[2, 0, 1].rejected and got[2, 0, 1].digit_confidence == 55 and got[3, 0, 0].text == got[3, 0, 1].text == ""
+    images = {r.image_id: r for r in scan.images(pages.where("image_id < 4"), *args).collect()}
+    assert (images[1].crop_idx, images[1].variant_idx, images[1].amount, images[1].currency, images[1].text) == (1, 0, 3.99, "EUR", "€3.99")
+    assert images[2].amount is None and images[2].n_rejected == 2 and images[3].n_rejected == 2
+    (tag,) = scan.images(pages.where("image_id = 4"), F.lit("USD"), F.lit(400.0), F.lit(60.0)).collect()
+    assert (tag.amount, tag.currency, tag.n_accepted, tag.n_regions) == (299.95, "USD", 1, 3)
+    assert scan.images(pages.limit(0), *args).count() == 0
+    lines = scan.readings(spark.createDataFrame([(1, page_of([("1", 9), ("a", 99)], [("b", 99)]))], f"k int, page {feeds.PAGE}")).first()
+    assert (lines.text, lines.digit_confidence, lines.digit_area) == ("1 a\nb", 9.0, 50.0)
