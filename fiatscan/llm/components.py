@@ -9,21 +9,42 @@ from .common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long) -> node, component; only nodes that an edge names.
+    """edges (a long, b long) -> node, component; only nodes that an edge names. Edges with a null end name none.
 
-    Each round takes the smallest label among a node and its neighbours, then the label of that label,
-    so labels travel twice as far with every round. Rounds are written to the shared folder. A node with
-    very many neighbours is pre-aggregated before the shuffle and split by the joins' skew handling. The
-    driver sees one count a round.
+    Each level points every node to its smallest neighbour, follows these to their ends, and goes on with the edges
+    between different ends only, at most half as many nodes. So most edges are met once, and a star is done in one level. Levels
+    are written to the shared folder. A node with very many neighbours is pre-aggregated before the shuffle and split by
+    the joins' skew handling. The driver sees one count a step.
     """
-    both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "labels")
+    left = stored(_edges(edges), "edges")
+    found = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = stored(labels.join(near, "node").select("node", F.least("component", "near").alias("low"), F.col("component").alias("old")), "labels")
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        after = stored(lower.join(jump, "low").select("node", F.least("low", "lower").alias("component"), "old"), "labels")
-        moved = after.where(F.col("component") != F.col("old")).limit(1).count()
-        labels = after.select("node", "component")
+        ends = _ends(left)
+        if found is None:
+            found = ends
+        else:
+            next_end = ends.select(F.col("node").alias("component"), F.col("component").alias("end"))
+            found = stored(found.join(next_end, "component", "left").select("node", F.coalesce("end", "component").alias("component")), "labels")
+        end_of = lambda side: ends.select(F.col("node").alias(side), F.col("component").alias(f"{side}_end"))
+        between = left.join(end_of("a"), "a").join(end_of("b"), "b").select(F.col("a_end").alias("a"), F.col("b_end").alias("b"))
+        left = stored(_edges(between), "edges")
+        if not left.limit(1).count():
+            return found
+
+
+def _edges(edges: DataFrame) -> DataFrame:
+    """Each pair of different nodes once."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """node -> component: where the way over smallest neighbours ends, at a node smaller than all of its own. Ways halve with every step."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
+    labels = stored(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("low")), "labels")
+    while True:
+        jump = labels.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+        after = stored(labels.join(jump, "low").select("node", F.col("lower").alias("low"), (F.col("lower") != F.col("low")).alias("moved")), "labels")
+        moved = after.where("moved").limit(1).count()
+        labels = after.select("node", "low")
         if not moved:
-            return labels
+            return labels.withColumnRenamed("low", "component")
