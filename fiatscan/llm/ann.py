@@ -3,13 +3,14 @@
 Vectors get binary codes: signs after rotations learned on a bounded sample, each by alternating between
 codes and the rotation nearest to them. An extra coordinate makes all norms equal, so that a near code means a large
 inner product. A code is split into substrings, each of which has an index: a table from the substring's
-value to the vectors that have it. A substring has so many bits that a value has about sixteen vectors.
+value to the vectors that have it. A value has about sixteen vectors or more.
 
 A query probes every index within one bit of its own value. Two codes within Hamming radius
 `2 * substrings - 1` differ by at most one bit in some substring, so by the pigeonhole principle these probes find every code in that
 radius. Where neighbours lie farther, as in data without clusters, each index is probed on, at the values that flip the
-bits of least margin. How many substrings (at least `LEAST_SUBSTRINGS`) and values are used is learned on the sample: those that find a share `COVERAGE` of its neighbours and meet the fewest rows
-of the indices, as counted on the sample. Index and probes are
+bits of least margin. How wide and how many (at least `LEAST_SUBSTRINGS`) the substrings are and how many values are probed is learned: of the ways that find a share `COVERAGE` of the
+20 nearest of 256 vectors, which are compared with all others for this, the one that costs least is taken. What counts is rows made for the indices and for probes, comparisons with rows
+met, and pairs handed on, as often as an index has them; wide substrings ask for many probes, narrow ones meet many rows. Index and probes are
 joined on (substring, value) and by nothing else; pairs beyond a Hamming radius of the whole codes, learned likewise, are dropped in that
 join, and what is left is ranked by the inner product in double precision.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored
 
 BITS = 256
-VALUE_BITS = 4  # a value of a substring has about 2 ** VALUE_BITS vectors
+VALUE_BITS = 4  # a value of a substring has about 2 ** VALUE_BITS vectors, or more
 LEAST_WIDTH, MOST_WIDTH = 4, 24
 PATTERNS = 4096
 FLIP_ROWS = 1024
@@ -52,6 +53,10 @@ BLOCK = 8192
 SALTS = 64
 TOP = 20
 EVERY = 20
+# Costs in the join of index and probes, where a row made for an index or a probe (dealt, sorted) costs 1; measured: 0.016, 1.25 and 0.83 microseconds.
+COMPARED = 0.02  # of comparing the codes of a query and of a row that it meets
+KEPT = 1.5  # of handing on a pair within the radius
+WORSE = 4  # widths, or numbers of substrings of a width, in turn that cost more than the best so far end the search
 
 
 @dataclass
@@ -122,25 +127,48 @@ def probe_values(sides: np.ndarray, coder: Coder) -> np.ndarray:
     return values(sides, coder)[:, :, None] ^ masks[order].reshape(len(sides), coder.substrings, -1)
 
 
-def first_probes(asking: np.ndarray, held: np.ndarray, best: np.ndarray, coder: Coder) -> Iterator[np.ndarray]:
-    """For one, two, ... substrings, per query and row of `best` the number of probes of each index that find it; the number of patterns where none does."""
+def tried(asking: np.ndarray, held: np.ndarray, near: np.ndarray, coder: Coder) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For one, two, ... substrings: per query and each of its `near` the number of probes of each index that find it (the number of patterns where none does),
+    and per number of probes the mean number of held vectors that a query's probes meet in those indices, and of these within the radius."""
     patterns = flips(coder.width)
     masks = patterns @ (1 << np.arange(coder.width))
     known = np.argsort(masks)
-    own, theirs = values(asking, coder), values(held, coder)
-    first = np.full(best.shape, len(patterns), np.int32)
+    own, theirs, wanted = values(asking, coder), values(held, coder), values(near.reshape(-1, near.shape[2]), coder).reshape(*near.shape[:2], -1)
+    first, met, kept = np.full(near.shape[:2], len(patterns), np.int32), np.zeros(len(patterns)), np.zeros(len(patterns))
+    q, c = np.nonzero(np.bitwise_count(words(asking)[:, None, :] ^ words(held)).sum(2) <= coder.radius)
     for k in range(coder.substrings):
         order = flip_order(asking[:, k * coder.width : (k + 1) * coder.width], len(patterns), patterns)
         turn = np.empty_like(order)
         np.put_along_axis(turn, order, np.broadcast_to(np.arange(len(patterns), dtype=np.int32), order.shape), 1)
-        changed = own[:, k, None] ^ theirs[best, k]
-        at = known[np.minimum(np.searchsorted(masks, changed, sorter=known), len(masks) - 1)]
-        first = np.minimum(first, np.where(masks[at] == changed, np.take_along_axis(turn, at, 1), len(patterns)))
-        yield first
+        turn = np.c_[turn, np.full(len(turn), len(patterns), np.int32)]  # of a value without a pattern
+        place = lambda changed: np.where(masks[at := known[np.minimum(np.searchsorted(masks, changed, sorter=known), len(masks) - 1)]] == changed, at, len(masks))
+        first = np.minimum(first, np.take_along_axis(turn, place(own[:, k, None] ^ wanted[:, :, k]), 1))
+        kept = kept + np.bincount(turn[q, place(own[q, k] ^ theirs[c, k])], minlength=len(patterns) + 1)[:-1].cumsum() / len(asking)
+        seen, n = np.unique(theirs[:, k], return_counts=True)
+        looked = own[:, k, None] ^ masks[order]
+        at = np.minimum(np.searchsorted(seen, looked), len(seen) - 1)
+        met = met + np.where(seen[at] == looked, n[at], 0).mean(axis=0).cumsum()
+        yield first, met, kept
+
+
+def ways(asking: np.ndarray, held: np.ndarray, near: np.ndarray, coder: Coder, coverage: float, total: int, share: float) -> Iterator[tuple[float, int, int, int]]:
+    """Cost of a query, width, substrings and probes of each way that finds the share `coverage` of `near` by indices of the coder's width: its probes' rows, its
+    part of the indices' rows, comparisons with all rows met, and pairs handed on, of `total` vectors."""
+    n_patterns = len(flips(coder.width))
+    least, at = np.inf, LEAST_SUBSTRINGS
+    for k, (first, met, kept) in enumerate(tried(asking, held, near, coder), 1):
+        need = int(np.quantile(first, coverage, method="higher"))
+        if k >= min(LEAST_SUBSTRINGS, coder.substrings) and need < n_patterns:
+            need = min(max(coder.width, need) + 1, n_patterns)
+            cost = k * (need + 1 / share) + (COMPARED * met[need - 1] + KEPT * kept[need - 1]) * total / len(held)
+            yield cost, coder.width, k, need
+            least, at = min((least, at), (cost, k))
+            if at <= k - WORSE:
+                return
 
 
-def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: int = 0, coverage: float = COVERAGE) -> Coder:
-    """total: vectors in all, by which the sample's nearest stand for the nearest of all."""
+def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: int = 0, coverage: float = COVERAGE, share: float = 1 / EVERY, near: tuple[np.ndarray, np.ndarray] | None = None) -> Coder:
+    """total: vectors in all; share: of them that are queries; near: some vectors, and the nearest of all to each. Without these, the sample's nearest stand for the nearest of all."""
     rng = np.random.default_rng(seed)
     coder = Coder(np.zeros(sample.shape[1] + 1), np.eye(sample.shape[1] + 1), norm, 1, 1, 1, bits)
     lifted = projected(sample, coder)
@@ -157,43 +185,29 @@ def learn(sample: np.ndarray, norm: float, total: int, bits: int = BITS, seed: i
             u, _, v = np.linalg.svd(low.T @ np.sign(low @ turn))
             turn = u @ v
         planes.append(axes @ turn)
-    width = int(np.clip(round(np.log2(max(total, 2))) - VALUE_BITS, LEAST_WIDTH, MOST_WIDTH))
-    coder = Coder(mean, np.concatenate(planes, 1)[:, :bits], norm, width, bits // width, PATTERNS, bits)
-    at = rng.permutation(len(sample))[:SAMPLE_QUERIES]
-    scores = sample[at] @ sample.T
-    scores[np.arange(len(at)), at] = -np.inf
-    near = max(1, min(len(sample) - 1, round(TOP * len(sample) / max(total, 1))))
-    best = np.argpartition(-scores, near - 1, axis=1)[:, :near] if len(sample) > 1 else np.zeros((len(at), 1), int)
-    asking, held = projected_queries(sample[at], coder), projected(sample, coder)
-    apart = np.bitwise_count(words(asking)[:, None, :] ^ words(held)[best]).sum(2)
+    coder = Coder(mean, np.concatenate(planes, 1)[:, :bits], norm, LEAST_WIDTH, bits // LEAST_WIDTH, 1, bits)
+    if near is None:
+        at = rng.permutation(len(sample))[:SAMPLE_QUERIES]
+        scores = sample[at] @ sample.T
+        scores[np.arange(len(at)), at] = -np.inf
+        n_near = max(1, min(len(sample) - 1, round(TOP * len(sample) / max(total, 1))))
+        best = np.argpartition(-scores, n_near - 1, axis=1)[:, :n_near] if len(sample) > 1 else np.zeros((len(at), 1), int)
+        near = sample[at], sample[best]
+    asking, held = projected_queries(near[0], coder), projected(sample, coder)
+    wanted = projected(near[1].reshape(-1, sample.shape[1]), coder).reshape(*near[1].shape[:2], -1)
+    apart = np.bitwise_count(words(asking)[:, None, :] ^ words(wanted.reshape(-1, bits)).reshape(*wanted.shape[:2], -1)).sum(2)
     coder.radius = int(np.quantile(apart, coverage, method="higher"))
-    most, ways = len(flips(width)), []
-    first_of = first_probes(asking, held, best, coder)
-    rows = rows_met(asking, held, coder)
-    for k, first in enumerate(first_of):
-        need = int(np.quantile(first, coverage, method="higher"))
-        if k + 1 >= min(LEAST_SUBSTRINGS, coder.substrings) and (need < most or k == coder.substrings - 1):
-            need = min(max(width, need) + 1, most)
-            ways.append((rows[: k + 1, need - 1].sum(), k + 1, need))
-    _, coder.substrings, coder.probes = min(ways)
+    widest = int(np.clip(round(np.log2(max(total, 2))) - VALUE_BITS, LEAST_WIDTH, MOST_WIDTH))
+    least: list[tuple[float, int, int, int]] = []
+    for width in range(LEAST_WIDTH, widest + 1):
+        coder.width, coder.substrings = width, bits // width
+        least.append(min(ways(asking, held, wanted, coder, coverage, total, share), default=(np.inf, width, 0, 0)))
+        if min(least)[1] <= width - WORSE:
+            break
+    _, coder.width, coder.substrings, coder.probes = min(least)
     return coder
 
 
-def rows_met(asking: np.ndarray, held: np.ndarray, coder: Coder) -> np.ndarray:
-    """Per substring and number of probes, the mean number of held vectors that a query's probes of that index meet, and one for each probe's own row."""
-    patterns = flips(coder.width)
-    masks = patterns @ (1 << np.arange(coder.width))
-    own, theirs = values(asking, coder), values(held, coder)
-    out = np.empty((coder.substrings, len(patterns)))
-    for k in range(coder.substrings):
-        order = flip_order(asking[:, k * coder.width : (k + 1) * coder.width], len(patterns), patterns)
-        seen = np.sort(theirs[:, k])
-        looked = own[:, k, None] ^ masks[order]
-        n = np.searchsorted(seen, looked, "right") - np.searchsorted(seen, looked, "left")
-        out[k] = (n + 1).cumsum(axis=1).mean(axis=0)
-    return out
-
-
 def valid(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (array<double>) of the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
@@ -209,6 +223,36 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
 
 
+def _nearest_of(asked, top: int):
+    """(c, embedding) -> q, score, embedding: of each asked vector (place q) the nearest of the task's, at most `top`, itself left out."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, vectors = asked.value
+        rows, n = np.arange(len(own))[:, None], len(own)
+        ids, scores, held = np.empty((n, 0), np.int64), np.empty((n, 0)), np.empty((n, 0, vectors.shape[1]))
+        for batch in batches:
+            c, x = batch.column("c").to_numpy(), _grid(batch.column("embedding"))
+            found = np.where(own[:, None] == c, -np.inf, vectors @ x.T)
+            at = np.argsort(-found, axis=1)[:, :top] if len(c) <= top else np.argpartition(-found, top - 1, axis=1)[:, :top]
+            ids, scores, held = np.c_[ids, c[at]], np.c_[scores, found[rows, at]], np.concatenate([held, x[at]], axis=1)
+            best = np.argsort(-scores, axis=1)[:, :top]
+            ids, scores, held = ids[rows, best], scores[rows, best], held[rows, best]
+        q, k = np.nonzero(ids != own[:, None])
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(scores[q, k]), _lists(held[q, k])], ["q", "score", "embedding"])
+
+    return made
+
+
+def nearest_of_all(classes: DataFrame, own: np.ndarray, vectors: np.ndarray, top: int) -> np.ndarray:
+    """(vector, place, dims): the `top` nearest of all classes to a few of them, given by c and embedding, by comparing each class with these few."""
+    asked = classes.sparkSession.sparkContext.broadcast((own, vectors))
+    found = classes.select("c", "embedding").mapInArrow(_nearest_of(asked, top), "q long, score double, embedding array<double>")
+    best = found.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("_n") <= top)
+    rows = best.select("q", "_n", "embedding").toPandas().sort_values(["q", "_n"])
+    return np.stack(rows["embedding"].to_numpy()).reshape(len(own), -1, vectors.shape[1])
+
+
 def _coded(coder, asking: bool):
     """(c, embedding) -> c, code (64-bit words), buckets: (substring, value) as one number."""
 
@@ -311,8 +355,11 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, bits: int =
     n, n_asked, largest, n_ids = classes.agg(F.count("*"), F.count_if("asked"), F.max(norm), F.sum(F.size("ids"))).first()
     if not n_asked:
         return empty
-    picked = classes.orderBy(F.xxhash64("h1"), "h2").limit(sample).select("embedding").toPandas()
-    coder = spark.sparkContext.broadcast(learn(np.stack(picked["embedding"].to_numpy()), float(largest), n, bits))
+    picked = classes.orderBy(F.xxhash64("h1"), "h2").limit(sample + SAMPLE_QUERIES).select("c", "embedding").toPandas()
+    own, drawn = picked["c"].to_numpy(), np.stack(picked["embedding"].to_numpy())
+    few = own[-SAMPLE_QUERIES:], drawn[-SAMPLE_QUERIES:]
+    near = (few[1], nearest_of_all(classes, *few, top)) if n > 1 else None
+    coder = spark.sparkContext.broadcast(learn(drawn[:sample], float(largest), n, bits, share=n_asked / n, near=near))
     n_blocks = -(-n // block)
     queries = classes.where("asked").select(F.col("c").alias("q"), "embedding")
     pairs = met(index_table(classes, coder, False, "c", "code"), index_table(classes.where("asked"), coder, True, "q", "asked"))
