@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from fiatscan.functions.geometry import half_up
 from fiatscan.schemas import MAX_MOTION, MIN_CONTRAST, MIN_REGION_AREA, MIN_SHARPNESS
@@ -104,31 +104,38 @@ def histogram(frames: DataFrame) -> DataFrame:
     return rows.mapInArrow(_counted, StructType([rows.schema["frame_id"], StructField("counts", ArrayType(LongType()))]))
 
 
-def otsu_threshold(counts: Column) -> tuple[Column, Column, Column]:
-    """Sum of the counts (to be held as `_whole`), of levels times counts (`_total`), and, in one pass with the sums so far, the first level with the greatest
-    variance between the classes; 128 if no level parts the counts."""
-    whole = F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n)
-    total = F.aggregate(F.transform(counts, lambda n, k: n * k), F.lit(0).cast("long"), lambda s, n: s + n)
-    start = F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("s"), F.lit(-1.0).alias("v"), F.lit(128).alias("at"))
+def best_levels(counts: np.ndarray) -> np.ndarray:
+    """For each row of counts, the first level with the greatest variance between the classes; 128 if no level parts the counts.
 
-    def step(so_far: Column, here: Column) -> Column:
-        w, s = so_far["w"] + here["n"], so_far["s"] + here["n"] * here["k"]
-        apart = F.try_divide(s, w) - F.try_divide(here["total"] - s, here["whole"] - w)
-        v = F.coalesce(w.cast("double") * (here["whole"] - w) * apart * apart, F.lit(-1.0))
-        better = (here["n"] > 0) & (v > so_far["v"])
-        return F.struct(w.alias("w"), s.alias("s"), F.when(better, v).otherwise(so_far["v"]).alias("v"), F.when(better, here["k"]).otherwise(so_far["at"]).alias("at"))
+    Variances that are equal to six decimals tie: levels that mirror each other have equal ones, but for the noise of their last bits. A level that the row lacks
+    parts it as the one below does, so only levels present count.
+    """
+    w, s = np.cumsum(counts, axis=1), np.cumsum(counts * np.arange(LEVELS), axis=1)
+    above = w[:, -1:] - w
+    inner = (counts > 0) & (above > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = s / w - (s[:, -1:] - s) / above
+    scaled = np.where(inner, w.astype(float) * above * (apart * apart) * 1e6, -1.0)
+    whole = np.floor(scaled)
+    variance = (whole + (scaled - whole >= 0.5)) / 1e6
+    return np.where(inner.any(axis=1), variance.argmax(axis=1), 128)
 
-    rows = F.transform(counts, lambda n, k: F.struct(n.alias("n"), k.alias("k"), F.col("_whole").alias("whole"), F.col("_total").alias("total")))
-    return whole, total, F.aggregate(rows, start, step)["at"]
 
+CHUNK = 1024
 
-def otsu(levels: DataFrame) -> DataFrame:
-    """frame_id, threshold: the level that parts each frame's counts best.
 
-    A level that the frame lacks parts it as the one below does, so only levels present count.
-    """
-    whole, total, best = otsu_threshold(F.col("counts"))
-    return levels.withColumns({"_whole": whole, "_total": total}).select("frame_id", best.cast("int").alias("threshold"))
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(at, CHUNK)
+            counts = part.column("counts").flatten().to_numpy().reshape(-1, LEVELS)
+            yield pa.RecordBatch.from_arrays([part.column("frame_id"), pa.array(best_levels(counts), pa.int32())], ["frame_id", "threshold"])
+
+
+def otsu(levels: DataFrame) -> DataFrame:
+    """frame_id, threshold: the level that parts each frame's counts best."""
+    rows = levels.select("frame_id", "counts")
+    return rows.mapInArrow(_parted, StructType([rows.schema["frame_id"], StructField("threshold", IntegerType())]))
 
 
 def variant_label(index: Column) -> Column:
@@ -263,14 +270,8 @@ def regions(frames: DataFrame, least: int = MIN_REGION_AREA, threshold: int = 12
 
 
 def _best_level(counts: np.ndarray) -> int:
-    """As `otsu`, in numpy, for pixels that never become rows."""
-    w, s = np.cumsum(counts), np.cumsum(counts * np.arange(LEVELS))
-    inner = (counts > 0) & (w < w[-1])
-    if not inner.any():
-        return 128
-    wi, si = w[inner], s[inner]
-    apart = si / wi - (s[-1] - si) / (w[-1] - wi)
-    return int(np.flatnonzero(inner)[np.argmax(wi.astype(float) * (w[-1] - wi) * apart * apart)])
+    """As `otsu`, for pixels that never become rows."""
+    return int(best_levels(counts[None])[0])
 
 
 def dark_masks(gray: np.ndarray) -> list[np.ndarray]:

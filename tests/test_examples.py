@@ -4,6 +4,7 @@ import json
 import random
 import re
 import time
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -602,3 +603,41 @@ def test_from_words_to_the_winner(spark):
     assert scan.images(pages.limit(0), *args).count() == 0
     lines = scan.readings(spark.createDataFrame([(1, page_of([("1", 9), ("a", 99)], [("b", 99)]))], f"k int, page {feeds.PAGE}")).first()
     assert (lines.text, lines.digit_confidence, lines.digit_area) == ("1 a\nb", 9.0, 50.0)
+
+
+def mirrored_vectors():
+    """Vectors of 64 numbers whose gray levels mirror each other around 128, so that several levels part them equally well; some of a single level, and a null."""
+    rng = np.random.default_rng(21)
+    side = rng.integers(1, 127, (192, 32)) * (rng.random((192, 32)) < 0.5)
+    levels = np.concatenate([side, -side], 1)
+    # pictures of three levels, whose crops often have equally many of the outer two
+    pictures = rng.integers(-1, 2, (640, 64)) * np.repeat(rng.integers(3, 127, 20), 32)[:, None]
+    return [*(np.concatenate([levels, pictures]) / 512).tolist(), [0.0] * 64, [0.25] * 64, None]
+
+
+@pytest.mark.parametrize("name", ["image_regions"])
+def test_levels_that_part_equally_well_are_taken_as_in_the_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from fiatscan.jobs import registry
+
+    rows = [(k, k % 7, v) for k, v in enumerate(mirrored_vectors())]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    got = registry.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall()) and got
+
+
+def test_the_first_of_equal_levels_is_taken():
+    rng = np.random.default_rng(22)
+    for _ in range(300):
+        side = rng.integers(1, 127, rng.integers(2, 20))
+        gray = np.concatenate([128 - side, 128 + side])
+        counts = frames.counts_of(gray)
+        apart = {}
+        for level in np.unique(gray)[:-1].tolist():
+            low, high = gray[gray <= level], gray[gray > level]
+            apart[level] = Fraction(int(low.sum()) * len(high) - int(high.sum()) * len(low)) ** 2 / (len(low) * len(high))
+        assert frames._best_level(counts) == min(k for k, v in apart.items() if v == max(apart.values()))
